@@ -42,11 +42,11 @@ def label_mapping(df: DataFrame, column: str, order_by: str | None = None) -> Da
     levels = df.filter(col(column).isNotNull()).groupBy(col(column).cast("string").alias("label")).agg(
         F.count("*").alias("n"), seen.alias("seen")
     )
+    levels = levels.withColumn("canon", X.canonical(F.col("label")))
     best = F.min(F.struct((-F.col("n")).alias("k"), F.col("seen"), F.col("label")))
-    groups = levels.groupBy(X.canonical(F.col("label")).alias("canon")).agg(
-        best["label"].alias("canonical"), F.collect_list(F.struct("label", "n")).alias("members")
-    )
-    spread = groups.select("canonical", F.inline("members"))
+    groups = levels.groupBy("canon").agg(best["label"].alias("canonical"), F.count("*").alias("spellings"))
+    several = groups.filter(F.col("spellings") > 1).select("canon", "canonical")
+    spread = levels.join(several, "canon")
     return spread.filter(F.col("label") != F.col("canonical")).select("label", "canonical", "n")
 
 

@@ -81,7 +81,7 @@ def dataset_profile(df: DataFrame, facts: DataFrame, duplicate_rows: int) -> Dat
         for k in (K.NUMERIC, K.CATEGORICAL, K.DATETIME, K.BOOLEAN, K.TEXT, K.EMPTY)
     ]
     dup = F.lit(duplicate_rows).cast("long")
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()
+    size = str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return facts.agg(
         F.max("rows").alias("n_rows"),
         F.count("*").alias("n_cols"),
@@ -197,7 +197,8 @@ def histogram(df: DataFrame, columns: list[str], bins: int = BINS) -> DataFrame:
         x = V.as_number(df, name)
         cells.append(F.struct(
             F.lit(name).alias("column"),
-            F.least(F.width_bucket(x, F.lit(lo), F.lit(hi), F.lit(n)), F.lit(n)).cast("int").alias("bin"),
+            F.when(x.isNotNull(), F.least(F.width_bucket(x, F.lit(lo), F.lit(hi), F.lit(n)), F.lit(n)))
+            .cast("int").alias("bin"),
         ))
     counted = (
         df.select(F.inline(F.array(*cells))).filter(F.col("bin").isNotNull())
