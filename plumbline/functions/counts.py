@@ -19,10 +19,18 @@ def as_label(df: DataFrame, name: str) -> Column:
 
 
 def _cells(df: DataFrame, columns: list[str], value, name: str) -> DataFrame:
-    """Unpivot to ``(column, <name>)`` keeping missing cells; the table is read once."""
-    return df.select(
-        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), value(c).alias(name)) for c in columns]))
-    )
+    """Unpivot to ``(c, <name>)`` keeping missing cells; the table is read once.
+
+    ``c`` is the position in ``columns``: a fixed-width key, turned into the
+    column name by ``named`` after grouping.
+    """
+    return df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("c"), value(c).alias(name)) for i, c in enumerate(columns)])))
+
+
+def named(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Replace ``c`` by the column name."""
+    name = F.get(F.array(*[F.lit(c) for c in columns]), F.col("c"))
+    return df.select(name.alias("column"), *[c for c in df.columns if c != "c"])
 
 
 def number_cells(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -34,7 +42,7 @@ def label_cells(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def long_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``(column, num)`` for all non-missing numeric cells."""
+    """``(c, num)`` for all non-missing numeric cells."""
     return number_cells(df, columns).filter(F.col("num").isNotNull())
 
 
@@ -47,11 +55,11 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     labels = [c for c in columns if c not in numbers]
     parts = []
     if numbers:
-        counted = long_numbers(df, numbers).groupBy("column", "num").agg(F.count("*").alias("n"))
+        counted = named(long_numbers(df, numbers).groupBy("c", "num").agg(F.count("*").alias("n")), numbers)
         parts.append(counted.select("column", "num", F.lit(None).cast("string").alias("txt"), "n"))
     if labels:
         long = label_cells(df, labels).filter(F.col("txt").isNotNull())
-        counted = long.groupBy("column", "txt").agg(F.count("*").alias("n"))
+        counted = named(long.groupBy("c", "txt").agg(F.count("*").alias("n")), labels)
         parts.append(counted.select("column", F.lit(None).cast("double").alias("num"), "txt", "n"))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 

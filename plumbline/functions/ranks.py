@@ -1,20 +1,21 @@
 """Exact order statistics for groups of any size.
 
 ``percentile`` keeps all distinct values of a group in one aggregation buffer.
-Here small groups are ranked by a running count over their distinct values. A group larger than ``GROUP_ROWS`` is narrowed first: a mergeable quantile
-sketch names two neighbouring cut points around each wanted rank, one counting
-pass proves how many rows lie below, on and between them, and only the rows
-strictly between go on. Each round keeps about 1/300 of a group, so the final
-ranking window always sees a bounded number of rows and the answer is exact.
+Here a group is sorted in one task only if it is known to be small. A group
+larger than ``GROUP_ROWS`` is narrowed first: a mergeable quantile sketch names
+two neighbouring cut points around each wanted rank, one counting pass proves
+how many rows lie below, on and between them, and only the rows strictly between
+go on. Each round keeps about 1/300 of a group, so the final sort always sees a
+bounded number of rows and the answer is exact.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.functions.counts import long_numbers
+from plumbline.functions.counts import long_numbers, named
 from plumbline.session import cut_lineage, lookup_join
 
 # Largest group that one ranking task takes.
@@ -28,15 +29,17 @@ def _limits(group_rows: int | None) -> int:
     return group_rows or int(os.environ.get("PLUMBLINE_GROUP_ROWS", GROUP_ROWS))
 
 
+def _sorted_groups(long: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, vs)``: the sorted values of groups proven to hold at most ``GROUP_ROWS`` rows."""
+    return long.groupBy(*keys).agg(F.sort_array(F.collect_list("v")).alias("vs"))
+
+
 def _rank_inside(long: DataFrame, want: DataFrame, keys: list[str]) -> DataFrame:
-    """Ranks within groups known to be small, wanted ranks given as a frame."""
-    counts = long.groupBy(*keys, "v").agg(F.count("*").alias("n"))
-    running = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    runs = counts.withColumn("upto", F.sum("n").over(running))
+    """Ranks within small groups, wanted ranks given as a frame."""
     wanted = want.groupBy(*keys).agg(F.collect_list(F.struct("slot", "r")).alias("slots"))
-    joined = lookup_join(runs, wanted, keys, "inner")
-    hit = F.filter("slots", lambda s: (s["r"] < F.col("upto")) & (s["r"] >= F.col("upto") - F.col("n")))
-    return joined.select(*keys, "v", F.inline(hit)).select(*keys, "slot", "v")
+    found = lookup_join(_sorted_groups(long, keys), wanted, keys, "inner")
+    picked = F.transform("slots", lambda s: F.struct(s["slot"].alias("slot"), F.get("vs", s["r"].cast("int")).alias("v")))
+    return found.select(*keys, F.inline(picked))
 
 
 def _narrow(long: DataFrame, want: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -150,20 +153,14 @@ def _mix(a: Column, b: Column, n: Column, p: Column) -> Column:
 
 
 def _small_quantiles(long: DataFrame, keys: list[str], probabilities: list[float], nearest: bool) -> DataFrame:
-    """All groups are within the limit: one running count per group and a fold over it."""
-    counts = long.groupBy(*keys, "v").agg(F.count("*").alias("n"))
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
-    running = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    runs = counts.join(totals, keys).withColumn("upto", F.sum("n").over(running))
-    value_at = lambda r: F.min(F.when(F.col("upto") > r, F.col("v")))
+    """All groups are within the limit: one shuffle, then positions in the sorted values."""
+    groups = _sorted_groups(long, keys).withColumn("n", F.size("vs"))
     cells = []
     for p in probabilities:
-        ends = [value_at(r) for r in _ends(F.col("total"), p, nearest)]
-        cells.append(F.struct(F.lit(float(p)).alias("p"), ends[0].alias("a"), ends[-1].alias("b")))
-    folded = runs.groupBy(*keys).agg(F.max("total").alias("total"), F.array(*cells).alias("cells"))
-    spots = folded.select(*keys, "total", F.inline("cells"))
-    value = F.col("a") if nearest else _mix(F.col("a"), F.col("b"), F.col("total"), F.col("p"))
-    return spots.select(*keys, "p", value.alias("value"))
+        ends = [F.get("vs", r.cast("int")) for r in _ends(F.col("n"), p, nearest)]
+        value = ends[0] if nearest else _mix(ends[0], ends[-1], F.col("n"), F.lit(float(p)))
+        cells.append(F.struct(F.lit(float(p)).alias("p"), value.alias("value")))
+    return groups.select(*keys, F.inline(F.array(*cells)))
 
 
 def column_quantiles(df: DataFrame, columns: list[str], probabilities: list[float],
@@ -171,11 +168,12 @@ def column_quantiles(df: DataFrame, columns: list[str], probabilities: list[floa
     """``(column, p, value)`` for numeric columns; ``approximate`` answers from a sketch."""
     long = long_numbers(df, columns)
     if approximate:
-        sketch = long.groupBy("column").agg(F.percentile_approx("num", probabilities, ACCURACY).alias("q"))
+        sketch = long.groupBy("c").agg(F.percentile_approx("num", probabilities, ACCURACY).alias("q"))
         listed = F.array(*[F.lit(float(p)) for p in probabilities])
-        return sketch.select("column", F.inline(F.arrays_zip(listed.alias("p"), F.col("q").alias("value"))))
-    return grouped_quantiles(long, ["column"], F.col("num"), probabilities, group_rows=group_rows,
-                             rows=df.count())
+        found = sketch.select("c", F.inline(F.arrays_zip(listed.alias("p"), F.col("q").alias("value"))))
+    else:
+        found = grouped_quantiles(long, ["c"], F.col("num"), probabilities, group_rows=group_rows, rows=df.count())
+    return named(found, columns)
 
 
 def quantile_map(df: DataFrame, columns: list[str], probabilities: list[float],

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from plumbline.functions import counts as C, moments as M, text as X, values as V
+from plumbline.functions import counts as C, moments as M, ranks as R, text as X, values as V
 from plumbline.session import col
 
 NUMERIC, CATEGORICAL, DATETIME, BOOLEAN, TEXT, EMPTY = (
@@ -20,32 +20,45 @@ SCAN_SCHEMA = (
 )
 
 
-def _scan_part(long: DataFrame, value: str, extra: dict[str, Column]) -> DataFrame:
-    kept = F.count(value)
-    return long.groupBy("column").agg(
-        F.count("*").alias("rows"), kept.alias("count"), (F.count("*") - kept).alias("missing"),
-        *[c.alias(name) for name, c in extra.items()],
-    )
-
-
 def _number_part(df: DataFrame, columns: list[str]) -> DataFrame:
     n = F.col("num")
-    return _scan_part(C.number_cells(df, columns), "num", {
-        "mean": F.avg(n), "std": F.stddev_samp(n), "min": F.min(n), "max": F.max(n),
-        "skew": M.sample_skew(n), "kurtosis": M.sample_kurtosis(n),
-        "two_valued": F.bool_and(n.isin(0.0, 1.0)), "integral": F.bool_and(V.is_integral(n)),
-    })
+    scanned = C.number_cells(df, columns).groupBy("c").agg(
+        F.count("*").alias("rows"), F.count(n).alias("count"),
+        F.avg(n).alias("mean"), F.stddev_samp(n).alias("std"), F.min(n).alias("min"), F.max(n).alias("max"),
+        M.sample_skew(n).alias("skew"), M.sample_kurtosis(n).alias("kurtosis"),
+        F.bool_and(n.isin(0.0, 1.0)).alias("two_valued"), F.bool_and(V.is_integral(n)).alias("integral"),
+    )
+    return C.named(scanned, columns)
 
 
-def _label_part(df: DataFrame, columns: list[str]) -> DataFrame:
+def _label_shapes(n: Column, kept: Column) -> list[Column]:
+    """Shapes of ``txt`` values that stand for ``n`` cells each."""
     s = F.col("txt")
-    return _scan_part(C.label_cells(df, columns), "txt", {
-        "two_valued": F.bool_and(X.is_boolean_word(s)),
-        "avg_length": F.avg(F.length(s)),
-        "numeric_like": V.share_if(X.looks_numeric(s)),
-        "date_like": V.share_if(X.looks_dated(s)),
-        "untrimmed": F.count_if(s != X.strip(s)),
-    })
+    share = lambda c: F.try_divide(F.sum(F.when(c, n).otherwise(0)), kept)
+    return [
+        F.bool_and(X.is_boolean_word(s)).alias("two_valued"),
+        F.try_divide(F.sum(F.length(s) * n), kept).cast("double").alias("avg_length"),
+        share(X.looks_numeric(s)).cast("double").alias("numeric_like"),
+        share(X.looks_dated(s)).cast("double").alias("date_like"),
+        F.sum(F.when(s != X.strip(s), n).otherwise(0)).cast("long").alias("untrimmed"),
+    ]
+
+
+def _label_part(df: DataFrame, columns: list[str], counts: DataFrame | None) -> DataFrame:
+    """Text shapes from the cells, or from value counts where these are at hand:
+    then each distinct label is looked at once."""
+    if counts is None:
+        one, kept = F.when(F.col("txt").isNotNull(), 1), F.count("txt")
+        scanned = C.label_cells(df, columns).groupBy("c").agg(
+            F.count("*").alias("rows"), kept.alias("count"), *_label_shapes(one, kept)
+        )
+        return C.named(scanned, columns)
+    total = df.agg(F.count("*").alias("n")).scalar()
+    kept = F.sum("n")
+    labels = counts.filter(F.col("column").isin(columns))
+    scanned = labels.groupBy("column").agg(kept.alias("count"), *_label_shapes(F.col("n"), kept))
+    listed = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return listed.join(scanned, "column", "left").withColumn("count", F.coalesce("count", F.lit(0))).withColumn("rows", total)
 
 
 def _other_part(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -53,13 +66,13 @@ def _other_part(df: DataFrame, columns: list[str]) -> DataFrame:
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), col(c).isNotNull().alias("has"), when(c).alias("t")) for c in columns
     ])))
-    long = long.withColumn("has", F.when(F.col("has"), True))
-    return _scan_part(long, "has", {
-        "first_time": F.min("t").cast("string"), "last_time": F.max("t").cast("string"),
-    })
+    return long.groupBy("column").agg(
+        F.count("*").alias("rows"), F.count_if("has").alias("count"),
+        F.min("t").cast("string").alias("first_time"), F.max("t").cast("string").alias("last_time"),
+    )
 
 
-def scan_columns(df: DataFrame) -> DataFrame:
+def scan_columns(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """One row per column: counts, moments, text shapes and time range.
 
     Columns are unpivoted by type and grouped by name, so the generated code
@@ -69,8 +82,10 @@ def scan_columns(df: DataFrame) -> DataFrame:
     labels = [c for c in df.columns if V.is_text(df, c)]
     others = [c for c in df.columns if c not in numbers and c not in labels]
     parts = [
-        make(df, names)
-        for make, names in ((_number_part, numbers), (_label_part, labels), (_other_part, others))
+        make(names)
+        for make, names in (
+            (lambda c: _number_part(df, c), numbers), (lambda c: _label_part(df, c, counts), labels), (lambda c: _other_part(df, c), others)
+        )
         if names
     ]
     out = parts[0]
@@ -81,7 +96,7 @@ def scan_columns(df: DataFrame) -> DataFrame:
         "ordinal int, column string, dtype string",
     )
     schema = T._parse_datatype_string(SCAN_SCHEMA)
-    joined = listed.join(out, "column", "left")
+    joined = listed.join(out, "column", "left").withColumn("missing", F.col("rows") - F.col("count"))
     made = set(joined.columns)
     return joined.select([
         (F.coalesce(f.name, F.lit(0)) if f.name in ("rows", "count", "missing") else F.col(f.name)).cast(f.dataType).alias(f.name)
@@ -157,6 +172,20 @@ def coerce_dates(df: DataFrame, order_by: str | None = None, skip: tuple[str, ..
     return df.withColumns({c: X.parse_time(col(c)) for c in good})
 
 
+# Up to this many rows a sample is taken with one bounded heap per task.
+HEAP_ROWS = 100_000
+
+
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """``n`` rows chosen by the hash of a key: the same rows on every run and layout."""
-    return df.orderBy(F.xxhash64(col(key), F.lit(seed)), col(key)).limit(n)
+    """``n`` rows chosen by the hash of a unique key: the same rows on every run and layout.
+
+    A large sample is cut at the exact ``n``-th smallest hash instead of being
+    sorted in one place.
+    """
+    if n <= HEAP_ROWS:
+        return df.orderBy(F.xxhash64(col(key), F.lit(seed)), col(key)).limit(n)
+    place = F.shiftrightunsigned(F.xxhash64(col(key), F.lit(seed)), 11).cast("double")
+    long = df.select(F.lit("all").alias("g"), place.alias("v"))
+    want = df.sparkSession.createDataFrame([("all", 0, n - 1)], "g string, slot int, r long")
+    cut = R.at_ranks(long, want, ["g"]).first()
+    return df if cut is None else df.filter(place <= cut["v"])

@@ -19,8 +19,9 @@ def column_facts(df: DataFrame) -> DataFrame:
     The rows are as many as the columns; they come back as a local relation so
     that rules built on top never read the table again.
     """
-    scanned = K.scan_columns(df)
-    counted = C.count_facts(C.value_counts(df, df.columns))
+    counts = C.value_counts(df, df.columns)
+    scanned = K.scan_columns(df, counts)
+    counted = C.count_facts(counts)
     unique = F.coalesce(F.col("unique"), F.lit(0).cast("long"))
     facts = scanned.join(counted, "column", "left").select(
         *scanned.columns,
@@ -174,9 +175,9 @@ def histogram(df: DataFrame, columns: list[str], bins: int = BINS) -> DataFrame:
     constant columns none. Counting groups by bin, so at most ``bins`` rows per
     column leave each task; empty bins are filled in afterwards.
     """
-    spans = C.long_numbers(df, columns).groupBy("column").agg(
+    spans = C.named(C.long_numbers(df, columns).groupBy("c").agg(
         F.min("num").alias("lo"), F.max("num").alias("hi"), F.approx_count_distinct("num").alias("about")
-    ).collect()
+    ), columns).collect()
     spans = [s for s in spans if s["lo"] is not None and s["lo"] < s["hi"]]
     spark = df.sparkSession
     out = "column string, bin int, low double, high double, count long"

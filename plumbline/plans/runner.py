@@ -7,6 +7,7 @@ import time
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, ParseException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,18 +53,18 @@ def statement(spark: SparkSession, sql: str, views: dict[str, DataFrame], args:
 
 def fetch(df: DataFrame, rows: int, timeout: float = TIMEOUT_SECONDS) -> Result:
     """At most ``rows`` rows; one more is read to know whether the result goes on."""
-    spark, tag = df.sparkSession, f"q{uuid.uuid4().hex}"
+    context, tag = df.sparkSession.sparkContext, f"q{uuid.uuid4().hex}"
     started = time.time()
-    spark.addTag(tag)
-    timer = threading.Timer(timeout, spark.interruptTag, [tag])
+    context.addJobTag(tag)
+    timer = threading.Timer(timeout, context.cancelJobsWithTag, [tag])
     timer.start()
     try:
         found = V.json_safe(df).limit(rows + 1).collect()
-    except PySparkException as exc:
+    except (PySparkException, Py4JJavaError) as exc:
         return Result(df.columns, [], False, time.time() - started, *friendly(exc))
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        context.removeJobTag(tag)
     listed = [r.asDict(recursive=True) for r in found[:rows]]
     return Result(df.columns, listed, len(found) > rows, time.time() - started)
 

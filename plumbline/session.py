@@ -47,18 +47,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fits(df: DataFrame, rows: int) -> bool:
-    """True if ``df`` holds at most ``rows`` rows."""
-    return df.count() <= rows
-
-
 def lookup_join(df: DataFrame, lookup: DataFrame, on, how: str = "left", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a lookup frame, broadcasting it only after its size was checked.
 
-    A larger lookup goes through an ordinary shuffle join, where adaptive
-    execution splits hot keys of the left side.
+    The lookup is computed once and written; its row count then decides. A larger
+    one goes through an ordinary shuffle join, where adaptive execution splits
+    hot keys of the left side.
     """
-    if fits(lookup, rows):
+    lookup = cut_lineage(lookup)
+    if lookup.count() <= rows:
         lookup = F.broadcast(lookup)
     return df.join(lookup, on, how)
 

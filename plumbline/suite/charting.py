@@ -147,7 +147,7 @@ def check_chart(spark, d):
     cases = [("line", "month", ["revenue"]), ("pie", "month", ["orders"]), ("bar", "month", ["profit"]), ("area", "orders", ["revenue"])]
     rows = [(k, x, y[0], ";".join(H.check_chart(monthly, k, x, y))) for k, x, y in cases]
     verdicts = spark.createDataFrame(rows, "type string, x string, y string, problems string")
-    return verdicts.join(monthly.agg(F.count("*").alias("rows")), F.lit(True))
+    return verdicts.withColumn("rows", monthly.agg(F.count("*").alias("rows")).scalar())
 
 
 CHECK_SQL = f"""SELECT v.*, (SELECT count(*) FROM ({_MONTHLY})) AS rows FROM (VALUES ('line', 'month', 'revenue', ''),

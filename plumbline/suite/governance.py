@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as T
 from plumbline.operators import catalog as G, match as X
 from plumbline.plans import guard, runner
+from plumbline.session import spread
 from plumbline.suite.tables import table, union_all
 
 NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -127,7 +128,7 @@ G7 = f"""SELECT substr(sha256(string_agg(line, chr(10) ORDER BY line)), 1, 16) A
 def g8(s, d):
     notes = annotated(s, d)
     terms = X.catalog_terms(notes, G.importance(notes))
-    return X.search_schema(questions(s, d), terms).select("question_id", "rank", "table", "score")
+    return X.search_schema(spread(questions(s, d)), terms).select("question_id", "rank", "table", "score")
 
 
 def g8_sql() -> str:
@@ -147,7 +148,7 @@ SELECT question_id, rank, "table", score FROM (SELECT *, row_number() OVER (PART
 
 def g9(s, d):
     names = extracted(s, d).select(F.col("column").alias("name")).unionByName(extracted(s, d).select(F.col("table").alias("name"))).distinct()
-    return X.ground(questions(s, d), names)
+    return X.ground(spread(questions(s, d)), names)
 
 
 def g9_sql() -> str:
@@ -159,9 +160,7 @@ WHERE contains(ql, ' ' || name || ' ') OR list_has_any(tk, words)"""
 
 
 def g10(s, d):
-    return G.default_date_column(annotated(s, d)).join(
-        table(s, d, "orders").agg(F.count("*").alias("orders")), F.lit(True)
-    )
+    return G.default_date_column(annotated(s, d)).withColumn("orders", table(s, d, "orders").agg(F.count("*").alias("n")).scalar())
 
 
 def g11(s, d):
@@ -200,7 +199,7 @@ def g15(s, d):
 
 
 def g15_describe(s, d):
-    return G.describe(annotated(s, d), "orders").join(table(s, d, "orders").agg(F.count("*").alias("rows")), F.lit(True))
+    return G.describe(annotated(s, d), "orders").withColumn("rows", table(s, d, "orders").agg(F.count("*").alias("n")).scalar())
 
 
 def g16(s, d):
@@ -212,7 +211,7 @@ def g16(s, d):
 def g17(s, d):
     df = runner.statement(s, "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY o_orderstatus", {"orders": table(s, d, "orders")})
     lines = runner.explain(df)
-    return s.createDataFrame([(i, t) for i, t in enumerate(lines)], "line int, text string").join(df.agg(F.sum("n").alias("rows")), F.lit(True))
+    return s.createDataFrame([(i, t) for i, t in enumerate(lines)], "line int, text string").withColumn("rows", df.agg(F.sum("n").alias("rows")).scalar())
 
 
 # Texts that look like statements, derived from the part list.
@@ -335,7 +334,7 @@ ORDER BY score DESC, name LIMIT 5"""
 
 
 def g28(s, d):
-    docs = table(s, d, "documents")
+    docs = spread(table(s, d, "documents"))
     clean = T.redact(F.col("text"))
     marks = F.size(F.split(clean, r"\[REDACTED\]")) - 1
     return docs.select("doc_id", marks.cast("long").alias("marks"), F.md5(clean).alias("digest"))
@@ -355,7 +354,7 @@ INPUT = """CASE doc_id % 6 WHEN 0 THEN text WHEN 1 THEN regexp_replace(text, '[^
 
 
 def g29(s, d):
-    inputs = table(s, d, "documents").selectExpr("doc_id", f"{INPUT} AS input")
+    inputs = spread(table(s, d, "documents")).selectExpr("doc_id", f"{INPUT} AS input")
     return inputs.select("doc_id", T.is_noise(F.col("input")).alias("noise"))
 
 

@@ -72,8 +72,10 @@ def s10(s, d):
 
 def s11(s, d):
     about = P.overview(table(s, d, "orders"), "orders", order_by="o_orderkey")
-    return about["columns"].select("ordinal", "column", "kind", "missing").withColumn("rows", F.lit(about["n_rows"])).join(
-        about["sample_rows"].agg(F.count("*").alias("shown"), F.min("o_orderdate").alias("first")), F.lit(True)
+    shown = about["sample_rows"].agg(F.count("*").alias("n")).scalar()
+    first = about["sample_rows"].agg(F.min("o_orderdate").alias("t")).scalar()
+    return about["columns"].select(
+        "ordinal", "column", "kind", "missing", F.lit(about["n_rows"]).alias("rows"), shown.alias("shown"), first.alias("first")
     )
 
 

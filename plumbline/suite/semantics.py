@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.operators import definitions as D, match as X, metrics as M
+from plumbline.session import spread
 from plumbline.suite.governance import META, QUESTIONS, annotated, questions, tokens_sql
 from plumbline.suite.tables import table, union_all
 
@@ -201,7 +202,7 @@ def _known(s):
 
 
 def k10(s, d):
-    return X.match_definitions(questions(s, d), _known(s)).select("question_id", "kind", "key", "score")
+    return X.match_definitions(spread(questions(s, d)), _known(s)).select("question_id", "kind", "key", "score")
 
 
 def _sql_list(items):
@@ -219,7 +220,7 @@ WHERE spoken > 0 OR named"""
 
 
 def k10_budget(s, d):
-    return X.within_budget(X.match_definitions(questions(s, d), _known(s)), 2, 150).select("question_id", "rank", "key", "score")
+    return X.within_budget(X.match_definitions(spread(questions(s, d)), _known(s)), 2, 150).select("question_id", "rank", "key", "score")
 
 
 def k11(s, d):
