@@ -19,9 +19,12 @@ if __name__ == "__main__":
     spark.sparkContext.setLogLevel("ERROR")
     con = oracle.connect(folder)
     sql = entry.oracle_sql()
-    wanted = sys.argv[1:]
+    wanted = [a for a in sys.argv[1:] if not a.startswith("--")]
     fails = 0
+    skipped = [a.removeprefix("--skip=") for a in sys.argv if a.startswith("--skip=")]
     for name, query in entry.queries().items():
+        if any(name.startswith(k) for k in skipped):
+            continue
         if wanted and not any(name.startswith(w) for w in wanted):
             continue
         t0 = time.time()
@@ -33,6 +36,9 @@ if __name__ == "__main__":
                 message = None if n else "no rows"
         except Exception as exc:  # noqa: BLE001
             message = f"{type(exc).__name__}: {str(exc)[:700]}"
+        if "--plans" in sys.argv and message is None:
+            warned = oracle.plan_warnings(query(spark, folder))
+            message = f"plan: {warned}" if warned else None
         fails += message is not None
         mark = "ok  " if message is None else "FAIL"
         print(f"{mark} {name:45s} {time.time() - t0:6.2f}s {'' if name in sql else '(rows only)'} {message or ''}", flush=True)

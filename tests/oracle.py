@@ -64,3 +64,14 @@ def compare(spark, con, query, sql, folder):
     if not got:
         return "empty result"
     return None
+
+
+def plan_warnings(df) -> list[str]:
+    """Plan nodes that do not scale: cross products, and windows or sorts in one partition."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    found = [word for word in ("CartesianProduct", "BroadcastNestedLoopJoin") if word in plan]
+    lines = plan.splitlines()
+    for above, below in zip(lines, lines[1:]):
+        if "SinglePartition" in below and ("Sort [" in above or "Window [" in above):
+            found.append("one-partition " + above.strip(" :+-*()0123456789")[:60])
+    return found
