@@ -18,13 +18,14 @@ def as_label(df: DataFrame, name: str) -> Column:
     return col(name) if V.is_text(df, name) else col(name).cast("string")
 
 
-def _cells(df: DataFrame, columns: list[str], value, name: str) -> DataFrame:
+def _cells(df: DataFrame, columns: list[str], value, name: str, *beside: str) -> DataFrame:
     """Unpivot to ``(c, <name>)`` keeping missing cells; the table is read once.
 
     ``c`` is the position in ``columns``: a fixed-width key, turned into the
     column name by ``named`` after grouping.
     """
-    return df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("c"), value(c).alias(name)) for i, c in enumerate(columns)])))
+    cells = [F.struct(F.lit(i).alias("c"), value(c).alias(name)) for i, c in enumerate(columns)]
+    return df.select(*beside, F.inline(F.array(*cells)))
 
 
 def named(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -37,8 +38,8 @@ def number_cells(df: DataFrame, columns: list[str]) -> DataFrame:
     return _cells(df, columns, lambda c: V.as_number(df, c), "num")
 
 
-def label_cells(df: DataFrame, columns: list[str]) -> DataFrame:
-    return _cells(df, columns, lambda c: as_label(df, c), "txt")
+def label_cells(df: DataFrame, columns: list[str], *beside: str) -> DataFrame:
+    return _cells(df, columns, lambda c: as_label(df, c), "txt", *beside)
 
 
 def long_numbers(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,21 +2,51 @@
 
 Each takes a frame and parameters and returns ``(frame, record)``. The result is
 a lazy plan; statistics an operator needs (a fill value, two fences, a label
-mapping) are aggregated first. A record is a one-row frame with the figures of
-the step, computed only when it is read.
+mapping) are aggregated first. The figures of a record (cells changed, rows
+removed) are counted only when they are read, so a chain of operators costs no
+extra pass over the table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions import moments as M, ranks as R, text as X, values as V
 from plumbline.operators import duplicates as D, profile as P
-from plumbline.session import col, lookup_join
+from plumbline.session import col, cut_lineage, lookup_join
 
-Result = tuple[DataFrame, dict]
+
+
+class Record(Mapping):
+    """What a step did. Values given as functions are worked out on first reading."""
+
+    def __init__(self, **entries):
+        self._entries = entries
+
+    def __getitem__(self, key: str):
+        value = self._entries[key]
+        if callable(value):
+            value = self._entries[key] = value()
+        return value
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._entries)
+
+    def __len__(self) -> int:
+        return len(self._entries)
+
+    def __repr__(self) -> str:
+        shown = {k: "..." if callable(v) else v for k, v in self._entries.items()}
+        return f"Record({shown})"
+
+    def named(self, op: str) -> "Record":
+        return Record(op=op, **self._entries)
+
+
+Result = tuple[DataFrame, Record]
 
 
 def _with(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -24,15 +54,15 @@ def _with(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select([value.alias(c) if c == name else col(c) for c in df.columns])
 
 
-def _count(df: DataFrame, condition: Column) -> int:
-    return df.agg(F.count_if(condition)).first()[0]
+def _count(df: DataFrame, condition: Column) -> Callable[[], int]:
+    return lambda: df.agg(F.count_if(condition)).first()[0]
 
 
 def trim_whitespace(df: DataFrame, column: str) -> Result:
     old = col(column).cast("string")
     new = X.squeeze(old)
     changed = _count(df, ~old.eqNullSafe(new))
-    return _with(df, column, new), {"column": column, "cells_changed": changed}
+    return _with(df, column, new), Record(column=column, cells_changed=changed)
 
 
 def label_mapping(df: DataFrame, column: str, order_by: str | None = None) -> DataFrame:
@@ -51,19 +81,19 @@ def label_mapping(df: DataFrame, column: str, order_by: str | None = None) -> Da
 
 
 def standardize_categories(df: DataFrame, column: str, order_by: str | None = None) -> Result:
-    mapping = label_mapping(df, column, order_by)
+    mapping = cut_lineage(label_mapping(df, column, order_by))
     marked = mapping.select(F.col("label").alias("_label"), F.col("canonical").alias("_canonical"))
     joined = lookup_join(df, marked, col(column).cast("string") == F.col("_label"))
     out = joined.select([
         F.coalesce(F.col("_canonical"), col(c).cast("string")).alias(c) if c == column else col(c) for c in df.columns
     ])
-    row = mapping.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("cells"), F.count("*").alias("labels")).first()
-    return out, {"column": column, "cells_changed": row["cells"], "variants": row["labels"]}
+    row = cache(lambda: mapping.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("cells"), F.count("*").alias("labels")).first())
+    return out, Record(column=column, cells_changed=lambda: row()["cells"], variants=lambda: row()["labels"])
 
 
 def _converted(df: DataFrame, column: str, value: Column) -> Result:
     failed = _count(df, col(column).isNotNull() & value.isNull())
-    return _with(df, column, value), {"column": column, "failed_conversions": failed}
+    return _with(df, column, value), Record(column=column, failed_conversions=failed)
 
 
 def to_numeric(df: DataFrame, column: str) -> Result:
@@ -76,20 +106,20 @@ def to_datetime(df: DataFrame, column: str) -> Result:
     return _converted(df, column, value)
 
 
-def _rows(before: int, after: int, **more) -> dict:
-    return {"rows_before": before, "rows_after": after, "rows_removed": before - after, **more}
+def _rows(before: Callable[[], int], after: Callable[[], int], **more) -> Record:
+    return Record(rows_before=before, rows_after=after, rows_removed=lambda: before() - after(), **more)
 
 
 def drop_duplicates(df: DataFrame, order_by: list[str], subset: list[str] | None = None,
                     keep: str | bool = "first") -> Result:
     out = D.drop_duplicates(df, order_by, subset, keep)
-    return out, _rows(df.count(), out.count())
+    return out, _rows(cache(df.count), cache(out.count))
 
 
 def drop_column(df: DataFrame, column: str) -> Result:
     if column not in df.columns:
         raise ValueError(f"no column {column!r}")
-    return df.drop(column), {"column": column}
+    return df.drop(column), Record(column=column)
 
 
 def drop_rows_missing(df: DataFrame, columns: list[str] | None = None) -> Result:
@@ -98,8 +128,8 @@ def drop_rows_missing(df: DataFrame, columns: list[str] | None = None) -> Result
     for c in names:
         keep = keep & ~V.is_missing(df, c)
     out = df.filter(keep)
-    row = df.agg(F.count("*").alias("n"), F.count_if(keep).alias("kept")).first()
-    return out, _rows(row["n"], row["kept"], columns=list(names))
+    row = cache(lambda: df.agg(F.count("*").alias("n"), F.count_if(keep).alias("kept")).first())
+    return out, _rows(lambda: row()["n"], lambda: row()["kept"], columns=list(names))
 
 
 def choose_strategy(df: DataFrame, column: str) -> str:
@@ -143,14 +173,12 @@ def impute_missing(df: DataFrame, column: str, strategy: str = "auto", value=Non
         if key is None:
             raise ValueError("knn imputation needs a unique key column")
         out, k = knn_impute(df, column, key)
-        return out, {"column": column, "strategy": "knn", "neighbours": k, "missing_before": gaps}
+        return out, Record(column=column, strategy="knn", neighbours=k, missing_before=gaps)
     fill = fill_value(df, column, strategy, value)
     base = V.as_number(df, column) if V.is_numeric(df, column) else col(column)
     out = df if fill is None else _with(df, column, F.coalesce(base, F.lit(fill)))
-    return out, {
-        "column": column, "strategy": strategy, "fill_value": fill,
-        "missing_before": gaps, "missing_after": gaps if fill is None else 0,
-    }
+    after = gaps if fill is None else 0
+    return out, Record(column=column, strategy=strategy, fill_value=fill, missing_before=gaps, missing_after=after)
 
 
 def handle_outliers(df: DataFrame, column: str, strategy: str = "flag") -> Result:
@@ -159,17 +187,17 @@ def handle_outliers(df: DataFrame, column: str, strategy: str = "flag") -> Resul
     q = R.quantile_map(df.select(x.alias(column)), [column], [0.25, 0.75])
     limits = P.fences(q).get(column)
     outside = F.coalesce((x < limits[0]) | (x > limits[1]), F.lit(False)) if limits else F.lit(False)
-    row = df.agg(F.count("*").alias("n"), F.count_if(outside).alias("out")).first()
-    after = row["n"]
+    row = cache(lambda: df.agg(F.count("*").alias("n"), F.count_if(outside).alias("out")).first())
     out = df
     if strategy == "remove":
-        out, after = df.filter(~outside), row["n"] - row["out"]
+        out = df.filter(~outside)
     elif strategy == "cap" and limits:
         capped = F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(limits[0])), F.lit(limits[1])))
         out = _with(df, column, capped)
     elif strategy == "flag":
         out = df.withColumn(f"{column}__is_outlier", outside)
-    return out, {"column": column, "strategy": strategy, "outliers": row["out"], **_rows(row["n"], after)}
+    removed = lambda: row()["out"] if strategy == "remove" else 0
+    return out, _rows(lambda: row()["n"], lambda: row()["n"] - removed(), column=column, strategy=strategy, outliers=lambda: row()["out"])
 
 
 def rare_labels(df: DataFrame, column: str, min_frequency: float = 0.01) -> DataFrame:
@@ -180,18 +208,18 @@ def rare_labels(df: DataFrame, column: str, min_frequency: float = 0.01) -> Data
 
 
 def group_rare_categories(df: DataFrame, column: str, min_frequency: float = 0.01, label: str = "Other") -> Result:
-    rare = rare_labels(df, column, min_frequency).select(F.col("label").alias("_rare"))
+    rare = cut_lineage(rare_labels(df, column, min_frequency).select(F.col("label").alias("_rare")))
     joined = lookup_join(df, rare, col(column) == F.col("_rare"))
     out = joined.select([
         F.when(F.col("_rare").isNotNull(), F.lit(label)).otherwise(col(c)).alias(c) if c == column else col(c)
         for c in df.columns
     ])
-    return out, {"column": column, "levels_grouped": rare.count(), "label": label}
+    return out, Record(column=column, levels_grouped=rare.count, label=label)
 
 
 def map_categories(df: DataFrame, column: str, mapping: dict[str, str]) -> Result:
     out = df.replace(mapping, subset=[column])
-    return out, {"column": column, "cells_changed": _count(df, col(column).isin(list(mapping)))}
+    return out, Record(column=column, cells_changed=_count(df, col(column).isin(list(mapping))))
 
 
 OPERATIONS: dict[str, Callable[..., Result]] = {
@@ -207,7 +235,7 @@ SAFE_OPERATIONS = {"trim_whitespace", "standardize_categories", "to_numeric", "d
 ORDERED = {"drop_duplicates", "standardize_categories"}
 
 
-def apply_operations(df: DataFrame, operations: list[dict], row_key: str | None = None) -> tuple[DataFrame, list[dict]]:
+def apply_operations(df: DataFrame, operations: list[dict], row_key: str | None = None) -> tuple[DataFrame, list[Record]]:
     """Run operators in order. A column that is gone by then gives a skipped record."""
     records = []
     for step in operations:
@@ -215,14 +243,14 @@ def apply_operations(df: DataFrame, operations: list[dict], row_key: str | None
         if name not in OPERATIONS:
             raise ValueError(f"unknown cleaning operation {name!r}")
         if "column" in params and params["column"] not in df.columns and name != "drop_column":
-            records.append({"op": name, "skipped": True, "reason": f"no column {params['column']!r}"})
+            records.append(Record(op=name, skipped=True, reason=f"no column {params['column']!r}"))
             continue
         if row_key and name in ORDERED:
             params.setdefault("order_by", [row_key] if name == "drop_duplicates" else row_key)
         if row_key and name == "impute_missing":
             params.setdefault("key", row_key)
         df, record = OPERATIONS[name](df, **params)
-        records.append({"op": name, **record})
+        records.append(record.named(name))
     return df, records
 
 

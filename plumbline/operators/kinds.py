@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from plumbline.functions import counts as C, moments as M, ranks as R, text as X, values as V
 from plumbline.session import col
@@ -152,19 +152,25 @@ def of_kind(kinds: dict[str, str], *wanted: str) -> list[str]:
     return [c for c, k in kinds.items() if k in wanted]
 
 
+DATE_SAMPLE = 50
+
+
 def coerce_dates(df: DataFrame, order_by: str | None = None, skip: tuple[str, ...] = ()) -> DataFrame:
     """Turn text columns into timestamps where at least 80 % of the first 50
     values look like dates and at least 80 % of all rows parse."""
     names = [c for c in df.columns if V.is_text(df, c) and c not in skip]
     if not names:
         return df
-    dated = []
-    for c in names:
-        first = df.filter(col(c).isNotNull())
-        first = first.orderBy(col(order_by)).limit(50) if order_by else first.limit(50)
-        share = first.agg(V.share_if(X.looks_dated(col(c)))).first()[0]
-        if share is not None and share >= 0.8:
-            dated.append(c)
+    if order_by:
+        # The first values of all columns in one pass: the rank limit applies before the shuffle.
+        cells = C.label_cells(df.select(*names, col(order_by).alias("_at")), names, "_at").filter(F.col("txt").isNotNull())
+        first = Window.partitionBy("c").orderBy("_at")
+        head = cells.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= DATE_SAMPLE)
+        shares = {r["column"]: r["share"] for r in C.named(head.groupBy("c").agg(V.share_if(X.looks_dated(F.col("txt"))).alias("share")), names).collect()}
+    else:
+        head = lambda c: df.filter(col(c).isNotNull()).limit(DATE_SAMPLE)
+        shares = {c: head(c).agg(V.share_if(X.looks_dated(col(c)))).first()[0] for c in names}
+    dated = [c for c in names if (shares.get(c) or 0) >= 0.8]
     if not dated:
         return df
     parsed = df.agg(*[F.avg(X.parse_time(col(c)).isNotNull().cast("int")).alias(c) for c in dated]).first()

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions import ranks as R, text as X
-from plumbline.session import col, lookup_join
+from plumbline.session import col, cut_lineage, lookup_join
 
 RECENT, TOP_SOURCES, LATEST = 500, 5, 10
 UNKNOWN = "Unknown"
@@ -37,19 +37,22 @@ def overview(runs: DataFrame, n: int = RECENT) -> DataFrame:
     return run_totals(newest(runs, "ran_at", "id", n))
 
 
+def with_names(few: DataFrame, names: DataFrame) -> DataFrame:
+    """A top list with source names. The few rows are worked out once and written; the
+    name table is reduced to them by a broadcast semi join before it is joined."""
+    few = cut_lineage(few)
+    met = names.join(F.broadcast(few.select("source").distinct()), "source", "left_semi")
+    return few.join(met, "source", "left").withColumn("name", F.coalesce("name", F.lit(UNKNOWN)))
+
+
 def top_sources(runs: DataFrame, names: DataFrame, k: int = TOP_SOURCES) -> DataFrame:
     """The ``k`` busiest sources with their name, ``Unknown`` where none is registered."""
     busiest = runs.groupBy("source").agg(F.count("*").alias("runs")).orderBy(F.desc("runs"), "source").limit(k)
-    return names.join(F.broadcast(busiest), "source", "right").select(
-        "source", F.coalesce("name", F.lit(UNKNOWN)).alias("name"), "runs"
-    )
+    return with_names(busiest, names).select("source", "name", "runs")
 
 
 def recent_runs(runs: DataFrame, names: DataFrame, n: int = LATEST) -> DataFrame:
-    latest = newest(runs, "ran_at", "id", n)
-    return names.join(F.broadcast(latest), "source", "right").select(
-        "id", "source", F.coalesce("name", F.lit(UNKNOWN)).alias("name"), "ok", "ran_at"
-    )
+    return with_names(newest(runs, "ran_at", "id", n), names).select("id", "source", "name", "ok", "ran_at")
 
 
 def history(runs: DataFrame, owner, source=None, n: int = 50) -> DataFrame:

@@ -47,6 +47,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def is_written(df: DataFrame) -> bool:
+    """True for a frame that is a checkpoint, or a projection of one."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.getClass().getSimpleName() == "Project":
+        plan = plan.child()
+    return plan.getClass().getSimpleName() == "LogicalRDD"
+
+
 def lookup_join(df: DataFrame, lookup: DataFrame, on, how: str = "left", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a lookup frame, broadcasting it only after its size was checked.
 
@@ -54,7 +62,8 @@ def lookup_join(df: DataFrame, lookup: DataFrame, on, how: str = "left", rows: i
     one goes through an ordinary shuffle join, where adaptive execution splits
     hot keys of the left side.
     """
-    lookup = cut_lineage(lookup)
+    if not is_written(lookup):
+        lookup = cut_lineage(lookup)
     if lookup.count() <= rows:
         lookup = F.broadcast(lookup)
     return df.join(lookup, on, how)

@@ -174,6 +174,19 @@ def findings(spark, d):
     return E.findings(df, P.column_facts(df), "vip").select("category", "subject")
 
 
+# The parts above over the columns of ``_skewed``, by subject only.
+FINDINGS_SQL = f"""
+SELECT category, subject FROM ({union_all(
+    f"SELECT 'statistical' AS category, '{c}' AS subject FROM ({dirty_sql(c)}) HAVING abs(skewness({c})) >= 1" for c in ("spend", "balance", "churn_score"))})
+UNION ALL SELECT category, subject FROM ({union_all(
+    f"SELECT 'data_quality' AS category, '{c}' AS subject FROM ({_top_sql(dirty_sql(c), c, 1, c + '::VARCHAR')}) WHERE pct >= 80" for c in ("channel", "vip", "flag"))})
+UNION ALL SELECT category, subject FROM ({CORR_SQL})
+UNION ALL SELECT 'ml', 'vip' FROM (SELECT min(n) / sum(n) AS p FROM (SELECT count(*) AS n FROM ({dirty_sql('vip')}) GROUP BY vip)) WHERE p < 0.2
+UNION ALL SELECT 'business', c FROM ({union_all(
+    f"SELECT '{c}' AS c FROM (SELECT avg({c}) AS m FROM ({dirty_sql('vip', c)}) GROUP BY vip) HAVING min(m) <> 0 AND abs(max(m) - min(m)) / (abs(min(m)) + 1e-9) > 0.25"
+    for c in ("spend", "balance", "churn_score"))})"""
+
+
 def neutral_finding(spark, d):
     df = table(spark, d, "customer").select("c_acctbal", "c_mktsegment")
     return E.findings(df, P.column_facts(df)).select("category", "text")
@@ -197,6 +210,6 @@ QUERIES = {
     "E14_correlation_findings": (correlation_findings, CORR_SQL),
     "E15_imbalance_findings": (imbalance_findings, IMBALANCE_SQL),
     "E16_group_gaps": (group_gaps, GAP_SQL),
-    "E16_findings": (findings, None),
+    "E16_findings": (findings, FINDINGS_SQL),
     "E17_neutral_finding": (neutral_finding, "SELECT 'data_quality' AS category, 'no strong skew, imbalance or correlation stands out' AS text FROM (SELECT skewness(c_acctbal) AS s FROM customer) WHERE abs(s) < 1"),
 }

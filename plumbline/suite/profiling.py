@@ -449,7 +449,7 @@ _NUM = ["l_linenumber", "quantity", "price"]
 QUERIES = {
     "A1_column_kinds": (column_kinds, COLUMN_KINDS_SQL),
     "A2_coerce_dates": (coerce_dates, COERCE_SQL),
-    "A3_sample_rows": (sampled, None),
+    "A3_sample_rows": (sampled, "SELECT least(5000, count(*)) AS rows, true AS sampled FROM lineitem"),
     "P1_dataset_profile": (dataset_profile, DATASET_SQL),
     "P2_column_profile": (column_profile, COLUMN_PROFILE_SQL),
     "P3_top_values": (top_values, TOP_SQL),
