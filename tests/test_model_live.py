@@ -40,7 +40,11 @@ def test_regression_beats_the_mean(spark):
 
 
 def test_knn_votes_equal_brute_force(spark, classes):
-    out = M.train_and_compare(classes, "target", "k", models=["K-Nearest Neighbors"], drop=["cat"], cross_validation=False)
+    out = M.train_and_compare(classes, "target", "k", models=["K-Nearest Neighbors"], drop=["cat"], cross_validation=False, permutations=1)
+    weights = {r["feature"]: r["importance"] for r in out.importance.collect()}
+    assert weights["x1"] > weights["x2"]
+    scored = M.predict(out, out.test.drop("_label", "_index")).collect()
+    assert len(scored) == out.test.count() and all(abs(sum(r["probabilities"].values()) - 1) < 1e-6 for r in scored)
     train, test = out.train.toPandas(), out.test.toPandas()
     mean, std = train[["x1", "x2"]].mean(), train[["x1", "x2"]].std(ddof=0)
     a, b = ((t[["x1", "x2"]] - mean) / std for t in (train, test))
