@@ -20,7 +20,8 @@ def column_facts(df: DataFrame) -> DataFrame:
     that rules built on top never read the table again.
     """
     counts = C.value_counts(df, df.columns)
-    scanned = K.scan_columns(df, counts)
+    labels = [c for c in df.columns if V.is_text(df, c)]
+    scanned = K.scan_columns(df, C.value_counts(df, labels) if labels else None)
     counted = C.count_facts(counts)
     unique = F.coalesce(F.col("unique"), F.lit(0).cast("long"))
     facts = scanned.join(counted, "column", "left").select(
