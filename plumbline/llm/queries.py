@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.llm import simhash
+from plumbline.llm import lines, simhash
 
-MODULES = [simhash]
+MODULES = [lines, simhash]
 
 
 def collect() -> dict:
