@@ -304,16 +304,16 @@ def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
 _KEY = "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 OP7_SQL = f"""
 WITH split AS (
-  SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS at
+  SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS nth
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)
-), keyed AS (SELECT doc_id, at, line, {_KEY} AS k FROM split),
+), keyed AS (SELECT doc_id, nth, line, {_KEY} AS k FROM split),
 shared AS (
   SELECT k, min(doc_id) AS first_doc FROM keyed WHERE length(k) >= {MIN_CHARS} GROUP BY k HAVING count(DISTINCT doc_id) > 1
 ), judged AS (
   SELECT keyed.*, coalesce(doc_id <> first_doc, false) AS gone FROM keyed LEFT JOIN shared USING (k)
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '')) AS kept_sha256
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id"""
 
 QUERIES = {"op7_line_dedup": (op7_line_dedup, OP7_SQL)}
