@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.llm import lines, simhash
+from plumbline.llm import decontaminate, lines, packing, quality, simhash
 
-MODULES = [lines, simhash]
+MODULES = [simhash, lines, quality, packing, decontaminate]
 
 
 def collect() -> dict:
