@@ -8,8 +8,8 @@ the shared positional bytes of each pair are tallied, pairs below the minimum ar
 bit distance. Equal fingerprints are one entry of the index.
 
 Cases: a null or empty text, and one without words, has fingerprint zero and is linked like any other. Rows that
-repeat share a fingerprint and so a component. A row with a null id gets a fingerprint and takes the component of its
-fingerprint's group, which is null only if nothing in the group has an id. An empty table gives an empty result.
+repeat share a fingerprint and so a component. A row with a null id is linked like any other; ``component_id`` is null
+only if nothing in the group has an id. An empty table gives an empty result.
 Further columns of the input are ignored, whatever their names.
 """
 
@@ -56,13 +56,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, fp``: one row per input row; ``fp`` holds the 64 bits as a long."""
 
+    return docs.select(F.col(doc_id).alias("doc_id"), _signed(shingle)(F.col(text).cast("binary")).alias("fp"))
+
+
+def _signed(shingle: int):
     @F.pandas_udf("long")
     def signed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in texts:
             values = [fingerprint(bytes(t) if t is not None else b"", shingle) for t in part]
             yield pd.Series(np.array(values, np.uint64).view(np.int64))
 
-    return docs.select(F.col(doc_id).alias("doc_id"), signed(F.col(text).cast("binary")).alias("fp"))
+    return signed
 
 
 def position_sets(distance: int) -> list[tuple[int, ...]]:
@@ -156,6 +160,16 @@ def _search(fps: np.ndarray, least: int, distance: int, width: int = 32):
     return (np.concatenate(i), np.concatenate(j)) if i else (none, none)
 
 
+def groups(marked: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+    """``fp, group, component_id`` for the fingerprints of ``marked`` (``doc_id, fp``): which are linked, directly or not."""
+    firsts = common.stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    joined = common.components(links(firsts.select(F.col("fp").alias("id"), "fp"), distance, block))
+    named = firsts.join(joined.withColumnRenamed("id", "fp"), "fp", "left")
+    named = named.withColumn("group", F.coalesce("component", "fp"))
+    least = named.groupBy("group").agg(F.min("first").alias("component_id"))
+    return named.select("fp", "group").join(least, "group")
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE,
     block: int = BLOCK,
@@ -165,16 +179,27 @@ def near_duplicates(
     ``component_id`` is the smallest id reachable through links of at most ``distance`` bits; ``kept`` marks it.
     """
     marked = common.stored(fingerprints(docs, doc_id, text, shingle))
-    entries = marked.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id IS NOT NULL")
-    entries = common.stored(entries)
-    joined = common.components(links(entries, distance, block))
-    reached = entries.join(joined, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return marked.join(reached, "fp", "left").select(
+    return marked.join(groups(marked, distance, block), "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"),
     )
 
 
+def keep_one(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE,
+    block: int = BLOCK,
+) -> DataFrame:
+    """One row of each group with the columns of ``docs``: the smallest id, ids before nulls; ties by a hash of the text."""
+    bits = _signed(shingle)(F.col(text).cast("binary"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(whole.alias("row"), F.col(doc_id).alias("doc_id"), bits.alias("fp"), F.xxhash64(text).alias("h"))
+    rows = common.stored(rows.withColumn("nth", F.monotonically_increasing_id()))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "h", "nth")
+    marked = rows.select("doc_id", "fp", "h", "nth")
+    best = marked.join(groups(marked, distance, block), "fp").groupBy("group").agg(F.min_by("nth", order).alias("nth"))
+    return rows.join(best.select("nth"), "nth", "left_semi").select("row.*")
+
+
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))
 

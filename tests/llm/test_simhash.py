@@ -86,3 +86,5 @@ def test_null_ids_and_empty_table(spark):
     got = sorted(str((r.doc_id, r.component_id, r.kept)) for r in simhash.near_duplicates(docs).collect())
     assert got == ["(3, 3, True)", "(3, 3, True)", "(None, 3, False)", "(None, None, False)"]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+    kept = simhash.keep_one(docs.selectExpr("doc_id", "text", "1 AS fp", "2 AS nth"))
+    assert sorted(map(str, (tuple(r) for r in kept.collect()))) == ["(3, 'a b', 1, 2)", "(None, 'z', 1, 2)"]
