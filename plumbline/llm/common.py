@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +20,8 @@ from plumbline.session import checkpoint_dir
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 SPACE = " \t\n\x0b\x0c\r"
 
-# Text bytes that one task of a two-way exchange holds at a time.
-BUCKET_BYTES = 6_000_000
+# Text bytes that a task holds at a time where documents are worked on together.
+CHUNK_BYTES = 6_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +34,7 @@ def stored(df: DataFrame) -> DataFrame:
     Unlike ``checkpoint()``, which computes the last stage a second time for its copy, this runs it once.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -169,45 +169,52 @@ def group_starts(tab: pa.Table, keys: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(edge), tab.num_rows)
 
 
-# --- two-way exchange between buckets of documents and shards of keys --------------------------------------------------
+# --- two-way exchange between chunks of documents and shards of keys ----------------------------------------------------
+#
+# A chunk is a run of documents that one task reads together; what is kept of it is written once, so that its number
+# names the same documents ever after. A chunk asks each shard once about its distinct keys, whatever the number of
+# their occurrences: a key that fills a third of all rows reaches its shard as one entry per chunk.
 
 
-def in_buckets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``bucket, doc_id, text`` with about ``BUCKET_BYTES`` of text in a bucket, however the table was split."""
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    count = max(1, -(-int(size) // BUCKET_BYTES))
-    bucket = F.pmod(F.xxhash64(doc_id, text), F.lit(count)).cast("int")
-    return docs.select(
-        bucket.alias("bucket"), F.col(doc_id).cast("long").alias("doc_id"),
-        F.coalesce(F.col(text), F.lit("")).alias("text"),
-    )
+def chunks(batches: Iterator[pa.RecordBatch], size: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.Table]]:
+    """Numbered chunks of about ``limit`` bytes of the column ``size``; every one gets a new number."""
+    from pyspark import TaskContext
+
+    number, held, weight = TaskContext.get().partitionId() << 32, [], 0
+    for batch in batches:
+        lengths = np.cumsum(_bytes_of(batch.column(size)))
+        at = 0
+        while at < batch.num_rows:
+            base = int(lengths[at - 1]) if at else 0
+            end = int(np.searchsorted(lengths, base + limit - weight)) + 1
+            held.append(batch.slice(at, end - at))
+            weight += int(lengths[min(end, batch.num_rows) - 1]) - base
+            at = end
+            if weight >= limit:
+                yield number, pa.Table.from_batches(held)
+                number, held, weight = number + 1, [], 0
+    if held:
+        yield number, pa.Table.from_batches(held)
 
 
-def shards_for(buckets: DataFrame) -> int:
-    """As many shards as there are shuffle partitions, times four: a shard's share of keys stays small."""
-    return 4 * int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _bytes_of(column: pa.Array) -> np.ndarray:
+    import pyarrow.compute as pc
 
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16
 
-def per_bucket(buckets: DataFrame, answers: DataFrame | None, work: Callable, schema: str) -> DataFrame:
-    """Run ``work(doc_ids, texts, answer_table)`` once per bucket; it yields Arrow tables.
 
-    The documents of a bucket come sorted by id, then text, so every call sees the same order, also when a
-    task is run again.
-    """
-    def alone(table: pa.Table) -> pa.Table:
-        return _one(table, None, work)
+def shards_of(spark: SparkSession) -> int:
+    """Four shards per shuffle partition, so that a shard's share of the distinct keys stays small."""
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def paired(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _one(left, right, work)
 
-    if answers is None:
-        return buckets.groupBy("bucket").applyInArrow(alone, schema)
-    return buckets.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(paired, schema)
+def shard_cuts(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Where the shards begin and end in sorted ``keys``; shards are equal ranges of the hash."""
+    edges = (np.arange(1, shards, dtype=np.uint64) * np.uint64((1 << 64) // shards)).astype(np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, edges, "left"), [len(keys)]])
 
 
-def _one(left: pa.Table, right: pa.Table | None, work: Callable) -> pa.Table:
-    if left.num_rows:
-        left = left.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    bucket = left.column("bucket")[0].as_py() if left.num_rows else -1
-    texts = [x.as_py() or b"" for x in left.column("text").cast(pa.binary()).combine_chunks()] if left.num_rows else []
-    return work(bucket, left.column("doc_id").to_pylist(), texts, right)
+def from_blobs(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all blobs in one array, and where each blob begins and ends."""
+    parts = [np.frombuffer(b, kind) for b in column.to_pylist()]
+    return (np.concatenate(parts) if parts else np.empty(0, kind)), np.cumsum([0] + [len(p) for p in parts])

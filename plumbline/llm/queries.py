@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontaminate, lines, packing, quality, simhash
+from plumbline.llm import decontaminate, embeddings, hmm, lines, packing, pii, quality, simhash
 
-MODULES = [simhash, lines, quality, packing, decontaminate]
+MODULES = [simhash, embeddings, hmm, pii, lines, quality, packing, decontaminate]
 
 
 def collect() -> dict:
