@@ -258,12 +258,13 @@ def delete(index: LineIndex, ids: DataFrame, doc_id: str = "doc_id") -> LineInde
     return _changed(index, refs, common.stored(rest.unionByName(left)), moved)
 
 
-def dedupe(index: LineIndex, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedupe(index: LineIndex, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", inserted: bool = False) -> DataFrame:
     """``docs`` with ``text`` rewritten, and ``n_lines`` and ``n_dropped`` before and of the removal.
 
     A line goes if the index holds its key in two or more documents and this document is not the first of them.
+    ``inserted`` says that the index holds just these documents, so that its references serve as theirs.
     """
-    own = line_refs(docs, doc_id, text, index.min_chars)
+    own = index.refs if inserted else line_refs(docs, doc_id, text, index.min_chars)
     maybe = _probe(index, own, "repeated")
     repeated = index.counts.where("refs > 1").select("k1", "k2", "first_doc")
     drops = maybe.join(repeated, ["k1", "k2"]).where("doc_id <> first_doc")
@@ -297,7 +298,7 @@ def dedupe(index: LineIndex, docs: DataFrame, doc_id: str = "doc_id", text: str
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = dedupe(build(docs), docs)
+    done = dedupe(build(docs), docs, inserted=True)
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
