@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline.functions import moments as M, ranks as R, text as X, values as V
 from plumbline.operators import duplicates as D, profile as P
@@ -97,7 +97,8 @@ def _converted(df: DataFrame, column: str, value: Column) -> Result:
 
 
 def to_numeric(df: DataFrame, column: str) -> Result:
-    value = V.as_number(df, column) if V.is_numeric(df, column) else X.parse_number(col(column).cast("string"))
+    """Text to double; a column that is numeric already keeps its type and every digit."""
+    value = V.present(df, column) if V.is_numeric(df, column) else X.parse_number(col(column).cast("string"))
     return _converted(df, column, value)
 
 
@@ -155,14 +156,26 @@ def fill_value(df: DataFrame, column: str, strategy: str, value=None):
             return R.quantile_map(df, [column], [0.5])[column].get(0.5)
         if strategy == "mode":
             mode = most_frequent(df, column)
-            return 0.0 if mode is None else float(mode)
-        return float(value or 0)
+            return 0 if mode is None else mode
+        return value or 0
     if strategy in ("mode", "auto"):
         mode = most_frequent(df, column)
         return "Unknown" if mode is None else mode
     return "Unknown" if value is None else value
 
 
+def _filled(df: DataFrame, column: str, fill) -> Column:
+    """The column with gaps filled, in its own type. Whole numbers become decimals only where the fill has a fraction."""
+    kind = V.data_type(df, column)
+    if not V.is_numeric(df, column):
+        return F.coalesce(col(column), F.lit(fill))
+    if V.is_float(df, column):
+        return F.coalesce(V.as_number(df, column), F.lit(float(fill)))
+    if isinstance(kind, T.IntegralType) and float(fill) % 1:
+        return F.coalesce(col(column).cast("decimal(38,6)"), F.lit(fill).cast("decimal(38,6)"))
+    return F.coalesce(col(column), F.lit(fill).cast(kind))
+
+
 def impute_missing(df: DataFrame, column: str, strategy: str = "auto", value=None, key: str | None = None) -> Result:
     if strategy == "auto":
         strategy = choose_strategy(df, column)
@@ -175,8 +188,7 @@ def impute_missing(df: DataFrame, column: str, strategy: str = "auto", value=Non
         out, k = knn_impute(df, column, key)
         return out, Record(column=column, strategy="knn", neighbours=k, missing_before=gaps)
     fill = fill_value(df, column, strategy, value)
-    base = V.as_number(df, column) if V.is_numeric(df, column) else col(column)
-    out = df if fill is None else _with(df, column, F.coalesce(base, F.lit(fill)))
+    out = df if fill is None else _with(df, column, _filled(df, column, fill))
     after = gaps if fill is None else 0
     return out, Record(column=column, strategy=strategy, fill_value=fill, missing_before=gaps, missing_after=after)
 

@@ -104,7 +104,7 @@ def _impute(column, strategy, **more):
     def run(spark, d):
         out, record = clean.impute_missing(dirty_customer(spark, d, column, key=True), column, strategy, **more)
         return out.agg(
-            F.count(column).alias("present"), F.round(F.sum(F.col(column)), 2).alias("total"),
+            F.count(column).alias("present"), F.round(F.sum(F.col(column)).cast("double"), 2).alias("total"),
             F.lit(record["missing_before"]).cast("long").alias("missing_before"),
             F.lit(record["strategy"]).alias("strategy"),
         )
@@ -118,6 +118,24 @@ SELECT count(*) AS present, round(sum(coalesce({column}, v)) * 1.0::DOUBLE, 2) A
  (SELECT count(*) - count({column}) FROM t) AS missing_before, '{strategy}' AS strategy FROM t, f"""
 
 
+def impute_wide_ids(spark, d):
+    """Keys that doubles cannot tell apart stay apart, and keep their type, when gaps are filled."""
+    lines = table(spark, d, "lineitem").selectExpr(
+        "CASE WHEN l_linenumber <> 5 THEN l_orderkey * 8 + l_linenumber + 1152921504606846976 END AS line_id")
+    out, record = clean.impute_missing(lines, "line_id", "constant", 1152921504606846977)
+    return out.agg(
+        F.count("line_id").alias("present"), F.count_distinct("line_id").alias("distinct_ids"),
+        F.sum(F.col("line_id") - F.lit(1 << 60)).alias("total"), F.lit(record["missing_before"]).cast("long").alias("missing_before"),
+        F.lit(out.schema["line_id"].dataType.simpleString()).alias("type"),
+    )
+
+
+IMPUTE_WIDE_SQL = """
+WITH t AS (SELECT CASE WHEN l_linenumber <> 5 THEN l_orderkey * 8 + l_linenumber END AS k FROM lineitem)
+SELECT count(*) AS present, count(DISTINCT coalesce(k, 1)) AS distinct_ids, sum(coalesce(k, 1))::BIGINT AS total,
+ count(*) - count(k) AS missing_before, 'bigint' AS type FROM t"""
+
+
 def impute_labels(spark, d):
     gaps = dirty_customer(spark, d, "channel", "vip", key=True).withColumn(
         "vip", F.when(F.col("c_custkey") % 8 != 0, F.col("vip"))
@@ -310,6 +328,7 @@ QUERIES = {
 WITH t AS ({dirty_sql('few_gaps')}), f AS (SELECT few_gaps::DOUBLE AS v FROM t WHERE few_gaps IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
 SELECT count(*) AS present, round(sum(coalesce(few_gaps, v)), 2) AS total, (SELECT count(*) - count(few_gaps) FROM t) AS missing_before, 'mode' AS strategy FROM t, f"""),
     "C8_impute_constant": (_impute("balance", "constant", value=7), _impute_sql("balance", "max(7)", "constant")),
+    "C8_wide_ids": (impute_wide_ids, IMPUTE_WIDE_SQL),
     "C8_impute_labels": (impute_labels, IMPUTE_LABEL_SQL),
     "C9_impute_auto": (_impute("balance", "auto"), f"""
 WITH t AS ({dirty_sql('balance')}), f AS (SELECT CASE WHEN abs(skewness(balance)) > 1 THEN median(balance) ELSE avg(balance) END AS v,

@@ -446,7 +446,44 @@ SELECT 'documents' AS source, sum(c)::BIGINT AS duplicate_rows FROM (SELECT coun
 UNION ALL SELECT 'lineitem', sum(c)::BIGINT FROM (SELECT count(*) AS c FROM lineitem GROUP BY {", ".join(LINES)} HAVING count(*) > 1)"""
 
 _NUM = ["l_linenumber", "quantity", "price"]
+WIDE = {"line_id": "l_orderkey * 8 + l_linenumber + 1152921504606846976", "order_id": "l_orderkey + 1152921504606846976"}
+
+
+def _wide(spark, d):
+    """Keys and amounts whose differences a double cannot hold."""
+    lines = table(spark, d, "lineitem").selectExpr(
+        f"{WIDE['line_id']} AS line_id", f"{WIDE['order_id']} AS order_id",
+        "CAST(CAST('10000000000000000000000000' AS DECIMAL(38,6)) + CAST(l_quantity AS DECIMAL(10,2)) AS DECIMAL(38,6)) AS amount")
+    return P.column_facts(lines)
+
+
+def wide_profile(spark, d):
+    return P.column_profile(_wide(spark, d)).select("column", "kind", "count", "unique", "is_constant", "mode")
+
+
+def wide_identifiers(spark, d):
+    found = Q.identifier_issues(_wide(spark, d))
+    return found.select("code", F.col("evidence")["duplicate_values"].cast("long").alias("duplicate_values"))
+
+
+_WIDE_CELLS = """
+cells AS (
+  SELECT 'line_id' AS "column", l_orderkey * 8 + l_linenumber AS k, (l_orderkey * 8 + l_linenumber + 1152921504606846976)::VARCHAR AS shown FROM lineitem
+  UNION ALL SELECT 'order_id', l_orderkey, (l_orderkey + 1152921504606846976)::VARCHAR FROM lineitem
+  UNION ALL SELECT 'amount', l_quantity::BIGINT, '100000000000000000000000' || lpad(l_quantity::BIGINT::VARCHAR, 2, '0') FROM lineitem
+), n AS (SELECT "column", k, shown, count(*) AS n FROM cells GROUP BY ALL)"""
+WIDE_PROFILE_SQL = f"""
+WITH {_WIDE_CELLS}
+SELECT "column", 'numeric' AS kind, sum(n)::BIGINT AS count, count(*) AS "unique", false AS is_constant,
+  first(shown ORDER BY n DESC, k) AS mode FROM n GROUP BY 1"""
+WIDE_IDENTIFIER_SQL = f"""
+WITH {_WIDE_CELLS}
+SELECT 'duplicates::id::' || "column" AS code, sum(n) FILTER (n > 1)::BIGINT AS duplicate_values
+FROM n WHERE "column" <> 'amount' GROUP BY "column" HAVING max(n) > 1"""
+
 QUERIES = {
+    "P2_wide_ids": (wide_profile, WIDE_PROFILE_SQL),
+    "Q3_wide_ids": (wide_identifiers, WIDE_IDENTIFIER_SQL),
     "A1_column_kinds": (column_kinds, COLUMN_KINDS_SQL),
     "A2_coerce_dates": (coerce_dates, COERCE_SQL),
     "A3_sample_rows": (sampled, "SELECT least(5000, count(*)) AS rows, true AS sampled FROM lineitem"),
