@@ -42,37 +42,49 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else one above 255."""
+    spare = iter(range(256, 512))
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
+
+
 class WordTokenizer:
     """Ids of whole texts from remembered ids of words; no token of this vocabulary crosses white space."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer = None
-        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.merge = self.full.model.tokenize
+        self.letters = _byte_letters()
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
 
-    def _learn(self, tokenizer, words: list[str], into: dict) -> None:
-        for word, found in zip(words, tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            into[word] = np.array(found.ids, "<u4").tobytes()
+    def _part(self, part: str) -> bytes:
+        """Ids of one run of letters or of marks: what the merges make of its bytes."""
+        if part not in self.parts:
+            text = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+            self.parts[part] = np.array([t.id for t in self.merge(text)], "<u4").tobytes()
+        return self.parts[part]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit numbers."""
         split = [_WORD.findall(t) for t in texts]
         if len(self.words) > _REMEMBERED:
             self.words.clear()
+        if len(self.parts) > _REMEMBERED:
             self.parts = {"": b""}
-        new = set().union(*split) - self.words.keys()
-        plain = {w: m.groups() for w in new if (m := _PLAIN.fullmatch(w))}
-        parts = {a.lower() for a, _ in plain.values()} | {b for _, b in plain.values()}
-        self._learn(self.bare, list(parts - self.parts.keys()), self.parts)
-        for w, (a, b) in plain.items():
-            self.words[w] = self.parts[a.lower()] + self.parts[b]
-        self._learn(self.full, list(new - plain.keys()), self.words)
+        rest = []
+        for word in set().union(*split) - self.words.keys():
+            plain = _PLAIN.fullmatch(word)
+            if plain:
+                self.words[word] = self._part(plain[1].lower()) + self._part(plain[2])
+            else:
+                rest.append(word)
+        for word, found in zip(rest, self.full.encode_batch_fast(rest, add_special_tokens=False)):
+            self.words[word] = np.array(found.ids, "<u4").tobytes()
         return [b"".join(map(self.words.__getitem__, words)) for words in split]
 
 

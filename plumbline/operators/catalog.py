@@ -28,7 +28,7 @@ SENSITIVE_TYPES = ["email", "phone", "name", "address", "free_text"]
 OPAQUE_ID_WORDS = "uuid|guid|token|hash"
 INTERNAL_NAMES = "audit|log|migration|_history|alembic|celery|pg_|information_schema"
 DATE_COLUMNS = ["created_at", "order_date", "placed_at", "timestamp"]
-ENUM_LEVELS, MAX_OBJECTS = 15, 5_000
+ENUM_LEVELS = 15
 FILTER_OPERATORS = ["=", "!=", ">", ">=", "<", "<=", "like", "ilike", "is_null", "is_not_null"]
 
 
@@ -39,7 +39,7 @@ def list_tables(spark: SparkSession, schemas: list[str] | None = None, pattern:
         if guard.is_system_schema(db):
             continue
         rows += [(db, t.name, t.isTemporary) for t in spark.catalog.listTables(db) if fnmatch.fnmatch(t.name, pattern)]
-    return spark.createDataFrame(rows[:MAX_OBJECTS], "schema string, table string, is_temporary boolean")
+    return spark.createDataFrame(rows, "schema string, table string, is_temporary boolean")
 
 
 def extract(spark: SparkSession, tables: dict[str, DataFrame], keys: dict[str, str] | None = None,
@@ -248,8 +248,8 @@ def closest_names(names: DataFrame, wanted: str, least: float = 0.5, k: int = 5)
 
 
 def slice_rows(df: DataFrame, order_by: list[str], offset: int, rows: int) -> DataFrame:
-    """Rows ``[offset, offset + min(rows, 50))`` of a stored result."""
-    return df.orderBy(*[col(c) for c in order_by]).offset(offset).limit(min(rows, 50))
+    """Rows ``[offset, offset + rows)`` of a stored result."""
+    return df.orderBy(*[col(c) for c in order_by]).offset(offset).limit(rows)
 
 
 def schema_card(df: DataFrame, order_by: str, samples: int = 3) -> DataFrame:

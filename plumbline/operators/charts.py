@@ -17,7 +17,7 @@ WIDGET_ROWS = 500
 
 
 def global_filters(df: DataFrame, filters: dict, now=None, time: str = "created_at", status: str = "status") -> DataFrame:
-    """Last N days, one status, at most ``limit`` rows; values that are no numbers are ignored.
+    """Last N days, one status, the newest ``limit`` rows; values that are no numbers are ignored.
 
     ``now`` is the moment to count back from, a column or a frame of one value.
     """
@@ -33,7 +33,10 @@ def global_filters(df: DataFrame, filters: dict, now=None, time: str = "created_
         df = df.filter(col(time) >= end - F.make_interval(days=F.lit(days)))
     if filters.get("status"):
         df = df.filter(col(status) == F.lit(filters["status"]))
-    return df.limit(rows) if rows else df
+    if not rows:
+        return df
+    # All columns break ties, so that the cut does not depend on the layout.
+    return df.orderBy(col(time).desc(), *[col(c) for c in df.columns if c != time]).limit(rows)
 
 
 def chart_number(df: DataFrame, name: str) -> Column:

@@ -10,7 +10,7 @@ from plumbline.functions import counts as C, moments as M, ranks as R, values as
 from plumbline.operators import kinds as K, profile as P
 from plumbline.session import col
 
-BARS, PIE_LEVELS, CHART_COLUMNS = 12, 6, 12
+BARS, PIE_LEVELS = 12, 6
 SCATTER_ROWS, SAMPLE_OUTLIERS, TOP_PAIRS = 2000, 20, 10
 PAIRS_PER_AGGREGATE = 45
 
@@ -64,8 +64,8 @@ def heatmap(corr: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def histogram_chart(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Histogram bins with a text label, for at most twelve columns."""
-    bins = P.histogram(df, columns[:CHART_COLUMNS])
+    """Histogram bins with a text label."""
+    bins = P.histogram(df, columns)
     return bins.withColumn("label", F.format_string("%.2f", "low"))
 
 
@@ -114,12 +114,12 @@ def sample_outliers(df: DataFrame, columns: list[str], order_by: str, quantiles:
 
 
 def bar_chart(df: DataFrame, columns: list[str]) -> DataFrame:
-    top = categorical_summary(df, columns[:CHART_COLUMNS])
+    top = categorical_summary(df, columns)
     return top.filter(F.col("unique") > 1).select("column", "rank", F.col("value").alias("label"), F.col("n").alias("count"))
 
 
 def pie_chart(df: DataFrame, columns: list[str]) -> DataFrame:
-    top = categorical_summary(df, columns[:CHART_COLUMNS])
+    top = categorical_summary(df, columns)
     few = (F.col("unique") > 1) & (F.col("unique") <= PIE_LEVELS)
     return top.filter(few).select("column", "rank", F.col("value").alias("label"), F.col("n").alias("value"))
 
@@ -196,7 +196,7 @@ def imbalance_findings(df: DataFrame, target: str) -> DataFrame:
 
 def group_gaps(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
     """Mean per class of a two-class target, where the classes differ by more than a quarter."""
-    cells = [F.struct(F.lit(c).alias("column"), V.as_number(df, c).alias("num")) for c in columns[:5]]
+    cells = [F.struct(F.lit(c).alias("column"), V.as_number(df, c).alias("num")) for c in columns]
     long = df.select(col(target).cast("string").alias("class"), F.inline(F.array(*cells)))
     means = long.filter(F.col("class").isNotNull() & F.col("num").isNotNull()).groupBy("column", "class").agg(F.avg("num").alias("m"))
     ends = means.groupBy("column").agg(

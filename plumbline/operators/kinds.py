@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline.functions import counts as C, moments as M, ranks as R, text as X, values as V
 from plumbline.session import col
@@ -152,46 +152,41 @@ def of_kind(kinds: dict[str, str], *wanted: str) -> list[str]:
     return [c for c, k in kinds.items() if k in wanted]
 
 
-DATE_SAMPLE = 50
+DATED = 0.8
 
 
-def coerce_dates(df: DataFrame, order_by: str | None = None, skip: tuple[str, ...] = ()) -> DataFrame:
-    """Turn text columns into timestamps where at least 80 % of the first 50
-    values look like dates and at least 80 % of all rows parse."""
+def coerce_dates(df: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
+    """Turn text columns into timestamps where at least 80 % of all values look like dates and at least 80 % of all rows parse."""
     names = [c for c in df.columns if V.is_text(df, c) and c not in skip]
     if not names:
         return df
-    if order_by:
-        # The first values of all columns in one pass: the rank limit applies before the shuffle.
-        cells = C.label_cells(df.select(*names, col(order_by).alias("_at")), names, "_at").filter(F.col("txt").isNotNull())
-        first = Window.partitionBy("c").orderBy("_at")
-        head = cells.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= DATE_SAMPLE)
-        shares = {r["column"]: r["share"] for r in C.named(head.groupBy("c").agg(V.share_if(X.looks_dated(F.col("txt"))).alias("share")), names).collect()}
-    else:
-        head = lambda c: df.filter(col(c).isNotNull()).limit(DATE_SAMPLE)
-        shares = {c: head(c).agg(V.share_if(X.looks_dated(col(c)))).first()[0] for c in names}
-    dated = [c for c in names if (shares.get(c) or 0) >= 0.8]
-    if not dated:
-        return df
-    parsed = df.agg(*[F.avg(X.parse_time(col(c)).isNotNull().cast("int")).alias(c) for c in dated]).first()
-    good = [c for c in dated if parsed[c] >= 0.8]
-    return df.withColumns({c: X.parse_time(col(c)) for c in good})
+    cells = C.label_cells(df, names)
+    text = F.col("txt")
+    judged = cells.groupBy("c").agg(V.share_if(X.looks_dated(text)).alias("like"), F.avg(X.parse_time(text).isNotNull().cast("int")).alias("parsed"))
+    good = [r["column"] for r in C.named(judged, names).collect() if (r["like"] or 0) >= DATED and r["parsed"] >= DATED]
+    return df.withColumns({c: X.parse_time(col(c)) for c in names if c in good})
 
 
-# Up to this many rows a sample is taken with one bounded heap per task.
-HEAP_ROWS = 100_000
+def hash_place(key: Column, seed: int = 42) -> Column:
+    """Where a key stands in the order of a sample: 52 bits of a hash of key and seed, as a double."""
+    digest = F.md5(F.concat_ws("|", key.cast("string"), F.lit(seed)))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double")
 
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """``n`` rows chosen by the hash of a unique key: the same rows on every run and layout.
+    """The ``n`` rows whose unique key comes first in hash order (all rows of a smaller table): the same on every run and layout.
 
-    A large sample is cut at the exact ``n``-th smallest hash instead of being
-    sorted in one place.
+    The cut is the exact ``n``-th place; nothing is sorted in one task, whatever ``n`` is.
     """
-    if n <= HEAP_ROWS:
-        return df.orderBy(F.xxhash64(col(key), F.lit(seed)), col(key)).limit(n)
-    place = F.shiftrightunsigned(F.xxhash64(col(key), F.lit(seed)), 11).cast("double")
+    place = hash_place(col(key), seed)
+    rows = df.count()
+    if n >= rows:
+        return df
+    if n <= 0:
+        return df.limit(0)
     long = df.select(F.lit("all").alias("g"), place.alias("v"))
     want = df.sparkSession.createDataFrame([("all", 0, n - 1)], "g string, slot int, r long")
-    cut = R.at_ranks(long, want, ["g"]).first()
-    return df if cut is None else df.filter(place <= cut["v"])
+    cut = R.at_ranks(long, want, ["g"], largest=rows).first()["v"]
+    below = df.filter(place < cut)
+    tied = df.filter(place == cut).orderBy(col(key)).limit(n - below.count())
+    return below.unionByName(tied)

@@ -7,7 +7,7 @@ rows, label levels, and fence counts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions import counts as C, ranks as R, text as X, values as V
 from plumbline.operators import duplicates as D, kinds as K, profile as P
@@ -27,7 +27,6 @@ SEVERITY_RANK = {"info": 0, "low": 1, "medium": 2, "high": 3}
 LEAKAGE_HINTS = [
     "prediction", "predicted", "score", "probability", "outcome", "target", "label", "churned", "is_fraud", "future",
 ]
-MAX_LEVELS = 200
 MIN_OUTLIER_ROWS, MIN_OUTLIER_VALUES = 12, 5
 
 ISSUE_SCHEMA = (
@@ -139,28 +138,30 @@ def type_issues(facts: DataFrame) -> DataFrame:
 
 
 def label_groups(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Per column: raw levels, canonical levels, colliding groups and untrimmed levels.
+    """Per column: raw levels, canonical levels, colliding groups (five examples) and untrimmed levels (ten examples).
 
-    Only for columns known to have at most ``MAX_LEVELS`` levels.
+    Examples are chosen by rank, which Spark cuts before the shuffle, so a column may have any number of levels.
     """
-    levels = C.value_counts(df, columns).select("column", "txt", "n")
-    groups = levels.groupBy("column", X.canonical(F.col("txt")).alias("canon")).agg(
-        F.count("*").alias("raw"),
-        F.sort_array(F.collect_set("txt")).alias("labels"),
-        F.sort_array(F.collect_set(F.when(F.col("txt") != X.strip(F.col("txt")), F.col("txt")))).alias("loose"),
-    )
-    clash = F.when(F.col("raw") > 1, F.struct("canon", "labels"))
-    return groups.groupBy("column").agg(
-        F.sum("raw").alias("raw_levels"),
-        F.count("*").alias("canonical_levels"),
-        F.count_if(F.col("raw") > 1).alias("collisions"),
-        F.slice(F.sort_array(F.collect_list(clash)), 1, 5).alias("examples"),
-        F.slice(F.sort_array(F.flatten(F.collect_list("loose"))), 1, 10).alias("untrimmed_levels"),
-    )
+    levels = C.value_counts(df, columns).select("column", F.col("txt").alias("label"))
+    levels = levels.withColumn("canon", X.canonical(F.col("label")))
+    groups = levels.groupBy("column", "canon").agg(F.count("*").alias("raw"))
+    counted = groups.groupBy("column").agg(
+        F.sum("raw").alias("raw_levels"), F.count("*").alias("canonical_levels"), F.count_if(F.col("raw") > 1).alias("collisions"))
+    first = Window.partitionBy("column").orderBy("canon")
+    clash = groups.filter(F.col("raw") > 1).withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= 5)
+    shown = clash.join(levels, ["column", "canon"]).groupBy("column", "canon").agg(F.sort_array(F.collect_set("label")).alias("labels"))
+    shown = shown.groupBy("column").agg(F.sort_array(F.collect_list(F.struct("canon", "labels"))).alias("examples"))
+    loose = levels.filter(F.col("label") != X.strip(F.col("label")))
+    loose = loose.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy("label"))).filter(F.col("rank") <= 10)
+    loose = loose.groupBy("column").agg(F.sort_array(F.collect_list("label")).alias("untrimmed_levels"))
+    none = F.expr("cast(array() as array<string>)")
+    return counted.join(shown, "column", "left").join(loose, "column", "left").select(
+        *counted.columns, F.coalesce("examples", F.expr("cast(array() as array<struct<canon:string,labels:array<string>>>)")).alias("examples"),
+        F.coalesce("untrimmed_levels", none).alias("untrimmed_levels"))
 
 
 def label_columns(facts: DataFrame) -> list[str]:
-    rows = facts.filter((F.col("kind") == K.CATEGORICAL) & (F.col("unique") <= MAX_LEVELS)).orderBy("ordinal")
+    rows = facts.filter(F.col("kind") == K.CATEGORICAL).orderBy("ordinal")
     return [r["column"] for r in rows.select("column").collect()]
 
 

@@ -90,12 +90,22 @@ def latency_percentiles(events: DataFrame, keys: list[str], probabilities: list[
 
 
 def page(df: DataFrame, time: str, before=None, size: int = 20, key: str = "id") -> tuple[DataFrame, Column]:
-    """The newest rows before a cursor and the cursor of the next page, NULL at the end."""
-    kept = df if before is None else df.filter(col(time) < before)
+    """The newest rows before a cursor and the cursor of the next page, NULL at the end.
+
+    A cursor is a struct of time and key, so that rows of one time are not lost between pages; a time alone stands
+    before all rows of that time.
+    """
+    if before is None:
+        kept = df
+    elif isinstance(before, tuple):
+        at, last = before
+        kept = df.filter((col(time) < at) | ((col(time) == at) & (col(key) < last)))
+    else:
+        kept = df.filter(col(time) < before)
     ahead = newest(kept, time, key, size + 1)
     rows = newest(ahead, time, key, size)
     more = ahead.agg(F.when(F.count("*") > size, F.lit(True)).alias("m")).scalar()
-    last = rows.agg(F.min(col(time)).alias("t")).scalar()
+    last = rows.agg(F.min(F.struct(col(time).alias("time"), col(key).alias("key"))).alias("t")).scalar()
     return rows, F.when(more, last)
 
 

@@ -12,7 +12,6 @@ from plumbline.session import col
 
 ROW_ID = "_row_id"
 DELIMITERS = [";", "\t", "|"]
-TABLE_ROWS, TABLE_ROWS_MAX = 5_000, 20_000
 
 
 class BadUpload(ValueError):
@@ -50,14 +49,18 @@ def tidy_header(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*[col(c) for c in keep], *[col(c).alias(c.strip()) for c in kept])
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, dates: bool = True, schema=None) -> DataFrame:
-    """A delimited file or folder with a header; the separator is taken from the header unless given."""
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, dates: bool = True, schema=None, multiline: bool = True) -> DataFrame:
+    """A delimited file or folder with a header; the separator is taken from the header unless given.
+
+    Quoted line breaks are read as part of a value. That keeps a file in one task, so a huge single file without
+    such breaks is better read with ``multiline=False``, which splits it.
+    """
     if delimiter is None:
         first = spark.read.text(path).limit(1).collect()
         if not first:
             raise BadUpload("empty file")
         delimiter = sniff_delimiter(first[0][0])
-    reader = spark.read.option("header", True).option("sep", delimiter).option("multiLine", False).option("escape", '"')
+    reader = spark.read.option("header", True).option("sep", delimiter).option("multiLine", multiline).option("escape", '"')
     reader = reader.option("ignoreLeadingWhiteSpace", False).option("preferDate", False)
     df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
     df = tidy_header(df)
@@ -83,9 +86,9 @@ def read_xlsx(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(sheets, schema)
 
 
-def from_table(spark: SparkSession, table: str, schema: str | None = None, rows: int | None = TABLE_ROWS,
+def from_table(spark: SparkSession, table: str, schema: str | None = None, rows: int | None = None,
                order_by: list[str] | None = None) -> DataFrame:
-    """A catalog table by checked name; ``rows=None`` reads all of it."""
+    """A catalog table by checked name: all of it, or its first ``rows`` rows."""
     for part in (table, *([schema] if schema else [])):
         if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_$]*", part):
             raise ValueError(f"bad identifier {part!r}")
@@ -93,7 +96,7 @@ def from_table(spark: SparkSession, table: str, schema: str | None = None, rows:
     if rows is None:
         return df
     df = df.orderBy(*[col(c) for c in order_by]) if order_by else df
-    return df.limit(min(max(rows, 1), TABLE_ROWS_MAX))
+    return df.limit(rows)
 
 
 def from_jdbc(spark: SparkSession, url: str, table: str, partition_column: str | None = None, lower: int = 0, upper: int = 0,

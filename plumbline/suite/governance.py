@@ -409,6 +409,6 @@ QUERIES = {
     "G24_governed_view": (g24_view, "SELECT c_custkey, sha256(c_name) AS c_name, c_nationkey, c_mktsegment FROM customer"),
     "G25_overlay": (g25, f"""SELECT "table", "column", rows FROM {META} WHERE "table" NOT IN ('supplier', 'pages') AND NOT ("table" = 'customer' AND "column" = 'c_acctbal')"""),
     "G26_scope_impact": (g26, G26), "G27_closest_names": (g27, G27), "G28_redact": (g28, G28), "G29_noise": (g29, G29),
-    "G30_slice": (g30, "SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 50 OFFSET 100"), "G31_schema_card": (g31, G31),
+    "G30_slice": (g30, "SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 80 OFFSET 100"), "G31_schema_card": (g31, G31),
 }
 

@@ -37,7 +37,7 @@ READ = """SELECT c_mktsegment AS segment, '2024-0' || (1 + c_custkey % 9) AS mon
 
 
 def s1(s, d):
-    rows = table(s, d, "nation").orderBy("n_nationkey").limit(readers.TABLE_ROWS).collect()
+    rows = table(s, d, "nation").orderBy("n_nationkey").collect()
     return readers.from_records(s, ["n_nationkey", "n_name"], [r.asDict() for r in rows])
 
 
@@ -46,8 +46,8 @@ def s5(s, d):
 
 
 def s6(s, d):
-    table(s, d, "orders").createOrReplaceTempView("orders")
-    return readers.from_table(s, "orders", rows=7000, order_by=["o_orderkey"]).select("o_orderkey", "o_totalprice")
+    table(s, d, "lineitem").createOrReplaceTempView("lineitem")
+    return readers.from_table(s, "lineitem", rows=30_000, order_by=["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber")
 
 
 def s8(s, d):
@@ -109,7 +109,7 @@ QUERIES = {
     "S1_from_records": (s1, 'SELECT n_nationkey - (SELECT min(n_nationkey) FROM nation) AS _row_id, n_nationkey, n_name FROM nation'),
     "S2_read_csv": (_read(";", "customers_semicolon"), READ), "S3_read_tsv": (_read("\t", "customers_tab", readers.read_tsv), READ),
     "S5_tidy_header": (s5, "SELECT c_custkey AS id, c_name AS name FROM customer"),
-    "S6_from_table": (s6, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 7000"),
+    "S6_from_table": (s6, "SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 30000"),
     "S8_write_csv": (s8, S8), "S10_pin_result": (s10, "SELECT o_orderpriority, count(*) AS n, 'bar' AS chart FROM orders GROUP BY 1"),
     "S11_overview": (s11, S11), "S12_json_safe": (s12, S12), "R1_report": (r1, None),
 }

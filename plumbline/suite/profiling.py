@@ -61,7 +61,7 @@ COLUMN_KINDS_SQL = union_all(
 
 
 def coerce_dates(spark, d):
-    df = K.coerce_dates(dirty_customer(spark, d, "joined", "segment", "amount", key=True), order_by="c_custkey")
+    df = K.coerce_dates(dirty_customer(spark, d, "joined", "segment", "amount", key=True))
     month = F.date_format(F.col("joined").cast("timestamp"), "yyyy-MM")
     return df.groupBy(month.alias("month")).agg(F.count("*").alias("n"), F.min("amount").alias("least"))
 
@@ -72,10 +72,23 @@ SELECT strftime(coalesce(try_strptime(joined, '%Y-%m-%d'), try_strptime(joined,
 FROM ({dirty_sql('joined', 'amount')}) GROUP BY 1"""
 
 
+SAMPLES = (5_000, 99_999, 100_001, 10**9)
+
+
 def sampled(spark, d):
-    lines = table(spark, d, "lineitem").withColumn("row_key", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    picked = K.sample_rows(lines, 5000, "row_key")
-    return picked.agg(F.count("*").alias("rows"), F.lit(True).alias("sampled"))
+    """The sampled keys, below and above what one task may sort, and beyond the table."""
+    lines = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_key"))
+    parts = [K.sample_rows(lines, n, "row_key").select(F.lit(n).cast("long").alias("asked"), "row_key") for n in SAMPLES]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+SAMPLE_SQL = """
+WITH k AS (SELECT l_orderkey * 10 + l_linenumber AS row_key FROM lineitem),
+ o AS (SELECT row_key, row_number() OVER (ORDER BY substr(md5(row_key::VARCHAR || '|42'), 1, 13), row_key) AS place FROM k)
+SELECT asked::BIGINT AS asked, row_key FROM o, (VALUES (5000), (99999), (100001), (1000000000)) v(asked) WHERE place <= asked"""
 
 
 # ---------------------------------------------------------------- profiles (P)
@@ -486,7 +499,7 @@ QUERIES = {
     "Q3_wide_ids": (wide_identifiers, WIDE_IDENTIFIER_SQL),
     "A1_column_kinds": (column_kinds, COLUMN_KINDS_SQL),
     "A2_coerce_dates": (coerce_dates, COERCE_SQL),
-    "A3_sample_rows": (sampled, "SELECT least(5000, count(*)) AS rows, true AS sampled FROM lineitem"),
+    "A3_sample_rows": (sampled, SAMPLE_SQL),
     "P1_dataset_profile": (dataset_profile, DATASET_SQL),
     "P2_column_profile": (column_profile, COLUMN_PROFILE_SQL),
     "P3_top_values": (top_values, TOP_SQL),

@@ -64,7 +64,16 @@ def u5(spark, d):
 
 def u9(spark, d):
     rows, cursor = U.page(runs(spark, d), "ran_at", before=F.lit("2024-01-20").cast("timestamp_ntz"), size=20)
-    return rows.withColumn("cursor", F.date_format(cursor, "yyyy-MM-dd HH:mm:ss")).select("id", "cursor")
+    return rows.withColumn("cursor", F.date_format(cursor["time"], "yyyy-MM-dd HH:mm:ss")).select("id", "cursor")
+
+
+def u9_tied(spark, d):
+    """The second page where whole days share one time."""
+    days = runs(spark, d).withColumn("ran_at", F.date_trunc("day", "ran_at"))
+    rows, cursor = U.page(days, "ran_at", size=30)
+    at = rows.select(cursor.alias("c")).first()["c"]
+    rows, _ = U.page(days, "ran_at", before=(F.lit(at["time"]), F.lit(at["key"])), size=30)
+    return rows.select("id")
 
 
 def u12(spark, d):
@@ -179,6 +188,7 @@ SELECT source, p, latency AS value FROM r, (VALUES (0.5::DOUBLE), (0.95::DOUBLE)
     "U9_keyset_page": (u9, f"""
 WITH a AS (SELECT id, ran_at FROM {RUNS} WHERE ran_at < TIMESTAMP '2024-01-20' ORDER BY ran_at DESC, id DESC LIMIT 21), r AS (SELECT * FROM a ORDER BY ran_at DESC, id DESC LIMIT 20)
 SELECT id, CASE WHEN (SELECT count(*) FROM a) > 20 THEN strftime((SELECT min(ran_at) FROM r), '{_STAMP}') END AS cursor FROM r"""),
+    "U9_tied_times": (u9_tied, f"SELECT id FROM {RUNS} ORDER BY date_trunc('day', ran_at) DESC, id DESC LIMIT 30 OFFSET 30"),
     "U10_last_good": (lambda s, d: U.last_good(runs(s, d), ["source"]).select("source", _time("last_good")),
                       f"SELECT source, strftime(max(ran_at) FILTER (ok), '{_STAMP}') AS last_good FROM {RUNS} GROUP BY 1"),
     "U11_retained": (lambda s, d: U.retained(runs(s, d), now(s, d), 9).select("id", "source"), f"SELECT id, source FROM {RUNS} WHERE ran_at >= {NOW} - INTERVAL 9 DAY"),

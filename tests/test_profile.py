@@ -79,11 +79,15 @@ def test_sample_is_independent_of_layout(spark):
     df = spark.range(5000).withColumnRenamed("id", "k")
     pick = lambda d: sorted(r["k"] for r in K.sample_rows(d, 100, "k").collect())
     assert pick(df) == pick(df.repartition(13))
-    K.HEAP_ROWS, kept = 50, K.HEAP_ROWS
-    try:
-        assert pick(df) == pick(df.repartition(3)) and len(pick(df)) == 100
-    finally:
-        K.HEAP_ROWS = kept
+    assert len(pick(df)) == 100
+    assert K.sample_rows(df, 9000, "k").count() == 5000
+    assert K.sample_rows(df, 4999, "k").count() == 4999
+    assert K.sample_rows(df.union(df), 7, "k").count() == 7
+
+
+def test_late_dates_are_seen(spark):
+    df = spark.range(2000).select(F.when(F.col("id") < 100, "n/a").otherwise("2024-02-03").alias("d"))
+    assert dict(K.coerce_dates(df).dtypes)["d"].startswith("timestamp")
 
 
 def test_dates_are_recovered_and_numbers_are_not(spark):

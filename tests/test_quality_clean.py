@@ -140,3 +140,18 @@ def test_demo_dataset_holds_its_defects(spark):
     assert df.count() == 610 and df.drop("_row_id").distinct().count() == 600
     assert df.filter("Age IS NULL").count() > 10 and {r[0] for r in df.select("Attrition").distinct().collect()} == {"Yes", "No"}
     assert df.filter(F.col("MonthlySalary").contains(",")).count() > 500
+
+
+def test_labels_of_many_levels_are_checked(spark):
+    df = spark.range(3000).selectExpr("concat(CASE WHEN id % 2 = 0 THEN 'Level ' ELSE 'level ' END, cast(id % 300 DIV 2 AS STRING)) AS label")
+    issues = Q.label_issues(df, P.column_facts(df)).collect()
+    assert [(i["code"], i["evidence"]["raw_level_count"], i["evidence"]["canonical_level_count"]) for i in issues] == [
+        ("category::inconsistent::label", "300", "150")]
+
+
+def test_quoted_line_breaks_are_read_back(spark, tmp_path):
+    from plumbline.sources import readers, writers
+
+    df = spark.createDataFrame([(1, "two\nlines"), (2, "plain")], "a long, b string")
+    writers.write_csv(df, str(tmp_path / "out"))
+    assert sorted(map(tuple, readers.read_csv(spark, str(tmp_path / "out")).collect())) == [(1, "two\nlines"), (2, "plain")]
