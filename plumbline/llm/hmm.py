@@ -131,6 +131,16 @@ def _answered(asked: DataFrame, frequent: int) -> DataFrame:
     return asked.groupBy("shard").applyInArrow(answer, _ANSWER)
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per class and task instead of one per class and shard."""
+    total = 0.0
+    for batch in batches:
+        for row in batch.column(0).to_pylist():
+            total = total + np.array(row)
+    if np.ndim(total):
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["pos", "n"])
+
+
 class Alphabet:
     """Symbols: frequent tokens first (sorted by hash), then the classes by band and ending."""
 
@@ -292,7 +302,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", states: i
     about = answers.where("chunk = -1")
     size = BANDS * ENDINGS
     sums = np.zeros(2 * size + 1)
-    for row in about.select(F.posexplode("totals")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
+    for row in about.select("totals").coalesce(16).mapInArrow(_summed, "pos int, n double").groupBy("pos").agg(F.sum("n").alias("n")).collect():
         sums[row["pos"]] = row["n"]
     words, counts, ends = _top(about, state, frequent)
     plus, plain, types = sums[:size].copy(), sums[size : 2 * size], int(sums[-1])
