@@ -9,16 +9,19 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.session import col
 
-# Words that never occur in a read-only statement, first words that may.
-BLOCKED_WORDS = (
-    "DROP DELETE UPDATE INSERT ALTER TRUNCATE CREATE GRANT REVOKE EXEC EXECUTE lo_import lo_export dblink dblink_exec "
-    "pg_read_file pg_write_file pg_execute_server_program COPY"
-).split()
-DATASET_WORDS = ["ATTACH", "DETACH", "INSTALL", "LOAD", "PRAGMA", "CALL", "SET", "EXPORT", "IMPORT"]
+# Words that never occur in a read-only statement, words that reach outside one frame, first words that may open a statement.
+BLOCKED_WORDS = [
+    "DROP", "DELETE", "UPDATE", "INSERT", "ALTER", "TRUNCATE", "CREATE", "GRANT", "REVOKE", "EXEC", "EXECUTE", "lo_import", "lo_export",
+    "dblink", "dblink_exec", "pg_read_file", "pg_write_file", "pg_execute_server_program", "COPY",
+]
+DATASET_WORDS = [
+    "insert", "update", "delete", "drop", "create", "alter", "attach", "detach", "copy", "pragma", "set", "install", "load", "export",
+    "import", "call", "read_csv", "read_parquet", "read_json", "read_text", "glob", "system", "shell",
+]
 FIRST_WORDS = ["SELECT", "WITH", "EXPLAIN", "SHOW", "DESCRIBE"]
 # Schemas that never belong to a user.
 SYSTEM_SCHEMAS = {
@@ -63,6 +66,26 @@ def check_dataset_sql(sql: str) -> str | None:
     return check_read_only(sql, BLOCKED_WORDS + DATASET_WORDS, ["SELECT", "WITH"])
 
 
+def read_only_verdict(sql: Column, blocked: list[str] = BLOCKED_WORDS, first: list[str] = FIRST_WORDS) -> Column:
+    """``check_read_only`` as a column: the reason why a statement may not run, or NULL."""
+    literal, mark = r"('(?:[^']|'')*'|\"[^\"]*\")", "\u0001"
+    marked = F.regexp_replace(sql, rf"(?s){literal}|--[^\n]*|/\*.*?\*/", f"$1{mark}")
+    text = F.regexp_replace(F.regexp_replace(marked, f"{literal}{mark}", "''"), mark, " ")
+    text = F.regexp_replace(text, r"^\s+|\s+$", "")
+    word = F.regexp_extract(text, r"(?i)\b(" + "|".join(blocked) + r")\b", 1)
+    opening = F.upper(F.regexp_extract(text, r"^(\S+)", 1))
+    return (
+        F.when(text == "", "empty query")
+        .when(F.regexp_replace(text, r"[; \n\t]+$", "").contains(";"), "more than one statement")
+        .when(word != "", F.concat(F.lit("blocked word "), F.upper(word)))
+        .when(~opening.isin(first), F.concat(F.lit("only SELECT queries may run, not "), opening))
+    )
+
+
+def dataset_verdict(sql: Column) -> Column:
+    return read_only_verdict(sql, BLOCKED_WORDS + DATASET_WORDS, ["SELECT", "WITH"])
+
+
 # ---------------------------------------------------------------- parsed plans
 def parse(spark: SparkSession, sql: str):
     return spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
@@ -76,82 +99,151 @@ def _name(node) -> str:
     return node.getClass().getSimpleName()
 
 
-def _walk(plan, visit_plan, visit_expr):
-    """Visit all plan nodes and expressions, through common table expressions and subqueries."""
-    visit_plan(plan)
-    if _name(plan) == "UnresolvedWith":
-        for pair in _items(plan.cteRelations()):
-            _walk(pair.productElement(1), visit_plan, visit_expr)
-    for expr in _items(plan.expressions()):
-        _walk_expr(expr, [], visit_plan, visit_expr)
-    for child in _items(plan.children()):
-        _walk(child, visit_plan, visit_expr)
+# Plan nodes a checked statement may be made of; anything else is refused.
+PLAN_NODES = {
+    "Aggregate", "Distinct", "Except", "ExplainCommand", "Filter", "Generate", "GlobalLimit", "Intersect", "Join", "LateralJoin",
+    "LocalLimit", "LocalRelation", "Offset", "OneRowRelation", "Pivot", "Project", "Repartition", "RepartitionByExpression", "Sample",
+    "Sort", "SubqueryAlias", "Union", "UnresolvedHaving", "UnresolvedInlineTable", "UnresolvedRelation",
+    "UnresolvedSubqueryColumnAliases", "UnresolvedWith", "Unpivot", "UnresolvedHint", "WithWindowDefinition",
+}
+# Functions of Spark that reach outside the tables, or run code.
+CLOSED_FUNCTIONS = {"reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length"}
+SET_NODES = {"Union", "Intersect", "Except"}
 
 
-def _walk_expr(expr, above, visit_plan, visit_expr):
-    visit_expr(expr, above)
-    if _name(expr) in ("ScalarSubquery", "Exists", "ListQuery", "InSubquery") and hasattr(expr, "plan"):
-        try:
-            _walk(expr.plan(), visit_plan, visit_expr)
-        except Exception as exc:  # InSubquery holds its plan in a child
-            if "plan" not in str(exc):
-                raise
-    for child in _items(expr.children()):
-        _walk_expr(child, [*above, expr], visit_plan, visit_expr)
+class Unsupported(ValueError):
+    """The statement uses a form the checks do not follow."""
 
 
 @dataclass
 class References:
-    tables: dict[str, str] = field(default_factory=dict)  # alias -> table
-    columns: list[tuple[str, str, bool]] = field(default_factory=list)  # qualifier, name, inside an aggregate
-    stars: list[str] = field(default_factory=list)
-
-
-def references(spark: SparkSession, sql: str) -> References:
-    """Base tables and columns of a statement; names of common table expressions are left out."""
-    found, ctes, aliases = References(), set(), {}
-
-    def on_plan(node):
-        kind = _name(node)
-        if kind == "UnresolvedWith":
-            ctes.update(p.productElement(0).lower() for p in _items(node.cteRelations()))
-        elif kind == "UnresolvedRelation":
+    tables: set[str] = field(default_factory=set)  # base tables, wherever they stand
+    aliases: dict[str, set[str]] = field(default_factory=dict)  # every base table an alias stands for anywhere
+    columns: list[tuple[tuple[str, ...], bool]] = field(default_factory=list)  # name parts, inside an aggregate
+    stars: list[str] = field(default_factory=list)  # qualifier of each qualified star
+    whole: set[str] = field(default_factory=set)  # base tables below a star, or used without a list of columns
+    functions: set[str] = field(default_factory=set)
+
+
+class _Reader:
+    """Reads a parsed plan. Names of common table expressions hold only where SQL lets them: below their WITH, and
+    in the definitions after their own."""
+
+    def __init__(self):
+        self.found = References()
+        self.scopes: list[set[str]] = [set()]  # tables of the FROM clauses being read
+
+    def plan(self, node, ctes: frozenset, listed: bool) -> None:
+        """``listed``: a list of columns stands between this node and whatever gives its columns out."""
+        kind, found = _name(node), self.found
+        if kind not in PLAN_NODES:
+            raise Unsupported(kind)
+        if kind == "ExplainCommand":
+            return self.plan(node.logicalPlan(), ctes, listed)
+        if kind == "UnresolvedRelation":
             parts = [p.lower() for p in _items(node.multipartIdentifier())]
-            aliases.setdefault(parts[-1], ".".join(parts))
-        elif kind == "SubqueryAlias" and _name(node.child()) == "UnresolvedRelation":
+            if not (len(parts) == 1 and parts[0] in ctes):
+                self.table(parts, parts[-1], listed)
+            return None
+        if kind == "UnresolvedWith":
+            recursive = bool(node.allowRecursion()) if hasattr(node, "allowRecursion") else False
+            for pair in _items(node.cteRelations()):
+                name = pair.productElement(0).lower()
+                self.plan(pair.productElement(1), ctes | {name} if recursive else ctes, False)
+                ctes = ctes | {name}
+        if kind == "SubqueryAlias" and _name(node.child()) == "UnresolvedRelation":
             parts = [p.lower() for p in _items(node.child().multipartIdentifier())]
-            aliases[node.alias().lower()] = ".".join(parts)
+            if not (len(parts) == 1 and parts[0] in ctes):
+                self.table(parts, node.alias().lower(), listed)
+            return None
+        if kind == "Join" and _name(node.joinType()) == "UsingJoin":
+            found.columns += [((c.lower(),), False) for c in _items(node.joinType().usingColumns())]
+        elif kind == "Join" and _name(node.joinType()) == "NaturalJoin":
+            listed = False  # compares columns it does not name
+        if kind in ("Project", "Aggregate"):
+            listed = True
+            self.scopes.append(set())
+            for child in _items(node.children()):
+                self.plan(child, ctes, listed)
+            for expr in _items(node.expressions()):
+                self.expr(expr, (), ctes)
+            inner = self.scopes.pop()
+            self.scopes[-1] |= inner
+            return None
+        if kind in SET_NODES or kind in ("UnresolvedSubqueryColumnAliases", "Pivot", "Unpivot"):
+            listed = False  # columns go on by position
+        for expr in _items(node.expressions()):
+            self.expr(expr, (), ctes)
+        for child in _items(node.children()):
+            self.plan(child, ctes, listed)
+        return None
 
-    def on_expr(expr, above):
-        kind = _name(expr)
+    def table(self, parts: list[str], alias: str, listed: bool) -> None:
+        name = ".".join(parts)
+        self.found.tables.add(name)
+        self.scopes[-1].add(name)
+        self.found.aliases.setdefault(alias, set()).add(name)
+        if not listed:
+            self.found.whole.add(name)
+
+    def expr(self, expr, above: tuple, ctes: frozenset) -> None:
+        kind, found = _name(expr), self.found
         if kind == "UnresolvedAttribute":
-            parts = [p.lower() for p in _items(expr.nameParts())]
-            inside = any(_name(a) == "UnresolvedFunction" and _items(a.nameParts())[-1].lower() in AGGREGATES for a in above)
-            found.columns.append((".".join(parts[:-1]), parts[-1], inside))
-        elif kind == "UnresolvedStar":
-            counted = any(_name(a) == "UnresolvedFunction" and _items(a.nameParts())[-1].lower() == "count" for a in above)
-            if not counted:
-                target = expr.target()
-                found.stars.append(".".join(p.lower() for p in _items(target.get())) if target.isDefined() else "")
+            found.columns.append((tuple(p.lower() for p in _items(expr.nameParts())), any(f in AGGREGATES for f in above)))
+        elif kind.startswith("UnresolvedStar") or kind == "UnresolvedRegex":
+            if "count" not in above:
+                target = expr.target() if hasattr(expr, "target") and kind != "UnresolvedRegex" else None
+                if target is not None and target.isDefined():
+                    found.stars.append(".".join(p.lower() for p in _items(target.get())))
+                else:
+                    found.whole |= self.scopes[-1]
+        elif kind == "UnresolvedFunction":
+            name = _items(expr.nameParts())[-1].lower()
+            found.functions.add(name)
+            above = (*above, name)
+        elif "Subquery" in kind or kind in ("Exists", "ListQuery"):
+            if kind != "InSubquery":  # holds its plan in a child
+                self.scopes.append(set())
+                self.plan(expr.plan(), ctes, kind == "Exists")
+                inner = self.scopes.pop()
+                if kind == "LateralSubquery":
+                    self.scopes[-1] |= inner
+        elif "Plan" in kind or "Identifier" in kind:
+            raise Unsupported(kind)
+        for child in _items(expr.children()):
+            self.expr(child, above, ctes)
+
 
-    _walk(parse(spark, sql), on_plan, on_expr)
-    found.tables = {a: t for a, t in aliases.items() if t not in ctes}
-    return found
+def references(spark: SparkSession, sql: str) -> References:
+    """Base tables, columns, stars and functions of a statement, with names read in their scope."""
+    reader = _Reader()
+    reader.plan(parse(spark, sql), frozenset(), False)
+    return reader.found
 
 
 def referenced_tables(spark: SparkSession, sql: str) -> set[str]:
-    return set(references(spark, sql).tables.values())
+    return references(spark, sql).tables
 
 
-def check_scope(spark: SparkSession, sql: str, known: set[str], allowed: set[str] | None = None,
-                allowed_schemas: set[str] = frozenset()) -> str | None:
-    """Refuse system, unknown and non-allowlisted tables."""
+def _read(spark: SparkSession, sql: str) -> tuple[References | None, str | None]:
     try:
-        tables = referenced_tables(spark, sql)
+        found = references(spark, sql)
+    except Unsupported as form:
+        return None, f"{form} is not supported"
     except Exception:
-        return "the query could not be parsed"
+        return None, "the query could not be parsed"
+    closed = sorted(found.functions & CLOSED_FUNCTIONS)
+    return found, f"function {closed[0]} is not allowed" if closed else None
+
+
+def check_scope(spark: SparkSession, sql: str, known: set[str], allowed: set[str] | None = None,
+                allowed_schemas: set[str] = frozenset()) -> str | None:
+    """Refuse system, unknown and non-allowlisted tables, functions that reach outside, and forms that cannot be followed."""
+    found, problem = _read(spark, sql)
+    if problem:
+        return problem
     known = {k.lower() for k in known}
-    for name in sorted(tables):
+    for name in sorted(found.tables):
         schema = name.rsplit(".", 1)[0] if "." in name else ""
         if is_system_schema(schema):
             return f"{name} is a system object"
@@ -175,34 +267,31 @@ def check_policy(spark: SparkSession, sql: str, policy: Policy) -> str | None:
     """Refuse hidden tables and restricted columns; sensitive ones may occur only inside an aggregate."""
     if not (policy.hidden_tables or policy.restricted_columns or policy.sensitive_columns):
         return None
-    try:
-        refs = references(spark, sql)
-    except Exception:
-        return "the query could not be parsed"
+    refs, problem = _read(spark, sql)
+    if problem:
+        return problem
     short = lambda name: name.split(".")[-1]
+    tables = {short(t) for t in refs.tables}
     hidden = {short(t.lower()) for t in policy.hidden_tables}
-    for t in sorted(set(refs.tables.values())):
-        if short(t) in hidden:
-            return f"table {t} is hidden"
+    if tables & hidden:
+        return f"table {sorted(tables & hidden)[0]} is hidden"
     restricted = {c.lower() for c in policy.restricted_columns}
     sensitive = {c.lower() for c in policy.sensitive_columns}
 
-    def keys(qualifier, name):
-        owners = [refs.tables.get(short(qualifier), short(qualifier))] if qualifier else refs.tables.values()
-        return {f"{short(o)}.{name}" for o in owners}
+    def owners(qualifier: str) -> set[str]:
+        """Tables a qualifier may stand for; one that names no base table may carry columns of any."""
+        return {short(t) for t in refs.aliases.get(short(qualifier), refs.tables)} if qualifier else tables
 
-    for qualifier, name, inside in refs.columns:
-        owned = keys(qualifier, name)
+    for parts, inside in refs.columns:
+        # a name of several parts may be table.column or column.field
+        owned = {f"{o}.{name}" for i, name in enumerate(parts) for o in owners(".".join(parts[:i]))}
         if owned & restricted:
             return f"column {sorted(owned & restricted)[0]} is restricted"
         if owned & sensitive and not inside:
             return f"column {sorted(owned & sensitive)[0]} is sensitive and must be aggregated"
-    for qualifier in refs.stars:
-        owners = [refs.tables.get(short(qualifier), short(qualifier))] if qualifier else list(refs.tables.values())
-        exposed = sorted(c for c in restricted | sensitive if c.split(".")[0] in {short(o) for o in owners})
-        if exposed:
-            return f"* would expose {exposed[0]}"
-    return None
+    shown = {short(t) for t in refs.whole}.union(*[owners(q) for q in refs.stars])
+    exposed = sorted(c for c in restricted | sensitive if c.split(".")[0] in shown)
+    return f"* would expose {exposed[0]}" if exposed else None
 
 
 def governed(df: DataFrame, restricted: list[str], sensitive: list[str]) -> DataFrame:

@@ -7,8 +7,8 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# A lookup side is broadcast only when it is known to hold at most this many rows.
-BROADCAST_ROWS = 200_000
+# A lookup side is broadcast only when it is known to hold at most this many rows, and this many bytes as text.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def build_session(app_name: str = "plumbline", master: str | None = None, **conf: str) -> SparkSession:
@@ -29,13 +29,26 @@ def build_session(app_name: str = "plumbline", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package where it is not installed on them: zipped, through ``addPyFile``."""
+    import pathlib
+    import shutil
+
+    home = pathlib.Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="plumbline-package-")  # read by the driver only, which serves the file
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/plumbline", "zip", home.parent, home.name))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only if none is set."""
+    """The shared folder named by ``spark.checkpoint.dir``. A temporary one is made only in local mode, where driver and
+    executors are one process; on a cluster an unset folder is an error, as no local folder is seen by all."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
     if current:
         return current
+    if not configured and not context.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = configured or tempfile.mkdtemp(prefix="plumbline-checkpoint-")
     context.setCheckpointDir(folder)
     return folder
@@ -64,7 +77,9 @@ def lookup_join(df: DataFrame, lookup: DataFrame, on, how: str = "left", rows: i
     """
     if not is_written(lookup):
         lookup = cut_lineage(lookup)
-    if lookup.count() <= rows:
+    size = F.sum(F.octet_length(F.to_json(F.struct("*")))) if lookup.columns else F.lit(0)
+    count, width = lookup.agg(F.count(F.lit(1)), size).first()
+    if count <= rows and (width or 0) <= BROADCAST_BYTES:
         lookup = F.broadcast(lookup)
     return df.join(lookup, on, how)
 
@@ -73,11 +88,3 @@ def col(name: str) -> Column:
     """Column reference that is safe for names with dots or blanks."""
     return F.col("`" + name.replace("`", "``") + "`")
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a frame read from too few splits one partition per core.
-
-    A table of many files already has more splits than cores and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -16,9 +17,11 @@ from plumbline.operators import profile as P, quality as Q
 from plumbline.session import checkpoint_dir
 
 LATE = "1 hour"
+# Files of one micro-batch, so that a long history is not read as one batch.
+FILES_PER_BATCH = 64
 
 
-def read_events(spark: SparkSession, folder: str, name: str = "events.parquet", files_per_batch: int | None = None) -> DataFrame:
+def read_events(spark: SparkSession, folder: str, name: str = "events.parquet", files_per_batch: int | None = FILES_PER_BATCH) -> DataFrame:
     """Event files as a stream; the schema is taken from the files present."""
     schema = spark.read.option("pathGlobFilter", name).parquet(folder).schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
@@ -56,29 +59,44 @@ def quiet_sessions(events: DataFrame, gap: str = "6 hours", late: str = LATE) ->
 
 
 HITS = "event_id long, user_id long, ts timestamp, window_start timestamp, hit long, allowed boolean"
+_HELD = "held_ts array<long>, held_id array<long>, opened long, count long"
 
 
 def _limiter(limit: int, seconds: int):
-    span = pd.Timedelta(seconds=seconds)
+    span = seconds * 1_000_000
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        held_ts, held_id, opened, count = state.get if state.exists else ([], [], None, 0)
+        ts, ids = [np.array(held_ts, np.int64)], [np.array(held_id, np.int64)]
+        if not state.hasTimedOut:
+            for rows in batches:
+                ts.append(rows["ts"].to_numpy("datetime64[us]").astype(np.int64))
+                ids.append(rows["event_id"].to_numpy(np.int64))
+        ts, ids = np.concatenate(ts), np.concatenate(ids)
+        order = np.lexsort((ids, ts))
+        ts, ids = ts[order], ids[order]
+        # Only what the watermark has passed is final; later hits may still arrive between the others.
+        passed = state.getCurrentWatermarkMs() * 1000
+        done = int(np.searchsorted(ts, passed, side="right"))
+        starts, hits, at = np.empty(done, np.int64), np.empty(done, np.int64), 0
+        while at < done:  # one turn per window, not per hit
+            if opened is None or ts[at] >= opened + span:
+                opened, count = int(ts[at]), 0
+            end = min(done, int(np.searchsorted(ts, opened + span, side="left")))
+            starts[at:end], hits[at:end] = opened, count + 1 + np.arange(end - at)
+            count, at = count + end - at, end
+        if len(ts) > done:
+            state.update((ts[done:].tolist(), ids[done:].tolist(), opened, count))
+            state.setTimeoutTimestamp(max(int(ts[done] // 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        elif opened is not None and opened + span > passed:
+            state.update(([], [], opened, count))
+            state.setTimeoutTimestamp((opened + span) // 1000 + 1)
+        elif state.exists:
             state.remove()
-            return
-        hits = pd.concat(batches).sort_values(["ts", "event_id"])
-        opened, count = state.get if state.exists else (None, 0)
-        opened = None if opened is None else pd.Timestamp(opened, unit="us")
-        starts, numbers = [], []
-        for ts in hits["ts"]:
-            if opened is None or ts >= opened + span:
-                opened, count = ts, 0
-            count += 1
-            starts.append(opened)
-            numbers.append(count)
-        state.update((int(opened.value // 1000), count))
-        state.setTimeoutTimestamp(int(opened.value // 1_000_000) + seconds * 1000)
-        out = hits[["event_id", "user_id", "ts"]].assign(window_start=starts, hit=numbers)
-        yield out.assign(allowed=out["hit"] <= limit)
+        if done:
+            out = pd.DataFrame({"event_id": ids[:done], "user_id": key[0], "ts": ts[:done].astype("datetime64[us]"),
+                                "window_start": starts.astype("datetime64[us]"), "hit": hits})
+            yield out.assign(allowed=out["hit"] <= limit)
 
     return step
 
@@ -86,13 +104,14 @@ def _limiter(limit: int, seconds: int):
 def rate_limit(events: DataFrame, limit: int = 5, seconds: int = 21_600, late: str = LATE) -> DataFrame:
     """Fixed windows per user that open at the first hit; hits beyond the limit are not allowed.
 
-    The state of a user is two numbers; it is dropped when the watermark passes
-    the end of the window. One user's rows of one micro-batch meet in one task,
-    so the batch size (``files_per_batch``) bounds its memory.
+    Hits are held until the watermark has passed them and are then numbered in event-time order, so the answer does not
+    depend on how the stream was cut into batches. The state of a user is the held hits and the open window; it is dropped
+    when the watermark passes the end of the window. One user's rows of one batch meet in one task, so the
+    batch size (``files_per_batch``) and the allowed lateness bound its memory.
     """
     hits = events.withWatermark("ts", late).select("event_id", "user_id", "ts")
     return hits.groupBy("user_id").applyInPandasWithState(
-        _limiter(limit, seconds), HITS, "opened long, count long", "append", GroupStateTimeout.EventTimeTimeout
+        _limiter(limit, seconds), HITS, _HELD, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.operators import explore as E, profile as P
-from plumbline.session import spread
 from plumbline.suite.profiling import _top_sql, histogram_sql, numeric_sql
 from plumbline.suite.tables import GAPPY_SQL, dirty_customer, dirty_sql, gappy_lines, table, union_all
 
@@ -28,7 +27,7 @@ def _summary_sql(src, c, k=12):
 
 
 def correlations(spark, d):
-    return E.correlations(spread(gappy_lines(spark, d)), NUM)
+    return E.correlations(gappy_lines(spark, d), NUM)
 
 
 def _pairs_sql(digits=4):
@@ -39,11 +38,11 @@ def _pairs_sql(digits=4):
 
 
 def top_pairs(spark, d):
-    return E.top_pairs(E.correlations(spread(gappy_lines(spark, d)), NUM), 3).select("a", "b", "corr")
+    return E.top_pairs(E.correlations(gappy_lines(spark, d), NUM), 3).select("a", "b", "corr")
 
 
 def heatmap(spark, d):
-    return E.heatmap(E.correlations(spread(gappy_lines(spark, d)), NUM), NUM)
+    return E.heatmap(E.correlations(gappy_lines(spark, d), NUM), NUM)
 
 
 HEAT_SQL = f"""

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as T
 from plumbline.operators import catalog as G, match as X
 from plumbline.plans import guard, runner
-from plumbline.session import spread
 from plumbline.suite.tables import table, union_all
 
 NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -128,7 +127,7 @@ G7 = f"""SELECT substr(sha256(string_agg(line, chr(10) ORDER BY line)), 1, 16) A
 def g8(s, d):
     notes = annotated(s, d)
     terms = X.catalog_terms(notes, G.importance(notes))
-    return X.search_schema(spread(questions(s, d)), terms).select("question_id", "rank", "table", "score")
+    return X.search_schema(questions(s, d), terms).select("question_id", "rank", "table", "score")
 
 
 def g8_sql() -> str:
@@ -148,7 +147,7 @@ SELECT question_id, rank, "table", score FROM (SELECT *, row_number() OVER (PART
 
 def g9(s, d):
     names = extracted(s, d).select(F.col("column").alias("name")).unionByName(extracted(s, d).select(F.col("table").alias("name"))).distinct()
-    return X.ground(spread(questions(s, d)), names)
+    return X.ground(questions(s, d), names)
 
 
 def g9_sql() -> str:
@@ -222,8 +221,7 @@ STATEMENT = """CASE p_partkey % 8 WHEN 0 THEN concat('SELECT * FROM orders WHERE
 
 def g18(s, d):
     texts = table(s, d, "part").selectExpr(f"{STATEMENT} AS sql").groupBy("sql").agg(F.count("*").alias("n"))
-    check = F.udf(lambda q: guard.check_read_only(q) or "ok", "string")
-    return texts.groupBy(check("sql").alias("verdict")).agg(F.sum("n").alias("n"))
+    return texts.groupBy(F.coalesce(guard.read_only_verdict(F.col("sql")), F.lit("ok")).alias("verdict")).agg(F.sum("n").alias("n"))
 
 
 G18 = """SELECT CASE p_partkey % 8 WHEN 1 THEN 'blocked word DROP' WHEN 2 THEN 'more than one statement' WHEN 3 THEN 'empty query'
@@ -232,8 +230,7 @@ G18 = """SELECT CASE p_partkey % 8 WHEN 1 THEN 'blocked word DROP' WHEN 2 THEN '
 
 def g19(s, d):
     texts = table(s, d, "part").selectExpr(f"{STATEMENT} AS sql").groupBy("sql").agg(F.count("*").alias("n"))
-    check = F.udf(lambda q: guard.check_dataset_sql(q) is None, "boolean")
-    return texts.groupBy(check("sql").alias("allowed")).agg(F.sum("n").alias("n"))
+    return texts.groupBy(guard.dataset_verdict(F.col("sql")).isNull().alias("allowed")).agg(F.sum("n").alias("n"))
 
 
 def g20(s, d):
@@ -334,7 +331,7 @@ ORDER BY score DESC, name LIMIT 5"""
 
 
 def g28(s, d):
-    docs = spread(table(s, d, "documents"))
+    docs = table(s, d, "documents")
     clean = T.redact(F.col("text"))
     marks = F.size(F.split(clean, r"\[REDACTED\]")) - 1
     return docs.select("doc_id", marks.cast("long").alias("marks"), F.md5(clean).alias("digest"))
@@ -354,7 +351,7 @@ INPUT = """CASE doc_id % 6 WHEN 0 THEN text WHEN 1 THEN regexp_replace(text, '[^
 
 
 def g29(s, d):
-    inputs = spread(table(s, d, "documents")).selectExpr("doc_id", f"{INPUT} AS input")
+    inputs = table(s, d, "documents").selectExpr("doc_id", f"{INPUT} AS input")
     return inputs.select("doc_id", T.is_noise(F.col("input")).alias("noise"))
 
 

@@ -49,7 +49,7 @@ WITH RECURSIVE w AS (SELECT user_id, min(ts) AS start FROM events GROUP BY 1
   WHERE EXISTS (SELECT 1 FROM events e WHERE e.user_id = w.user_id AND e.ts >= w.start + INTERVAL 6 HOUR)),
  h AS (SELECT event_id, e.user_id, start, row_number() OVER (PARTITION BY e.user_id, start ORDER BY ts, event_id) AS hit FROM events e JOIN w
   ON w.user_id = e.user_id AND e.ts >= w.start AND e.ts < w.start + INTERVAL 6 HOUR)
-SELECT event_id, user_id, strftime(start, '{_STAMP}') AS window_start, hit, hit <= 5 AS allowed FROM h"""
+SELECT event_id, user_id, strftime(start, '{_STAMP}') AS window_start, hit, hit <= 5 AS allowed FROM h JOIN events USING (event_id, user_id) WHERE ts <= {CLOSED}"""
 
 
 def t3_tumbling(s, d):

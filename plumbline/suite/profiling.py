@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as X, values as V
 from plumbline.operators import advice, duplicates as D, kinds as K, profile as P, quality as Q
-from plumbline.session import spread
 from plumbline.suite.tables import CUSTOMER, GAPPY_SQL, LINES, dirty_customer, dirty_sql, gappy_lines, table, union_all
 
 LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -93,7 +92,7 @@ SELECT asked::BIGINT AS asked, row_key FROM o, (VALUES (5000), (99999), (100001)
 
 # ---------------------------------------------------------------- profiles (P)
 def lines_facts(spark, d):
-    return P.column_facts(spread(table(spark, d, "lineitem")))
+    return P.column_facts(table(spark, d, "lineitem"))
 
 
 def column_profile(spark, d):
@@ -118,7 +117,7 @@ COLUMN_PROFILE_SQL = union_all(_column_sql("lineitem", c, i, k) for i, (c, k) in
 
 
 def dataset_profile(spark, d):
-    df = spread(dirty_customer(spark, d))
+    df = dirty_customer(spark, d)
     out = P.dataset_profile(df, P.column_facts(df), D.count_duplicates(df))
     joined = lambda c: F.array_join(c, ",").alias(c)
     return out.select(
@@ -151,7 +150,7 @@ TOP_COLUMNS = ["l_linenumber", "l_quantity", "l_suppkey", "l_returnflag", "l_lin
 
 
 def top_values(spark, d):
-    return P.top_values(spread(table(spark, d, "lineitem")), TOP_COLUMNS)
+    return P.top_values(table(spark, d, "lineitem"), TOP_COLUMNS)
 
 
 def _top_sql(src: str, name: str, k: int, text: str | None = None) -> str:
@@ -166,7 +165,7 @@ TOP_SQL = union_all(_top_sql("SELECT * FROM lineitem", c, 10, c if c in LINE_LAB
 
 
 def numeric_profile(spark, d):
-    return P.numeric_profile(spread(gappy_lines(spark, d)), _NUM)
+    return P.numeric_profile(gappy_lines(spark, d), _NUM)
 
 
 def numeric_sql(src: str, names) -> str:
@@ -182,7 +181,7 @@ FROM ({src}), (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) A
 
 
 def quantiles(spark, d):
-    return P.quantile_profile(spread(gappy_lines(spark, d)), ["l_orderkey", "quantity", "price"])
+    return P.quantile_profile(gappy_lines(spark, d), ["l_orderkey", "quantity", "price"])
 
 
 QUANTILE_SQL = union_all(
@@ -196,7 +195,7 @@ def approximate_quantiles(spark, d):
 
 
 def histogram(spark, d):
-    return P.histogram(spread(gappy_lines(spark, d)), ["l_linenumber", "price", "discount", "one"])
+    return P.histogram(gappy_lines(spark, d), ["l_linenumber", "price", "discount", "one"])
 
 
 def histogram_sql(src: str, columns, bins: int = 20) -> str:
