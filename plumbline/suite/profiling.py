@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions import text as X, values as V
+from plumbline.functions import ranks as R, text as X, values as V
 from plumbline.operators import advice, duplicates as D, kinds as K, profile as P, quality as Q
 from plumbline.suite.tables import CUSTOMER, GAPPY_SQL, LINES, dirty_customer, dirty_sql, gappy_lines, table, union_all
 
@@ -191,7 +191,18 @@ QUANTILE_SQL = union_all(
 
 
 def approximate_quantiles(spark, d):
-    return P.quantile_profile(table(spark, d, "lineitem"), ["l_extendedprice"], approximate=True)
+    """Each sketched quantile with the row count and whether its rank lies within the promised error (one in ``R.ACCURACY``, and one row)."""
+    lines = table(spark, d, "lineitem")
+    found = P.quantile_profile(lines, ["l_extendedprice"], approximate=True).collect()
+    ranks = lines.agg(F.count("*").alias("n"), *[
+        F.struct(F.count_if(F.col("l_extendedprice") < r["value"]).alias("below"), F.count_if(F.col("l_extendedprice") <= r["value"]).alias("upto")).alias(f"r{i}")
+        for i, r in enumerate(found)
+    ])
+    room = F.col("n") / R.ACCURACY + 1
+    return ranks.select(F.inline(F.array(*[
+        F.struct(F.lit(r["p"]).alias("p"), F.col("n"), ((F.col(f"r{i}.below") <= r["p"] * F.col("n") + room) & (F.col(f"r{i}.upto") >= r["p"] * F.col("n") - room)).alias("within"))
+        for i, r in enumerate(found)
+    ])))
 
 
 def histogram(spark, d):
@@ -504,7 +515,7 @@ QUERIES = {
     "P3_top_values": (top_values, TOP_SQL),
     "P7_numeric_profile": (numeric_profile, numeric_sql(GAPPY_SQL, _NUM)),
     "P8_quantiles": (quantiles, QUANTILE_SQL),
-    "P8_quantiles_approximate": (approximate_quantiles, None),
+    "P8_quantiles_approximate": (approximate_quantiles, "SELECT unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]::DOUBLE[]) AS p, count(*) AS n, true AS within FROM lineitem"),
     "P9_histogram": (histogram, histogram_sql(GAPPY_SQL, ["l_linenumber", "price", "discount", "one"])),
     "P10_time_profile": (time_profile, TIME_SQL),
     "P11_rounding": (rounding, ROUNDING_SQL),
