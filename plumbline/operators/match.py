@@ -1,13 +1,17 @@
 """Keyword matching between questions and named things (tables, columns, definitions).
 
-Questions and names are tokenised with built-in functions and joined on tokens;
-scores are sums over the join, so thousands of questions are matched at once.
+Questions and names are cut into tokens once and joined on the token; scores are
+sums over what meets. Names that must occur literally are found through their
+first letters and then verified. The catalog side is broadcast only after its
+size was checked; otherwise the joins shuffle on the token.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from plumbline.session import lookup_join
+
 # Synonym groups, terms that keep their form, and the score parts.
 SYNONYMS = {
     "revenue": ["sales", "income", "gross", "paid", "amount", "payment", "order"],
@@ -40,84 +44,91 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.array_compact(F.concat(words, F.transform(words, singular))))
 
 
-def expanded(words: Column) -> Column:
-    """Tokens plus every synonym group one of them belongs to."""
-    out = words
+def groups_of(words: Column) -> Column:
+    """Heads of the synonym groups that a token list touches."""
+    table = F.create_map(*[F.lit(x) for w, heads in _group_index().items() for x in (w, F.array(*[F.lit(h) for h in heads]))])
+    found = F.flatten(F.array_compact(F.transform(words, lambda w: F.try_element_at(table, w))))
+    return F.array_distinct(found)
+
+
+def _group_index() -> dict[str, list[str]]:
+    index: dict[str, list[str]] = {}
     for head, others in SYNONYMS.items():
-        group = F.array(*[F.lit(w) for w in [head, *others]])
-        out = F.concat(out, F.when(F.arrays_overlap(words, group), group).otherwise(F.array().cast("array<string>")))
-    return F.array_distinct(out)
+        for word in [head, *others]:
+            index.setdefault(word, []).append(head)
+    return index
 
 
-# Catalog entries carried in one array; a larger catalog is matched in several such parts.
-PART_ROWS = 5_000
+def expanded(words: Column) -> Column:
+    """Tokens plus every synonym group one of them belongs to."""
+    members = F.create_map(*[F.lit(x) for h, o in SYNONYMS.items() for x in (h, F.array(*[F.lit(w) for w in [h, *o]]))])
+    return F.array_distinct(F.concat(words, F.flatten(F.transform(groups_of(words), lambda h: members[h]))))
 
 
-def _parts(df: DataFrame, key: str) -> list[DataFrame]:
-    """The frame, cut by key hash into parts of about ``PART_ROWS`` rows."""
-    n = max(1, -(-df.count() // PART_ROWS))
-    return [df] if n == 1 else [df.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
+# Letters by which literal names are looked up.
+LEAD = 3
 
 
-def _carried(part: DataFrame, *columns) -> Column:
-    """A bounded frame as one array value beside every row."""
-    return part.agg(F.collect_list(F.struct(*columns)).alias("a")).scalar()
+def holding(questions: DataFrame, names: DataFrame, name: str = "name") -> DataFrame:
+    """Pairs of rows where the text ``q`` holds the non-empty name: joined on the name's first letters, then verified."""
+    col_of = F.col(name)
+    lead = F.substring(col_of, 1, LEAD)
+    listed = names.filter(col_of != "").withColumn("_lead", lead)
+    widths = sorted(r[0] for r in listed.select(F.length("_lead")).distinct().collect())
 
+    def cut(width: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("q") - (width - 1)))
+        return F.transform(places, lambda i: F.substr("q", i, F.lit(width)))
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    cuts = [cut(w) for w in widths]
+    if not cuts:
+        return questions.crossJoin(listed.limit(0)).drop("_lead")
+    leads = questions.withColumn("_lead", F.explode(F.array_distinct(F.concat(*cuts))))
+    return lookup_join(leads, listed, "_lead", "inner").filter(F.contains(F.col("q"), col_of)).drop("_lead")
 
 
 def catalog_terms(annotated: DataFrame, ranked: DataFrame) -> DataFrame:
-    """One row per table with its name tokens and column entries."""
-    entry = F.struct("ordinal", "column", tokens(F.col("column")).alias("words"), "semantic_type")
-    listed = annotated.groupBy("table").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-    base = tokens(F.regexp_replace("table", r"^.*\.", ""))
-    return listed.withColumn("words", base).join(ranked.select("table", "importance", "is_internal"), "table")
-
-
-def _table_score(terms: Column, question: Column, t: Column) -> Column:
-    """Lexical score of one catalog entry for one question."""
-    score = F.when(F.contains(question, F.lower(t["table"])), EXACT_TABLE).otherwise(0.0)
-    score = score + TABLE_TOKEN * F.size(F.array_intersect(terms, t["words"]))
-    by_column = F.aggregate(
-        t["entries"], F.lit(0.0),
-        lambda acc, e: acc + F.when(F.arrays_overlap(terms, e["words"]), COLUMN_HIT).otherwise(0.0)
-        + F.when((e["semantic_type"] != "unknown") & F.array_contains(terms, e["semantic_type"]), TYPE_HIT).otherwise(0.0),
-    )
-    for head, others in SYNONYMS.items():
-        group = F.array(*[F.lit(w) for w in [head, *others]])
-        both = F.arrays_overlap(terms, group) & F.arrays_overlap(t["words"], group)
-        score = score + F.when(both, SYNONYM_HIT).otherwise(0.0)
-    return score + by_column
+    """``(table, importance, is_internal, token, slot, ordinal, column, weight)``: the tokens of the catalog and what each is worth.
 
+    A slot counts once per question, whichever of its tokens meet: a word of the table's name, a column, a column's meaning, or a synonym group.
+    """
+    ranked = ranked.select("table", "importance", "is_internal")
+    words = tokens(F.regexp_replace("table", r"^.*\.", ""))
+    none, plain = F.lit(None).cast("int"), F.lit(None).cast("string")
+    named = ranked.select("*", F.explode(words).alias("token")).select(
+        "*", F.concat(F.lit("word "), "token").alias("slot"), none.alias("ordinal"), plain.alias("column"), F.lit(TABLE_TOKEN).alias("weight"))
+    grouped = ranked.select("*", F.explode(groups_of(words)).alias("head")).select(
+        *ranked.columns, F.concat(F.lit("group "), "head").alias("token"), F.concat(F.lit("group "), "head").alias("slot"),
+        none.alias("ordinal"), plain.alias("column"), F.lit(SYNONYM_HIT).alias("weight"))
+    columns = annotated.select("table", "ordinal", "column", "semantic_type").join(ranked, "table")
+    held = columns.select("*", F.explode(tokens(F.col("column"))).alias("token")).select(
+        *ranked.columns, "token", F.concat(F.lit("column "), F.col("ordinal").cast("string")).alias("slot"), "ordinal", "column",
+        F.lit(COLUMN_HIT).alias("weight"))
+    meant = columns.filter(F.col("semantic_type") != "unknown").select(
+        *ranked.columns, F.col("semantic_type").alias("token"), F.concat(F.lit("type "), F.col("ordinal").cast("string")).alias("slot"),
+        none.alias("ordinal"), plain.alias("column"), F.lit(TYPE_HIT).alias("weight"))
+    whole = ranked.select(
+        "*", plain.alias("token"), F.lit("name").alias("slot"), none.alias("ordinal"), plain.alias("column"), F.lit(EXACT_TABLE).alias("weight"))
+    return named.unionByName(grouped).unionByName(held).unionByName(meant).unionByName(whole)
 
-def search_schema(questions: DataFrame, catalog: DataFrame, k: int = TOP_TABLES) -> DataFrame:
-    """``(question_id, rank, table, score, columns)``: the best tables per question.
 
-    The catalog (from ``catalog_terms``) is carried as one array beside each
-    question, so matching is row-local: no join and no pair list.
-    """
-    asked = questions.select("question_id", F.lower("text").alias("q"), expanded(tokens(F.col("text"))).alias("terms"))
-    found = []
-    for part in _parts(catalog, "table"):
-        beside = asked.withColumn("tables", _carried(part, "table", "words", "entries", "importance", "is_internal"))
-        scored = F.transform("tables", lambda t: F.struct(
-            t["table"].alias("table"), _table_score(F.col("terms"), F.col("q"), t).alias("lexical"),
-            t["importance"].alias("importance"), t["is_internal"].alias("is_internal"),
-            F.slice(F.transform(
-                F.filter(t["entries"], lambda e: F.arrays_overlap(F.col("terms"), e["words"])), lambda e: e["column"]
-            ), 1, 5).alias("columns"),
-        ))
-        hits = beside.select("question_id", F.inline(F.filter(scored, lambda s: s["lexical"] > 0)))
-        penalty = F.when(F.col("is_internal"), INTERNAL_PENALTY).otherwise(0.0)
-        score = F.col("lexical") + IMPORTANCE_WEIGHT * F.col("importance") - penalty
-        found.append(hits.select("question_id", "table", F.round(score, 2).alias("score"), "columns").filter(F.col("score") > 0))
+def search_schema(questions: DataFrame, catalog: DataFrame, k: int = TOP_TABLES) -> DataFrame:
+    """``(question_id, rank, table, score, columns)``: the best tables per question, from the index of ``catalog_terms``."""
+    terms = expanded(tokens(F.col("text")))
+    heads = F.transform(groups_of(terms), lambda h: F.concat(F.lit("group "), h))
+    asked = questions.select("question_id", F.explode(F.array_distinct(F.concat(terms, heads))).alias("token"))
+    met = lookup_join(asked, catalog.filter("token IS NOT NULL"), "token", "inner").drop("token")
+    spoken = holding(questions.select("question_id", F.lower("text").alias("q")),
+                     catalog.filter("slot = 'name'").drop("token").withColumn("name", F.lower("table"))).drop("q", "name")
+    slots = F.collect_set(F.struct("ordinal", "slot", "column", "weight"))
+    pairs = met.unionByName(spoken).groupBy("question_id", "table", "importance", "is_internal").agg(F.sort_array(slots).alias("slots"))
+    lexical = F.aggregate("slots", F.lit(0.0), lambda acc, s: acc + s["weight"])
+    columns = F.slice(F.transform(F.filter("slots", lambda s: s["column"].isNotNull()), lambda s: s["column"]), 1, 5)
+    penalty = F.when(F.col("is_internal"), INTERNAL_PENALTY).otherwise(0.0)
+    score = F.round(lexical + IMPORTANCE_WEIGHT * F.col("importance") - penalty, 2)
+    scored = pairs.select("question_id", "table", score.alias("score"), columns.alias("columns")).filter(F.col("score") > 0)
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "table")
-    return _union(found).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def _words_only(text: Column) -> Column:
@@ -127,17 +138,17 @@ def _words_only(text: Column) -> Column:
 
 def ground(questions: DataFrame, names: DataFrame) -> DataFrame:
     """``(question_id, name, how)``: names that occur as a whole phrase or share a token."""
-    known = names.select("name", tokens(F.col("name")).alias("words"), _words_only(F.col("name")).alias("phrase"))
+    phrase = _words_only(F.col("name"))
+    first = F.regexp_extract(phrase, "[a-z0-9_]+", 0)
     asked = questions.select("question_id", _words_only(F.col("text")).alias("q"), tokens(F.col("text")).alias("terms"))
-    found = []
-    for part in _parts(known, "name"):
-        how = lambda n: (
-            F.when(F.contains(F.col("q"), n["phrase"]), "phrase").when(F.arrays_overlap(F.col("terms"), n["words"]), "token")
-        )
-        beside = asked.withColumn("names", _carried(part, "name", "words", "phrase"))
-        hits = F.transform("names", lambda n: F.struct(n["name"].alias("name"), how(n).alias("how")))
-        found.append(beside.select("question_id", F.inline(F.filter(hits, lambda h: h["how"].isNotNull()))))
-    return _union(found)
+    # A phrase can only occur where its first word does.
+    words = asked.select("question_id", "q", F.explode(F.array_distinct(F.regexp_extract_all("q", F.lit("[a-z0-9_]+"), F.lit(0)))).alias("word"))
+    known = names.select("name", phrase.alias("phrase"), first.alias("word"))
+    whole = lookup_join(words, known, "word", "inner").filter(F.contains(F.col("q"), F.col("phrase"))).select("question_id", "name", F.lit("phrase").alias("how"))
+    held = names.select("name", F.explode(tokens(F.col("name"))).alias("word"))
+    shared = lookup_join(asked.select("question_id", F.explode("terms").alias("word")), held, "word", "inner").select("question_id", "name", F.lit("token").alias("how"))
+    # "phrase" sorts before "token": the stronger tie is kept.
+    return whole.unionByName(shared).groupBy("question_id", "name").agg(F.min("how").alias("how"))
 
 
 def match_definitions(questions: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -147,25 +158,21 @@ def match_definitions(questions: DataFrame, definitions: DataFrame) -> DataFrame
     phrase in the question scores 100, else ten per token shared with the
     description; a physical table or column name lifts the score to 80.
     """
-    known = definitions.select(
-        "kind", "key", "size", F.transform("phrases", F.lower).alias("phrases"), F.transform("physical", F.lower).alias("physical"),
-        tokens(F.col("description")).alias("words"),
-    )
-    asked = questions.select("question_id", F.lower("text").alias("q"), tokens(F.col("text")).alias("terms"))
-    inside = lambda names: F.exists(names, lambda p: (p != "") & F.contains(F.col("q"), p))
-    found = []
-    for part in _parts(known, "key"):
-        def score(d):
-            spoken = F.when(inside(d["phrases"]), 100).otherwise(10 * F.size(F.array_intersect(F.col("terms"), d["words"])))
-            named = d["kind"].isin("table", "column") & inside(d["physical"])
-            return F.when(named, F.greatest(spoken, F.lit(80))).otherwise(spoken)
-
-        beside = asked.withColumn("known", _carried(part, "kind", "key", "size", "phrases", "physical", "words"))
-        hits = F.transform("known", lambda d: F.struct(
-            d["kind"].alias("kind"), d["key"].alias("key"), score(d).cast("long").alias("score"), d["size"].alias("size")
-        ))
-        found.append(beside.select("question_id", F.inline(F.filter(hits, lambda h: h["score"] > 0))))
-    return _union(found)
+    own = ["kind", "key", "size"]
+    asked = questions.select("question_id", F.lower("text").alias("q"))
+    said = holding(asked, definitions.select(*own, F.explode(F.transform("phrases", F.lower)).alias("name")))
+    bound = definitions.filter(F.col("kind").isin("table", "column"))
+    shown = holding(asked, bound.select(*own, F.explode(F.transform("physical", F.lower)).alias("name")))
+    held = definitions.select(*own, F.explode(tokens(F.col("description"))).alias("word"))
+    shared = lookup_join(questions.select("question_id", F.explode(tokens(F.col("text"))).alias("word")), held, "word", "inner")
+    kinds = [
+        said.select("question_id", *own, F.lit(100).alias("least"), F.lit(0).alias("more")),
+        shown.select("question_id", *own, F.lit(80).alias("least"), F.lit(0).alias("more")),
+        shared.select("question_id", *own, F.lit(0).alias("least"), F.lit(10).alias("more")),
+    ]
+    score = F.greatest(F.max("least"), F.when(F.max("least") < 100, F.sum("more")).otherwise(0))
+    hits = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).groupBy("question_id", *own).agg(score.cast("long").alias("score"))
+    return hits.select("question_id", "kind", "key", "score", "size")
 
 
 def within_budget(matches: DataFrame, definitions: int = 20, characters: int = 12_000) -> DataFrame:

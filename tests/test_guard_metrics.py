@@ -66,15 +66,14 @@ def test_budget_passes_over_what_is_too_long(spark):
     assert kept == [(1, 1, "a"), (1, 2, "c"), (1, 3, "d")]
 
 
-def test_catalog_parts_do_not_change_matches(spark):
-    questions = spark.createDataFrame([(i, f"show orders of customer {i} and net revenue") for i in range(5)], "question_id int, text string")
-    names = spark.createDataFrame([(n,) for n in ("orders", "customer", "net_revenue", "pages", "revenue")], "name string")
-    whole = sorted(map(tuple, X.ground(questions, names).collect()))
-    X.PART_ROWS, kept = 2, X.PART_ROWS
-    try:
-        assert sorted(map(tuple, X.ground(questions, names).collect())) == whole
-    finally:
-        X.PART_ROWS = kept
+def test_phrases_and_tokens_are_told_apart(spark):
+    questions = spark.createDataFrame([(0, "show orders of customer 7 and net revenue"), (1, "reordered"), (2, "")], "question_id int, text string")
+    names = spark.createDataFrame([(n,) for n in ("orders", "customers", "net revenue", "pages", "revenue share")], "name string")
+    found = sorted(map(tuple, X.ground(questions, names).collect()))
+    assert found == [(0, "customers", "token"), (0, "net revenue", "phrase"), (0, "orders", "phrase"), (0, "revenue share", "token")]
+    held = X.holding(questions.selectExpr("question_id", "text AS q"), names.unionByName(spark.createDataFrame([("o",), ("",)], "name string")))
+    want = sorted((q, n) for q, t in ((0, "show orders of customer 7 and net revenue"), (1, "reordered")) for n in ("orders", "net revenue", "o") if n in t)
+    assert sorted((r.question_id, r.name) for r in held.collect()) == want
 
 
 @pytest.mark.parametrize("text,noise", [("how many orders last month", False), ("!!! ??", True), ("aaaaaaaaab", True), ("xkcdbrtzplmnwqtr", True),
