@@ -204,8 +204,9 @@ def _bytes_of(column: pa.Array) -> np.ndarray:
 
 
 def shards_of(spark: SparkSession) -> int:
-    """Four shards per shuffle partition, so that a shard's share of the distinct keys stays small."""
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """One shard per shuffle partition: with as many partitions as the data needs, a shard's share of the distinct keys
+    fits a task, and a chunk's request to a shard stays large enough to be worth a row."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def shard_cuts(keys: np.ndarray, shards: int) -> np.ndarray:
