@@ -6,7 +6,7 @@ names where callers differ.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline.functions import ranks as R, text as X
 from plumbline.session import col, cut_lineage, lookup_join
@@ -92,20 +92,22 @@ def latency_percentiles(events: DataFrame, keys: list[str], probabilities: list[
 def page(df: DataFrame, time: str, before=None, size: int = 20, key: str = "id") -> tuple[DataFrame, Column]:
     """The newest rows before a cursor and the cursor of the next page, NULL at the end.
 
-    A cursor is a struct of time and key, so that rows of one time are not lost between pages; a time alone stands
-    before all rows of that time.
+    The cursor names time and key of the last row in one text, so that rows of one time are not lost between pages.
+    ``before`` is such a text, or a time alone, which stands before all rows of that time.
     """
-    if before is None:
-        kept = df
-    elif isinstance(before, tuple):
-        at, last = before
-        kept = df.filter((col(time) < at) | ((col(time) == at) & (col(key) < last)))
-    else:
-        kept = df.filter(col(time) < before)
+    kept = df
+    if before is not None:
+        if isinstance(df.select(before).schema[0].dataType, T.StringType):
+            at = F.substring_index(before, "|", 1).cast(df.schema[time].dataType)
+            last = F.regexp_replace(before, r"^[^|]*\|", "").cast(df.schema[key].dataType)
+            kept = df.filter((col(time) < at) | ((col(time) == at) & (col(key) < last)))
+        else:
+            kept = df.filter(col(time) < before)
     ahead = newest(kept, time, key, size + 1)
     rows = newest(ahead, time, key, size)
     more = ahead.agg(F.when(F.count("*") > size, F.lit(True)).alias("m")).scalar()
-    last = rows.agg(F.min(F.struct(col(time).alias("time"), col(key).alias("key"))).alias("t")).scalar()
+    end = F.min(F.struct(col(time).alias("time"), col(key).alias("key")))
+    last = rows.agg(F.concat_ws("|", end["time"].cast("string"), end["key"].cast("string")).alias("t")).scalar()
     return rows, F.when(more, last)
 
 

@@ -64,7 +64,7 @@ def u5(spark, d):
 
 def u9(spark, d):
     rows, cursor = U.page(runs(spark, d), "ran_at", before=F.lit("2024-01-20").cast("timestamp_ntz"), size=20)
-    return rows.withColumn("cursor", F.date_format(cursor["time"], "yyyy-MM-dd HH:mm:ss")).select("id", "cursor")
+    return rows.withColumn("cursor", F.date_format(F.substring_index(cursor, "|", 1).cast("timestamp"), "yyyy-MM-dd HH:mm:ss")).select("id", "cursor")
 
 
 def u9_tied(spark, d):
@@ -72,7 +72,7 @@ def u9_tied(spark, d):
     days = runs(spark, d).withColumn("ran_at", F.date_trunc("day", "ran_at"))
     rows, cursor = U.page(days, "ran_at", size=30)
     at = rows.select(cursor.alias("c")).first()["c"]
-    rows, _ = U.page(days, "ran_at", before=(F.lit(at["time"]), F.lit(at["key"])), size=30)
+    rows, _ = U.page(days, "ran_at", before=F.lit(at), size=30)
     return rows.select("id")
 
 
