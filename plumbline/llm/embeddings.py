@@ -1,7 +1,8 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
 Reference points (pivots) are vectors of the table, those with the smallest hash of the id: a bounded sample of at most
-``MAX_PIVOTS``. Every vector is described by its ``prefix`` nearest pivots in order; inverted lists hold, per pivot, the
+``MAX_PIVOTS``. Of sampled vectors that point almost the same way one stays: a large group of near copies would otherwise hold many
+pivots, and which of them are nearest would be chance. Every vector is described by its ``prefix`` nearest pivots in order; inverted lists hold, per pivot, the
 vectors that name it. Two vectors are candidates if they share at least ``shared`` pivots; candidates are verified by
 cosine in double precision. Each pair is counted in one list only, that of the first pivot (by number) they share.
 Lists longer than ``block`` are dealt to pairs of salted blocks. A task compares the vectors of a block by matrix products and emits
@@ -27,6 +28,7 @@ from plumbline.llm import common
 
 COSINE = 0.9
 PREFIX, SHARED = 10, 2
+APART = 0.7
 MIN_PIVOTS, MAX_PIVOTS = 16, 4096
 BLOCK = 2048
 
@@ -43,6 +45,17 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
+def apart(pivots: np.ndarray, most: float = APART) -> np.ndarray:
+    """The pivots whose cosine to every one kept before them is below ``most``."""
+    kept = np.empty_like(pivots)
+    n = 0
+    for pivot in pivots:
+        if not n or (kept[:n] @ pivot).max() < most:
+            kept[n] = pivot
+            n += 1
+    return kept[:n]
+
+
 def described(entries: DataFrame, pivots: np.ndarray, prefix: int) -> DataFrame:
     """``entries`` (``id, v, mult``) with ``pivots``: the numbers of the nearest pivots, nearest first."""
     width = pivots.shape[1]
@@ -156,7 +169,7 @@ def near_duplicates(
         many = int(min(MAX_PIVOTS, max(MIN_PIVOTS, 4 * row["count"] ** 0.5)))
         # At most MAX_PIVOTS vectors come to the driver.
         chosen = part.orderBy(F.xxhash64("least", "v"), "id").limit(many).select("v").collect()
-        pivots = unit(np.array([r.v for r in chosen]).reshape(-1, width))
+        pivots = apart(unit(np.array([r.v for r in chosen]).reshape(-1, width)))
         # With very few pivots all vectors share them: still exact, only without pruning.
         need = min(shared, len(pivots), prefix)
         named = described(part, pivots, prefix).withColumn("key", F.explode("pivots"))

@@ -58,3 +58,15 @@ def test_null_ids_and_empty_table(spark):
     got = sorted(str(tuple(r)) for r in embeddings.near_duplicates(table).collect())
     assert got == ["(7, 2, 7, True)", "(7, 2, 7, True)", "(None, 0, None, False)", "(None, 2, 7, False)"]
     assert embeddings.near_duplicates(table.limit(0)).count() == 0
+
+
+def test_recall_inside_a_large_group_of_near_copies(spark):
+    r = np.random.default_rng(9)
+    centre = r.normal(size=64)
+    x = np.concatenate([r.normal(size=(1500, 64)), centre + 0.2 * r.normal(size=(700, 64))])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    want = (x @ x.T >= 0.9).sum(axis=1) - 1
+    got = {row.vec_id: row.n_links for row in embeddings.near_duplicates(table).collect()}
+    have = np.array([got[i] for i in range(len(x))])
+    assert want.sum() > 50_000 and (have <= want).all() and have.sum() >= 0.97 * want.sum()
