@@ -44,21 +44,25 @@ def anchors(words: np.ndarray, window: int = WINDOW):
     live, levels = np.arange(count), []
     for level in range(_ROUNDS):
         levels.append(names)
-        best_level[live], best[live] = level, _longest(starts, names, low, high, len(words))
         # runs: the outermost ones may go on outside
         new = np.append(True, names[1:] != names[:-1])
         run = np.cumsum(new) - 1
         begin = np.flatnonzero(new)
         length = np.diff(np.append(begin, len(names)))
         merged = np.where(length > 1, common.mix(names[begin], length.astype(np.uint64), 2000 + level), names[begin])
-        low, high = run[low] + 1, run[high - 1]
+        inner, outer = run[low] + 1, run[high - 1]
         # pairs: a right name may belong to what is left of it, a left name to what is right of it
         right = (_salted(merged, level) >> np.uint64(40)) & np.uint64(1) == 1
-        some = low < high
-        low, high, live = low[some], high[some], live[some]
-        low, high = low + right[low], high - ~right[high - 1]
-        some = low < high
-        low, high, live = low[some], high[some], live[some]
+        some = np.flatnonzero(inner < outer)
+        inner, outer = inner[some], outer[some]
+        inner, outer = inner + right[inner], outer - ~right[outer - 1]
+        left = inner < outer
+        some, inner, outer = some[left], inner[left], outer[left]
+        # windows that end here take their anchor from this level; the others go on
+        ends = np.ones(len(live), bool)
+        ends[some] = level == _ROUNDS - 1
+        best_level[live[ends]], best[live[ends]] = level, _longest(starts, names, low[ends], high[ends], len(words))
+        live = live[~ends]
         if not len(live):
             break
         head = np.append(True, ~(right[1:] & ~right[:-1]))
@@ -67,7 +71,7 @@ def anchors(words: np.ndarray, window: int = WINDOW):
         pair = np.diff(np.append(first, len(merged))) == 2
         names = merged[first]
         names[pair] = common.mix(merged[first[pair]], merged[first[pair] + 1], 3000 + level)
-        low, high = place[low], place[high - 1] + 1
+        low, high = place[inner], place[outer - 1] + 1
         starts = starts[begin][first]
     return best_level, best, levels
 
