@@ -343,12 +343,16 @@ def _top(about: DataFrame, state: DataFrame, frequent: int):
     """The most frequent tokens over all shards, their counts and endings."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The most frequent tokens of all shards that a task reads, so that rows follow the tasks, not the shards."""
+        words, counts = np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
-            words, _ = common.from_blobs(batch.column("top_words"), np.int64)
-            counts, _ = common.from_blobs(batch.column("top_counts"), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(counts)], names=["word", "n"])
+            words = np.concatenate([words, common.from_blobs(batch.column("top_words"), np.int64)[0]])
+            counts = np.concatenate([counts, common.from_blobs(batch.column("top_counts"), np.int64)[0]])
+            first = np.lexsort((words, -counts))[:frequent]
+            words, counts = words[first], counts[first]
+        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(counts)], names=["word", "n"])
 
-    best = about.select("top_words", "top_counts").mapInArrow(rows, "word long, n long").orderBy(F.desc("n"), "word").limit(frequent).collect()
+    best = about.select("top_words", "top_counts").coalesce(16).mapInArrow(rows, "word long, n long").orderBy(F.desc("n"), "word").limit(frequent).collect()
     words = np.array([r.word for r in best], np.int64).view(np.uint64)
     counts = np.array([r.n for r in best], np.int64)
     order = np.argsort(words)
