@@ -4,8 +4,8 @@ Plain patterns find e-mail addresses, IP addresses, card and phone numbers. Thre
 they keep, per character written, the source characters it stands for: look-alike letters and digits of other scripts
 become ASCII and invisible characters vanish; at/dot disguises (``[at]``, ``(dot)``, ``name at host dot org``) become
 ``@`` and ``.``; runs of spelled digits become digits. The same patterns run on the rewritten text, and what they find
-is mapped back to source offsets. A span found this way is added if rewriting touched it and no span of its kind
-overlaps it already; spans of the plain patterns always stay.
+is mapped back to source offsets. A span found this way is added if rewriting touched it and no plain span of its kind
+covers it wholly: one that reaches beyond a plain span is added beside it. Spans of the plain patterns always stay.
 
 Patterns start only where a match can start, so texts of any length cost time in proportion to their length.
 
@@ -191,7 +191,7 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
     if tape:
         for a, kind, b in plain_spans(tape.text):
             start, end = tape.start[a], tape.end[b - 1]
-            if any(tape.new[a:b]) and not any(k == kind and s < end and start < e for s, k, e in base):
+            if any(tape.new[a:b]) and not any(k == kind and s <= start and end <= e for s, k, e in base):
                 added.append((start, kind, end))
     return base, sorted(set(added))
 

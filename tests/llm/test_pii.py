@@ -47,6 +47,27 @@ def test_disguises_map_back_to_the_source(text, kind, want):
     assert base == plain(text)
 
 
+@pytest.mark.parametrize("text, kind, want", [
+    ("to jоhn@example.com now", 0, "jоhn@example.com"),
+    ("to jane@mail.exаmple.com now", 0, "jane@mail.exаmple.com"),
+    ("to jane@mail.example [dot] org now", 0, "jane@mail.example [dot] org"),
+    ("to +49 30 1234567 eight nine now", 3, "+49 30 1234567 eight nine"),
+    ("ip 10.0.0.1​2 now", 1, "10.0.0.1​2"),
+])
+def test_partial_disguises_reach_beyond_the_plain_span(spark, text, kind, want):
+    base, added = pii.spans(text)
+    span = (text.index(want), kind, text.index(want) + len(want))
+    assert base and base == plain(text) and added == [span]
+    assert all(span[0] <= s and e <= span[2] for s, _, e in base)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert pii.redact(docs).first().text == text.replace(want, f"<{pii.KINDS[kind].upper()}>")
+
+
+def test_a_span_inside_a_plain_one_is_not_added():
+    text = "card 4111 1111 1111 1111​"
+    assert pii.spans(text) == ([(5, 2, 24)], [])
+
+
 @pytest.mark.parametrize("text", ["He looked at the polka dot dress.", "one two three", "at noon (at) home", "Привет, как дела? О, хорошо", "the one at the two", "see point 3. dot com"])
 def test_plain_speech_is_left_alone(text):
     assert pii.spans(text) == ([], [])
