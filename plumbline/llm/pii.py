@@ -2,8 +2,8 @@
 
 Plain patterns find e-mail addresses, IP addresses, card and phone numbers. Three transducers then rewrite a text while
 they keep, per character written, the source characters it stands for: look-alike letters and digits of other scripts
-become ASCII and invisible characters vanish; at/dot disguises (``[at]``, ``(dot)``, ``name at host dot org``) become
-``@`` and ``.``; runs of spelled digits become digits. The same patterns run on the rewritten text, and what they find
+become ASCII and invisible characters vanish; at/dot disguises (``[at]``, ``(dot)``, ``name at host dot org``, in any
+mix) become ``@`` and ``.``; runs of spelled digits become digits. The same patterns run on the rewritten text, and what they find
 is mapped back to source offsets. A span found this way is added if rewriting touched it and no plain span of its kind
 covers it wholly: one that reaches beyond a plain span is added beside it. Spans of the plain patterns always stay.
 
@@ -56,8 +56,12 @@ _DIGIT_RUN = re.compile(
 _TWO_SPELLED = re.compile(rf"(?:{_WORD})[ ,.-]+(?:dot +|point +)?(?:{_WORD}|[0-9])", re.I)
 _DIGIT_PART = re.compile(rf"plus|dot|point|{_WORD}|[0-9]+|[ ,.-]+", re.I)
 _BRACKET = re.compile(r"\s*[\[({<]\s*(at|@|dot|\.|punkt|punto|point)\s*[\])}>]\s*", re.I)
-_SAID = re.compile(r"(?<![\w.%+-])[A-Za-z0-9_%+-]+(?:(?:\.|\s+dot\s+)[A-Za-z0-9_%+-]+)*\s+at\s+[A-Za-z0-9-]+(?:(?:\.|\s+dot\s+)[A-Za-z0-9-]+)*\s+dot\s+[A-Za-z0-9-]+", re.I)
-_SAID_PART = re.compile(r"\s+(at|dot)\s+", re.I)
+_AT = re.compile(r"@|(?<=\s)at(?=\s)", re.I)
+_LABELS = r"[A-Za-z0-9-]+(?:(?:\.|\s+dot\s+)[A-Za-z0-9-]+)*"
+_HOST_AT = re.compile(rf"\s*({_LABELS}(?:\.|\s+dot\s+)[A-Za-z0-9-]+)", re.I)
+_HOST_SIGN = re.compile(rf"({_LABELS}(?:\.[A-Za-z0-9-]+|\s+dot\s+[A-Za-z]{{2}}[A-Za-z0-9-]*))", re.I)
+_SAID_DOT = re.compile(r"\s+dot\s+", re.I)
+_TOP = re.compile(r"\.[A-Za-z]{2}[A-Za-z0-9-]*\Z")
 _HINT = re.compile(r"[\[({<]\s*(?:at|@|dot|\.|punkt|punto|point)\s*[\])}>]|\sdot\s", re.I)
 
 
@@ -146,14 +150,11 @@ def undisguise(text: str) -> Tape | None:
     """The text after the three transducers, or None if there is nothing to rewrite."""
     tape = Tape(text)
     tape.rewrite([(m.start(), m.end(), out) for m in _FOREIGN.finditer(text) if (out := _look_alike(m[0])) != m[0]])
-    if _HINT.search(tape.text):
+    hint = _HINT.search(tape.text)
+    if hint:
         tape.rewrite([(m.start(), m.end(), "@" if m[1].lower() in ("at", "@") else ".") for m in _BRACKET.finditer(tape.text)])
-        edits = []
-        for said in _SAID.finditer(tape.text):
-            edits += [(m.start(), m.end(), "@" if m[1].lower() == "at" else ".") for m in _SAID_PART.finditer(tape.text, said.start(), said.end())]
-        tape.rewrite(edits)
-        # "name at host.org" is plain speech; "name@host dot org" is not
-        tape.rewrite([(m.start(1), m.end(1), ".") for m in re.finditer(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(\s+dot\s+)(?=[A-Za-z]{2,})", tape.text, re.I)])
+    if hint or 1 in tape.new:
+        tape.rewrite(_said_edits(tape))
     if _TWO_SPELLED.search(tape.text):
         edits = []
         for run in _DIGIT_RUN.finditer(tape.text):
@@ -163,6 +164,53 @@ def undisguise(text: str) -> Tape | None:
     return tape if any(tape.new) else None
 
 
+def _blanks(text: str, low: int, end: int) -> int:
+    """Where the white space that ends at ``end`` starts, not before ``low``."""
+    while end > low and text[end - 1].isspace():
+        end -= 1
+    return end
+
+
+def _local_part(text: str, low: int, end: int) -> tuple[int, list[tuple[int, int, str]]]:
+    """Start of the local part that ends at ``end``, not before ``low``, and the edits for its spoken dots."""
+    edits, start = [], end
+    while True:
+        while start > low and text[start - 1] in _LOCAL:
+            start -= 1
+        said = _blanks(text, low, start)
+        if said == start or text[max(low, said - 3) : said].lower() != "dot":
+            return start, edits[::-1]
+        name = _blanks(text, low, said - 3)
+        if not low < name < said - 3 or text[name - 1] not in _LOCAL or "." in (text[name - 1], text[start]):
+            return start, edits[::-1]
+        edits.append((name, start, "."))
+        start = name
+
+
+def _said_edits(tape: Tape) -> list[tuple[int, int, str]]:
+    """Spoken ``at`` and ``dot`` of addresses. A dot is spoken next to any ``@``. ``at`` is spoken only where a dot of the address is spoken or was
+    rewritten: "name at host.org" is plain speech."""
+    text, edits, done = tape.text, [], 0
+    for at in _AT.finditer(text):
+        if at.start() < done:
+            continue
+        sign = at[0] == "@"
+        host = (_HOST_SIGN if sign else _HOST_AT).match(text, at.end())
+        end = at.start() if sign else _blanks(text, done, at.start())
+        if not host or end <= done or text[end - 1] not in _LOCAL or not sign and text[end - 1] == ".":
+            continue
+        start, dots = _local_part(text, done, end)
+        said = [(m.start(), m.end(), ".") for m in _SAID_DOT.finditer(text, host.start(1), host.end())]
+        if not sign:
+            was = any(tape.new[n] and text[n] == "." for part in ((start, end), host.span(1)) for n in range(*part))
+            if start and text[start - 1].isalnum() or not (said or (dots or was) and _TOP.search(host[1])):
+                continue
+            dots.append((end, host.start(1), "@"))
+        edits += dots + said
+        done = host.end()
+    return edits
+
+
 def _digit_edits(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
     """Spelled digits become digits, blanks between two of them vanish, ``dot`` and ``plus`` become their signs."""
     parts = [(m.start(), m.end(), m[0].lower()) for m in _DIGIT_PART.finditer(text, start, end)]

@@ -63,6 +63,28 @@ def test_partial_disguises_reach_beyond_the_plain_span(spark, text, kind, want):
     assert pii.redact(docs).first().text == text.replace(want, f"<{pii.KINDS[kind].upper()}>")
 
 
+def test_every_mix_of_plain_bracketed_and_spoken_signs():
+    dots = [".", "[.]", " [dot] ", "(dot)", " dot ", "  DOT "]
+    for at in ["@", "[at]", " (at) ", " at ", " AT\n"]:
+        for local in ["jane", *(f"john{d}smith" for d in dots)]:
+            for one in ["", *dots]:
+                for two in dots:
+                    want = f"{local}{at}{'mail' + one if one else ''}example{two}com"
+                    text = f"écrire: {want}, merci"
+                    if at.strip().lower() == "at" and not re.search(r"[(\[]|\sdot\s", want.replace(at, "", 1), re.I):
+                        assert pii.spans(text) == ([], [])  # plain speech
+                        continue
+                    base, added = pii.spans(text)
+                    assert base == plain(text)
+                    assert (8, 0, 8 + len(want)) in base + added, text
+                    assert len(added) == ((8, 0, 8 + len(want)) not in base), text
+
+
+def test_long_texts_of_marks_take_time_in_proportion():
+    for piece in ["a dot ", "a at ", "@ dot a", " at a dot", "a at b.c ", "a@b dot 1 ", "a at b[.]c "]:
+        pii.spans(piece * 20_000 + "а")
+
+
 def test_a_span_inside_a_plain_one_is_not_added():
     text = "card 4111 1111 1111 1111​"
     assert pii.spans(text) == ([(5, 2, 24)], [])
