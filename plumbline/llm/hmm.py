@@ -3,8 +3,9 @@
 Training tokens are counted over all training documents: each chunk of documents sends its distinct words to shards and
 gets their counts back. The model's alphabet is bounded: the ``FREQUENT`` most frequent tokens are symbols of their
 own; every other word belongs to a class by frequency band and word ending, and its probability is that of the class
-times its share in it. Words not seen in training behave like words seen once, and get the share of all tokens that
-those make up.
+times its share in it. Own symbols occur at least twice. In each state, the words not seen in training get as
+much probability as those seen once with the same ending, spread over one type more than those are: an unseen word never
+scores above one seen once with its ending.
 
 Baum-Welch: each pass runs scaled forward and backward recursions over all training documents; the expected counts are
 summed per task, then across partitions, and at most ``states * (symbols + states + 1)`` sums come to the driver, which
@@ -118,7 +119,7 @@ def _answered(asked: DataFrame, frequent: int) -> DataFrame:
         size = BANDS * ENDINGS
         sums = np.concatenate([np.bincount(classes[known], total[known] + 1, size), np.bincount(classes[known], total[known], size), [known.sum()]])
         top = np.lexsort((unique, -total))[:frequent]
-        top = top[total[top] > 0]
+        top = top[total[top] > 1]
         chunks, rows = group.column("chunk").to_pylist(), len(cuts) - 1
         return pa.table({
             "chunk": pa.array([*chunks, -1], pa.int64()), "shard": pa.array([group.column("shard")[0].as_py()] * (rows + 1), pa.int32()),
@@ -152,11 +153,15 @@ class Alphabet:
         # (c + 1) of the words that stay in each class, and their tokens
         self.plus, self.plain = plus, plain
 
+    def unseen_types(self) -> np.ndarray:
+        """Per ending, over how many types the unseen words' probability is spread: one more than were seen once."""
+        return self.plain[ENDINGS : 2 * ENDINGS] + 1
+
     def look_up(self, words: np.ndarray, ends: np.ndarray, counts: np.ndarray):
         """Symbol of each word, and the log10 of its share in that symbol."""
         classes = band(counts) * ENDINGS + ends
         symbol = len(self.words) + classes
-        share = np.where(counts > 0, (counts + 1) / np.maximum(self.plus[classes], 1), 1.0)
+        share = np.where(counts > 0, (counts + 1) / np.maximum(self.plus[classes], 1), 1 / self.unseen_types()[ends])
         if len(self.words):
             at = np.searchsorted(self.words, words)
             at[at == len(self.words)] = 0
@@ -259,16 +264,15 @@ def next_model(starts, moves, emits, prior) -> Model:
 
 
 def with_unseen(model: Model, alphabet: Alphabet) -> Model:
-    """Gives unseen words the share of tokens that words seen once make up, by ending and state like those."""
-    first = len(alphabet.words)
-    once = slice(first + ENDINGS, first + 2 * ENDINGS)
-    share = (alphabet.plain[ENDINGS : 2 * ENDINGS].sum() + 1) / (alphabet.tokens + 2)
-    like = model.emit[once] + 1e-12
+    """Gives unseen words, per state and ending, as much probability as the words seen once have."""
+    first, types = len(alphabet.words), alphabet.unseen_types()[:, None]
+    each = model.emit[first + ENDINGS : first + 2 * ENDINGS] / types
+    some = types[:, 0] > 1
+    # An ending without a word seen once: as little a type as in any other.
+    each[~some] = each[some].min(axis=0) if some.any() else 1 / (alphabet.tokens + 2) / ENDINGS
     emit = model.emit.copy()
-    emit[first : first + ENDINGS] = 0
-    emit *= (1 - share) / emit.sum(axis=0)
-    emit[first : first + ENDINGS] = share * like / like.sum(axis=0)
-    return Model(model.start, model.move, emit)
+    emit[first : first + ENDINGS] = each * types
+    return Model(model.start, model.move, emit / emit.sum(axis=0))
 
 
 def _pass(chunks: DataFrame, model: Model):

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from plumbline.llm import hmm
 
@@ -97,3 +98,36 @@ def test_no_training_document_and_empty_table(spark):
     (row,) = hmm.score(docs).collect()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (3, 0, 0, 0.0) and abs(row.score) < 1e-9
     assert hmm.score(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("frequent", [20, 2000])
+def test_an_unseen_word_never_outscores_one_seen_once(spark, frequent):
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    once = [w + e for w in ("mar", "pol", "sund") for e in ("tion", "keit", "dad")]
+    rows = [(i, t) for i, t in sample() if i is not None and i < 900]
+    train = next(i for i in range(900, 2000) if i not in held)
+    rows.append((train, " ".join(once)))
+    ids = [i for i in held if i >= 900]
+    pairs = [(w, "qx" + w[-4:]) for w in once]
+    tests = [f"ba {w}" for pair in pairs for w in pair] + [" ".join(once), " ".join("qx" + w for w in once)]
+    docs = spark.createDataFrame(rows + list(zip(ids, tests)), "doc_id long, text string")
+    got = {r.doc_id: r for r in hmm.score(docs, frequent=frequent).collect()}
+    score = [got[i].score for i in ids[: len(tests)]]
+    assert all(got[i].held_out for i in ids[: len(tests)])
+    assert all(a > b for a, b in zip(score[::2], score[1::2]))
+
+
+def test_probabilities_with_unseen_words_sum_to_one():
+    size = hmm.BANDS * hmm.ENDINGS
+    plain = np.zeros(size)
+    plain[hmm.ENDINGS : hmm.ENDINGS + 3] = 5, 1, 9
+    alphabet = hmm.Alphabet(np.array([7], np.uint64), np.array([30]), 2 * plain, plain, 16)
+    emit = np.random.default_rng(4).dirichlet(np.ones(alphabet.size), 2).T
+    model = hmm.with_unseen(hmm.Model(np.ones(2) / 2, np.ones((2, 2)) / 2, emit), alphabet)
+    assert np.allclose(model.emit.sum(axis=0), 1)
+    ends = np.array([0, 1, 2, 3], np.uint8)
+    symbol, share = alphabet.look_up(np.arange(100, 104, dtype=np.uint64), ends, np.zeros(4, np.int64))
+    unseen = model.emit[symbol] * 10 ** share[:, None]
+    symbol, share = alphabet.look_up(np.arange(100, 103, dtype=np.uint64), ends[:3], np.ones(3, np.int64))
+    once = model.emit[symbol] * 10 ** share[:, None]
+    assert (unseen[:3] < once).all() and (unseen > 0).all() and (unseen[3] <= once.min(axis=0)).all()
