@@ -119,6 +119,10 @@ def _digest(pairs: DataFrame) -> tuple:
 # --- blocks of rows that share a key ---------------------------------------------------------------------------------
 
 
+# A block's number holds two part numbers of so many bits.
+PART_BITS = 31
+
+
 def in_blocks(rows: DataFrame, key: str, row_id: str, block: int) -> DataFrame:
     """Rows that share ``key`` with another row, dealt to blocks: adds ``part``.
 
@@ -131,7 +135,7 @@ def in_blocks(rows: DataFrame, key: str, row_id: str, block: int) -> DataFrame:
     met = met.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64(F.col(row_id), F.lit(7)), F.col("parts")).cast("int"))
     other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = met.withColumn("other", other)
-    part = F.least("own", "other") * F.lit(1 << 20) + F.greatest("own", "other")
+    part = F.least("own", "other").cast("long") * F.lit(1 << PART_BITS) + F.greatest("own", "other")
     return met.withColumn("part", part).drop("n", "parts", "other")
 
 

@@ -136,7 +136,7 @@ def _links(postings: DataFrame, width: int, shared: int, cosine: float) -> DataF
                 if one.num_rows < 2:
                     continue
                 part, key = one.column("part")[0].as_py(), one.column("key")[0].as_py()
-                side = one.column("own").to_numpy() if part >> 20 != part & ((1 << 20) - 1) else None
+                side = one.column("own").to_numpy() if part >> common.PART_BITS != part & ((1 << common.PART_BITS) - 1) else None
                 ids, mult = one.column("id").to_numpy(), one.column("mult").to_numpy()
                 named = one.column("pivots").combine_chunks().flatten().to_numpy().reshape(one.num_rows, -1)
                 links, i, j = _compare(_matrix(one.column("v"), width), named, mult, side, key, shared, cosine)

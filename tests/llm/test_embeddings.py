@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from plumbline.llm import embeddings
+from plumbline.llm import common, embeddings
 
 SF = "/root/testdata/sf0.01"
 
@@ -70,3 +71,18 @@ def test_recall_inside_a_large_group_of_near_copies(spark):
     got = {row.vec_id: row.n_links for row in embeddings.near_duplicates(table).collect()}
     have = np.array([got[i] for i in range(len(x))])
     assert want.sum() > 50_000 and (have <= want).all() and have.sum() >= 0.97 * want.sum()
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_blocks_of_more_than_2048_parts(spark, ansi):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        dealt = common.in_blocks(spark.range(2100).select(F.lit(1).alias("key"), "id"), "key", "id", 1)
+        low, high = F.shiftright(F.col("part").cast("long"), 31), F.col("part").cast("long").bitwiseAND((1 << 31) - 1)
+        dealt = dealt.select("id", "own", low.alias("low"), high.alias("high"))
+        wrong = "low < 0 OR low > high OR high >= 2100 OR own NOT IN (low, high)"
+        got = dealt.agg(F.count(F.lit(1)), F.count_if(F.expr(wrong)), F.countDistinct(F.when(F.col("low") >= 2048, F.struct("low", "high")))).first()
+        assert got[0] == 2100 * 2100 and got[1] == 0 and got[2] > 0
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
