@@ -180,13 +180,13 @@ def group_starts(tab: pa.Table, keys: list[str]) -> np.ndarray:
 # their occurrences: a key that fills a third of all rows reaches its shard as one entry per chunk.
 
 
-def chunks(batches: Iterator[pa.RecordBatch], size: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.Table]]:
-    """Numbered chunks of about ``limit`` bytes of the column ``size``; every one gets a new number."""
+def chunks(batches: Iterator[pa.RecordBatch], size: str = "text", limit: int = CHUNK_BYTES, each: int = 16) -> Iterator[tuple[int, pa.Table]]:
+    """Numbered chunks of about ``limit`` bytes of the column ``size``, with ``each`` more for a row; every one gets a new number."""
     from pyspark import TaskContext
 
     number, held, weight = TaskContext.get().partitionId() << 32, [], 0
     for batch in batches:
-        lengths = np.cumsum(_bytes_of(batch.column(size)))
+        lengths = np.cumsum(_bytes_of(batch.column(size)) + each)
         at = 0
         while at < batch.num_rows:
             base = int(lengths[at - 1]) if at else 0
@@ -204,7 +204,7 @@ def chunks(batches: Iterator[pa.RecordBatch], size: str = "text", limit: int = C
 def _bytes_of(column: pa.Array) -> np.ndarray:
     import pyarrow.compute as pc
 
-    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def shards_of(spark: SparkSession) -> int:

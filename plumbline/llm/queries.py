@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.llm import chat, decontaminate, embeddings, hmm, lines, packing, pii, quality, runs, simhash, substrings, suffixes
+from plumbline.llm import chat, decontaminate, embeddings, hmm, lines, packing, pii, quality, ranking, runs, simhash, substrings, suffixes
 
-MODULES = [simhash, embeddings, substrings, hmm, suffixes, pii, lines, quality, packing, decontaminate, runs, chat]
+MODULES = [simhash, embeddings, substrings, hmm, suffixes, pii, lines, quality, packing, decontaminate, runs, chat, ranking]
 
 
 def collect() -> dict:
