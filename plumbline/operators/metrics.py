@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from datetime import date, datetime
 from functools import reduce
 
+from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.functions import values as V
@@ -69,6 +70,9 @@ class Check:
     warnings: list[str] = field(default_factory=list)
 
 
+_NESTED = ("ScalarSubquery", "Exists", "ListQuery", "InSubquery", "UnresolvedWindowExpression", "WindowExpression")
+
+
 def check_metric(spark: SparkSession, metric: Metric, schemas: dict[str, list[str]]) -> Check:
     """Only aggregate arithmetic over declared, qualified columns passes."""
     found = Check()
@@ -77,46 +81,30 @@ def check_metric(spark: SparkSession, metric: Metric, schemas: dict[str, list[st
         return found
     try:
         plan = guard.parse(spark, f"SELECT {metric.expression}")
-    except Exception:
+    except ParseException:
         found.errors.append("invalid_metric_expression")
         return found
-    state = {"aggregate": False}
-    declared = {t.lower(): t for t in metric.tables}
-
-    def on_plan(node):
-        if guard._name(node) not in ("Project", "OneRowRelation"):
-            found.errors.append("unsafe_metric_expression")
-
-    def on_expr(expr, above):
-        kind = guard._name(expr)
-        if kind in ("ScalarSubquery", "Exists", "ListQuery", "UnresolvedWindowExpression", "WindowExpression"):
+    declared = {t.lower(): {c.lower() for c in schemas.get(t, [])} for t in metric.tables}
+    nodes = guard.statement_parts(plan)
+    functions = set()
+    if any(kind not in ("Project", "OneRowRelation") for kind, _, _ in nodes.plans):
+        found.errors.append("unsafe_metric_expression")
+    for kind, expr, parent in nodes.expressions:
+        if kind in _NESTED:
             found.errors.append("unsafe_metric_expression")
         elif kind == "UnresolvedFunction":
-            name = guard._items(expr.nameParts())[-1].upper()
-            if name not in METRIC_FUNCTIONS:
-                found.errors.append("metric_function_not_allowed")
-            state["aggregate"] |= name in METRIC_AGGREGATES
+            functions.add(guard.function_name(expr))
         elif kind == "UnresolvedAttribute":
-            parts = [p.lower() for p in guard._items(expr.nameParts())]
-            if len(parts) < 2:
-                found.errors.append("metric_column_unqualified")
-            elif parts[-2] not in declared:
-                found.errors.append("metric_table_not_declared")
-            elif parts[-1] not in [c.lower() for c in schemas.get(declared[parts[-2]], [])]:
-                found.errors.append("column_not_found")
-        elif kind == "UnresolvedStar":
-            if not (above and guard._name(above[-1]) == "UnresolvedFunction" and guard._items(above[-1].nameParts())[-1].upper() == "COUNT"):
-                found.errors.append("metric_wildcard_not_allowed")
+            found.errors += _column_problem([p.lower() for p in guard._items(expr.nameParts())], declared)
+        elif kind.startswith("UnresolvedStar") and not (parent is not None and guard.function_name(parent) == "COUNT"):
+            found.errors.append("metric_wildcard_not_allowed")
         elif kind == "Divide":
-            right = guard._items(expr.children())[1]
-            safe = guard._name(right) == "Literal" or (
-                guard._name(right) == "UnresolvedFunction" and guard._items(right.nameParts())[-1].upper() == "NULLIF"
-            )
-            if not safe:
+            below = guard._items(expr.children())[1]
+            if guard._name(below) != "Literal" and guard.function_name(below) != "NULLIF":
                 found.warnings.append("metric_division_by_zero")
-
-    guard._walk(plan, on_plan, on_expr)
-    if not state["aggregate"]:
+    if functions - METRIC_FUNCTIONS:
+        found.errors.append("metric_function_not_allowed")
+    if not functions & METRIC_AGGREGATES:
         found.errors.append("metric_aggregation_required")
     if len(metric.tables) > 1 and not metric.relationships:
         found.errors.append("metric_relationship_required")
@@ -126,6 +114,29 @@ def check_metric(spark: SparkSession, metric: Metric, schemas: dict[str, list[st
     return found
 
 
+def _column_problem(parts: list[str], declared: dict[str, set[str]]) -> list[str]:
+    if len(parts) < 2:
+        return ["metric_column_unqualified"]
+    if parts[-2] not in declared:
+        return ["metric_table_not_declared"]
+    return [] if parts[-1] in declared[parts[-2]] else ["column_not_found"]
+
+
+def check_definitions(definitions: DataFrame, tables: tuple[str, ...], schemas: dict[str, list[str]], expression: str = "expression") -> DataFrame:
+    """The definitions with ``errors`` and ``warnings``.
+
+    Spark's parser lives on the driver, so distinct expressions are read there one partition at a time and only the verdicts
+    go back; they are joined to the definitions, of which there may be any number.
+    """
+    spark = definitions.sparkSession
+    verdicts = []
+    for (text,) in definitions.select(col(expression)).distinct().toLocalIterator():
+        check = check_metric(spark, Metric(text or "", tables), schemas)
+        verdicts.append((text, check.errors, check.warnings))
+    judged = spark.createDataFrame(verdicts, "_text string, errors array<string>, warnings array<string>")
+    return definitions.join(judged, col(expression).eqNullSafe(F.col("_text"))).drop("_text")
+
+
 def condition_column(target: Column, condition: Condition) -> Column:
     value = condition.value
     like = lambda pattern: target.like(pattern)

@@ -221,6 +221,28 @@ def references(spark: SparkSession, sql: str) -> References:
     return reader.found
 
 
+@dataclass
+class Parts:
+    plans: list[tuple[str, object, object]] = field(default_factory=list)  # kind, node, parent
+    expressions: list[tuple[str, object, object]] = field(default_factory=list)
+
+
+def statement_parts(plan) -> Parts:
+    """Plan nodes and expressions of a parsed statement, each with what it stands in."""
+    found, waiting = Parts(), [(plan, None, True)]
+    while waiting:
+        node, parent, is_plan = waiting.pop()
+        (found.plans if is_plan else found.expressions).append((_name(node), node, parent))
+        waiting += [(child, node, is_plan) for child in _items(node.children())]
+        if is_plan:
+            waiting += [(expr, None, False) for expr in _items(node.expressions())]
+    return found
+
+
+def function_name(expr) -> str | None:
+    return _items(expr.nameParts())[-1].upper() if _name(expr) == "UnresolvedFunction" else None
+
+
 def referenced_tables(spark: SparkSession, sql: str) -> set[str]:
     return references(spark, sql).tables
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = ["profiling", "cleaning", "exploring", "warehouse", "usage", "charting", "semantics", "governance",
-           "learning", "live", "passing", "handling"]
+           "learning", "live", "passing", "handling", "joining"]
 
 
 def collect() -> dict:

@@ -22,32 +22,29 @@ def _tables(s, d):
     return {t: table(s, d, t) for t in ("lineitem", "orders", "customer")}
 
 
-EXPRESSIONS = {
-    "ok": "SUM(orders.o_totalprice) / NULLIF(COUNT(*), 0)", "divides": "SUM(orders.o_totalprice) / COUNT(*)",
-    "plain": "orders.o_totalprice", "function": "SUM(upper(orders.o_orderstatus))", "bare": "SUM(o_totalprice)",
-    "unknown_table": "SUM(part.p_size)", "unknown_column": "SUM(orders.nothing)", "window": "SUM(orders.o_totalprice) OVER ()",
-    "subquery": "SUM((SELECT 1))", "comment": "SUM(orders.o_totalprice) -- all", "star": "SUM(*)", "broken": "SUM(",
-}
+# One definition per customer: what it adds up depends on the customer's nation, names come from the row.
+_FORMS = [
+    ("'SUM(orders.o_totalprice) / NULLIF(COUNT(*), 0)'", "", False), ("'SUM(orders.o_totalprice) / COUNT(*)'", "", True),
+    ("concat('orders.', 'o_totalprice')", "metric_aggregation_required", False), ("'SUM(upper(orders.o_orderstatus))'", "metric_function_not_allowed", False),
+    ("'SUM(o_totalprice)'", "metric_column_unqualified", False), ("concat('SUM(', lower(c_mktsegment), '.p_size)')", "metric_table_not_declared", False),
+    ("concat('SUM(orders.', lower(c_mktsegment), ')')", "column_not_found", False), ("'SUM(orders.o_totalprice) OVER ()'", "unsafe_metric_expression", False),
+    ("'SUM((SELECT 1))'", "unsafe_metric_expression", False), ("concat('SUM(orders.o_totalprice) -- ', c_name)", "unsafe_metric_expression", False),
+    ("'SUM(*)'", "metric_wildcard_not_allowed", False), ("'SUM('", "invalid_metric_expression", False),
+]
+
+
+def _by_form(values) -> str:
+    return "CASE c_nationkey % 12 " + " ".join(f"WHEN {n} THEN {v}" for n, v in enumerate(values)) + " END"
 
 
 def k1(s, d):
-    orders = table(s, d, "orders")
-    rows = []
-    for name, expr in EXPRESSIONS.items():
-        found = M.check_metric(s, M.Metric(expr, ("orders",)), {"orders": orders.columns})
-        rows.append((name, ",".join(sorted(found.errors)), "metric_division_by_zero" in found.warnings))
-    verdicts = s.createDataFrame(rows, "name string, errors string, may_divide boolean")
-    # The accepted expressions are also computed, so the check is tied to the data.
-    value = orders.alias("orders").agg(F.round(F.expr(EXPRESSIONS["ok"]), 2).alias("v")).scalar()
-    return verdicts.withColumn("value", F.when(F.col("errors") == "", value))
-
-
-_V = [("ok", "", "false"), ("divides", "", "true"), ("plain", "metric_aggregation_required", "false"), ("function", "metric_function_not_allowed", "false"),
-      ("bare", "metric_column_unqualified", "false"), ("unknown_table", "metric_table_not_declared", "false"), ("unknown_column", "column_not_found", "false"),
-      ("window", "unsafe_metric_expression", "false"), ("subquery", "unsafe_metric_expression", "false"), ("comment", "unsafe_metric_expression", "false"),
-      ("star", "metric_wildcard_not_allowed", "false"), ("broken", "invalid_metric_expression", "false")]
-K1 = "SELECT name, errors, may_divide, CASE WHEN errors = '' THEN (SELECT round(sum(o_totalprice) / count(*), 2) FROM orders) END AS value FROM (VALUES " + ", ".join(
-    f"('{a}', '{b}', {c})" for a, b, c in _V) + ") AS v(name, errors, may_divide)"
+    definitions = table(s, d, "customer").selectExpr("c_custkey", f"{_by_form(f for f, _, _ in _FORMS)} AS expression")
+    judged = M.check_definitions(definitions, ("orders",), {"orders": table(s, d, "orders").columns})
+    return judged.select("c_custkey", F.array_join(F.array_sort("errors"), ",").alias("errors"),
+                         F.array_contains("warnings", "metric_division_by_zero").alias("may_divide"))
+
+
+K1 = f"""SELECT c_custkey, {_by_form(f"'{e}'" for _, e, _ in _FORMS)} AS errors, {_by_form(f"{w}" for _, _, w in _FORMS)} AS may_divide FROM customer"""
 
 _FROM = """FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey
 WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal > 0 AND (o_orderstatus = 'F' OR o_orderstatus = 'O')"""

@@ -141,3 +141,32 @@ def test_access_rules_cannot_be_walked_around(spark, sql):
 @pytest.mark.parametrize("sql", PASSING)
 def test_plain_statements_pass(spark, sql):
     assert (guard.check_scope(spark, sql, KNOWN), guard.check_policy(spark, sql, POLICY)) == (None, None)
+
+
+@pytest.mark.parametrize("expression, errors, warnings", [
+    ("SUM(orders.total) / NULLIF(COUNT(*), 0)", [], []),
+    ("COUNT(*)", [], []),
+    ("ROUND(AVG(COALESCE(Orders.Total, 0)), 2) / 7", [], []),
+    ("SUM(orders.total) / COUNT(*)", [], ["metric_division_by_zero"]),
+    ("orders.total", ["metric_aggregation_required"], []),
+    ("SUM(upper(orders.total))", ["metric_function_not_allowed"], []),
+    ("SUM(total)", ["metric_column_unqualified"], []),
+    ("SUM(part.total)", ["metric_table_not_declared"], []),
+    ("SUM(orders.nothing)", ["column_not_found"], []),
+    ("SUM(orders.total) OVER ()", ["unsafe_metric_expression"], []),
+    ("SUM((SELECT 1))", ["unsafe_metric_expression"], []),
+    ("SUM(orders.total) FROM orders", ["unsafe_metric_expression"], []),
+    ("SUM(orders.total); DROP TABLE orders", ["unsafe_metric_expression"], []),
+    ("SUM(orders.total) -- all", ["unsafe_metric_expression"], []),
+    ("SUM(*)", ["metric_wildcard_not_allowed"], []),
+    ("SUM(orders.*)", ["metric_wildcard_not_allowed"], []),
+    ("SUM(", ["invalid_metric_expression"], []),
+])
+def test_metric_expressions(spark, expression, errors, warnings):
+    got = M.check_metric(spark, M.Metric(expression, ("orders",), date_policy=M.DatePolicy("orders", "day")), {"orders": ["id", "total"]})
+    assert (got.errors, got.warnings) == (errors, warnings)
+
+
+def test_metric_over_two_tables_needs_a_relationship(spark):
+    got = M.check_metric(spark, M.Metric("SUM(a.x * b.y)", ("a", "b")), {"a": ["x"], "b": ["y"]})
+    assert got.errors == ["metric_relationship_required"] and got.warnings == ["metric_without_date_policy"]
