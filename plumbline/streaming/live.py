@@ -11,12 +11,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plumbline.operators import profile as P, quality as Q
 from plumbline.session import checkpoint_dir
 
 LATE = "1 hour"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # Files of one micro-batch, so that a long history is not read as one batch.
 FILES_PER_BATCH = 64
 
@@ -58,6 +60,91 @@ def quiet_sessions(events: DataFrame, gap: str = "6 hours", late: str = LATE) ->
     ).select("user_id", F.col("w.start").alias("start"), "last_seen", "events")
 
 
+ALERTS = "user_id long, last_seen timestamp, silent_for int, events long"
+
+
+class _Silence(StatefulProcessor):
+    """Per user the times that an alert may still hang on, with the level that each waits for and one timer for it."""
+
+    def __init__(self, gap_ms: int, levels: tuple[int, ...]):
+        self.gap, self.levels = gap_ms, sorted(levels)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getValueState("times", "us array<long>, n array<long>, level array<int>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held, passed = self._held(), timerValues.getCurrentWatermarkInMs()
+        fresh = set()
+        for part in rows:
+            for us in part["ts"].to_numpy("datetime64[us]").astype(np.int64).tolist():
+                if us not in held:
+                    held[us] = [0, 0]
+                    fresh.add(us)
+                held[us][0] += 1
+        times = np.array(sorted(held), np.int64)
+        due = {self._due(us, 0) for us in fresh if self._silent(times, us, 0)}  # others are followed soon enough already
+        for at in sorted(due):
+            if at > passed:
+                self.handle.registerTimer(at)
+        self._keep(held, -1)  # timers of this batch are still to come
+        yield self._alerts([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held, found = self._held(), []
+        now, passed = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        times = np.array(sorted(held), np.int64)
+        for us, (n, level) in sorted(held.items()):
+            while level < len(self.levels) and self._due(us, 0) <= now and self._due(us, level) <= passed:
+                if not self._silent(times, us, level):
+                    level = len(self.levels)
+                    break
+                found.append((key[0], us, self.levels[level], n))
+                level += 1
+                if level < len(self.levels) and self._due(us, level) > passed:
+                    self.handle.registerTimer(self._due(us, level))
+            held[us][1] = level
+        self._keep(held, now)
+        yield self._alerts(found)
+
+    def _due(self, us: int, level: int) -> int:
+        """The first millisecond at which the watermark has passed the level's gaps after ``us``."""
+        return -(-us // 1000) + self.levels[level] * self.gap
+
+    def _silent(self, times: np.ndarray, us: int, level: int) -> bool:
+        return np.searchsorted(times, us + self.levels[level] * self.gap * 1000, "right") == np.searchsorted(times, us, "right")
+
+    @staticmethod
+    def _alerts(found: list[tuple]) -> pd.DataFrame:
+        users, times, levels, events = (np.array([r[n] for r in found], np.int64) for n in range(4))
+        return pd.DataFrame({"user_id": users, "last_seen": times.astype("datetime64[us]"), "silent_for": levels.astype(np.int32), "events": events})
+
+    def _held(self) -> dict[int, list[int]]:
+        return {us: [n, level] for us, n, level in zip(*self.times.get())} if self.times.exists() else {}
+
+    def _keep(self, held: dict[int, list[int]], passed: int) -> None:
+        """State without the times whose last level has passed."""
+        rest = sorted(us for us in held if self._due(us, -1) > passed)
+        if rest:
+            self.times.update((rest, [held[us][0] for us in rest], [held[us][1] for us in rest]))
+        elif self.times.exists():
+            self.times.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def silence_alerts(events: DataFrame, gap_seconds: int = 21_600, levels: tuple[int, ...] = (1, 2, 4), late: str = LATE) -> DataFrame:
+    """An alert while a user is silent: one gap, two gaps, four gaps after the last event, as soon as the watermark passes that time.
+
+    Unlike ``quiet_sessions`` nothing waits for a session to close, and a silence that goes on is reported again. State is
+    the times whose last level is still to come; it is dropped when that has passed. ``events`` counts events at the
+    very time ``last_seen``. Needs the RocksDB state store.
+    """
+    heard = events.withWatermark("ts", late).select("user_id", "ts")
+    return heard.groupBy("user_id").transformWithStateInPandas(_Silence(gap_seconds * 1000, tuple(levels)), ALERTS, "Append", "EventTime")
+
+
 HITS = "event_id long, user_id long, ts timestamp, window_start timestamp, hit long, allowed boolean"
 _HELD = "held_ts array<long>, held_id array<long>, opened long, count long"
 
@@ -147,6 +234,7 @@ def run(stream: DataFrame, name: str, mode: str = "append", run_id: str | None =
     import uuid
 
     spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     base = f"{checkpoint_dir(spark)}/streams/{name}-{run_id or uuid.uuid4().hex}"
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option(
         "checkpointLocation", f"{base}/state").trigger(availableNow=True).start()

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from plumbline.functions.order import number_rows
-from plumbline.operators import charts as H
+from plumbline.operators import charts as H, refresh
 from plumbline.session import checkpoint_dir
 from plumbline.suite.tables import table
 
@@ -162,6 +164,28 @@ def refresh_widget(spark, d):
     return H.refresh_widget(orders, {"date_range": 365, "status": "O"}, path, ["o_orderkey"], now=now).select("o_orderkey", "o_totalprice")
 
 
+def incremental(spark, d):
+    """Events arrive in three files, of which one comes late and one is replaced; each refresh reads what is new."""
+    events = table(spark, d, "events")
+    base = f"{checkpoint_dir(spark)}/rollups/{uuid.uuid4().hex}"
+    half = F.pmod(F.xxhash64("event_id"), F.lit(2)) == 0
+    late = F.col("event_type") == "error"
+    rollup = refresh.Rollup(f"{base}/rollup", "ts", ["event_type"], {
+        "events": ("count", "event_id"), "total": ("sum", "value"), "lowest": ("min", "value"), "highest": ("max", "value"), "mean": ("avg", "value")})
+    events.where(half).write.parquet(f"{base}/in/first")
+    events.where(late).write.parquet(f"{base}/in/second")
+    rollup.refresh(spark, f"{base}/in")
+    events.where(~half & ~late).write.parquet(f"{base}/in/third")
+    events.where(~half & late).write.mode("overwrite").parquet(f"{base}/in/second")
+    rollup.refresh(spark, f"{base}/in")
+    return rollup.result(spark).select(
+        F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "events", F.round("total", 4).alias("total"), "lowest", "highest", F.round("mean", 6).alias("mean"))
+
+
+INCREMENTAL_SQL = """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events, round(sum(value), 4) AS total, min(value) AS lowest,
+max(value) AS highest, round(avg(value), 6) AS mean FROM events GROUP BY ALL"""
+
+
 WIDGET_SQL = """SELECT o_orderkey, o_totalprice FROM orders
 WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 365 DAY AND o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 500"""
 
@@ -205,6 +229,7 @@ QUERIES = {
     "H10_infer_chart": (infer_chart, INFER_SQL),
     "H11_check_chart": (check_chart, CHECK_SQL),
     "H12_refresh_widget": (refresh_widget, WIDGET_SQL),
+    "H12_incremental": (incremental, INCREMENTAL_SQL),
     "H13_compact_number": (compact_number, COMPACT_NUMBER_SQL),
     "H14_first_to_last_change": (first_to_last, CHANGE_SQL),
 }

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
-from plumbline.operators import catalog as G, match as X
+from plumbline.operators import catalog as G, match as X, sketches
 from plumbline.plans import guard, runner
+from plumbline.session import checkpoint_dir
 from plumbline.suite.tables import table, union_all
 
 NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -381,6 +384,38 @@ G31 = union_all(
 )
 
 
+_SKETCHED = ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate"]
+
+
+def g13_sketches(s, d):
+    """Sketches of the lines of each month, stored in two goes and merged, held against the exact figures."""
+    lines = table(s, d, "lineitem")
+    store = sketches.SketchStore(f"{checkpoint_dir(s)}/sketches/{uuid.uuid4().hex}", _SKETCHED)
+    month, late = F.date_format("l_shipdate", "yyyy-MM"), F.col("l_shipdate") >= "1998-01-01"
+    store.put(lines.where(~late), month)
+    store.put(lines.where(late), month)
+    found = store.profile(s).collect()  # one row per column
+    cells = []
+    for r in found:
+        c, exact = F.col(r["column"]), F.count_distinct(r["column"])
+        ranks = [(F.count_if(c < q) / F.count(c) - sketches.RANK_ERROR <= p) & (F.count_if(c <= q) / F.count(c) + sketches.RANK_ERROR >= p)
+                 for p, q in zip(sketches.PROBABILITIES, r["quantiles"] or [])]
+        within = F.lit(True)
+        for rank in ranks:
+            within = within & rank
+        most = F.lit(True)
+        for item in r["top"]:
+            missed = F.count_if(c.cast("string") == item["item"]) - item["count"]
+            most = most & (missed >= 0) & (missed <= F.count(c) / (0.75 * sketches.TRACKED))
+        cells.append(F.struct(F.lit(r["column"]).alias("column"), F.lit(r["rows"]).alias("rows"), F.lit(r["count"]).alias("count"),
+                              (F.abs(F.lit(r["distinct"]) - exact) <= sketches.DISTINCT_ERROR * exact + 1).alias("distinct_within"),
+                              within.alias("quantiles_within"), most.alias("top_within")))
+    return lines.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+
+
+G13_SKETCHES = union_all(
+    f"SELECT '{c}' AS column, count(*) AS rows, count({c}) AS count, true AS distinct_within, true AS quantiles_within, true AS top_within FROM lineitem" for c in _SKETCHED)
+
 QUERIES = {
     "G1_list_tables": (g1, f'SELECT tn AS "table", rows FROM {_COUNTS}'),
     "G2_extract_schema": (g2, f'SELECT "table", ordinal, "column", dtype, is_key, ref_table, ref_column, rows FROM {META}'),
@@ -391,7 +426,7 @@ QUERIES = {
     "G11_preview": (g11, """SELECT c_custkey, c_nationkey, c_acctbal, 'c_custkey,c_nationkey,c_acctbal' AS columns FROM customer ORDER BY c_custkey LIMIT 5"""),
     "G12_sample_values": (g12, """SELECT DISTINCT 'priority' AS kind, o_orderpriority AS value FROM orders
  UNION ALL SELECT DISTINCT 'source', source FROM documents WHERE (SELECT count(DISTINCT source) FROM documents) <= 15"""),
-    "G13_quick_profile": (g13, G13),
+    "G13_quick_profile": (g13, G13), "G13_from_sketches": (g13_sketches, G13_SKETCHES),
     "G14_filtered_count": (g14, """SELECT 'and' AS mode, count(*) AS n FROM part WHERE p_name ILIKE '%RING%' AND p_size >= 10 AND p_brand IS NOT NULL
  UNION ALL SELECT 'or', count(*) FROM part WHERE p_type = 'ECONOMY' OR p_retailprice < 950"""),
     "G15_ranked_tables": (g15, f'SELECT row_number() OVER (ORDER BY is_internal, importance DESC, "table") - 1 AS position, "table", importance FROM ({G6})'),

@@ -78,6 +78,18 @@ WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY
 SELECT user_id, strftime(min(ts), '{_STAMP}') AS start, strftime(max(ts), '{_STAMP}') AS last_seen, count(*) AS events FROM s GROUP BY user_id, n HAVING max(ts) + INTERVAL 6 HOUR <= {CLOSED}"""
 
 
+def t5_alerts(s, d):
+    out = live.run(live.silence_alerts(live.read_events(s, d)), "silence_alerts")
+    return out.select("user_id", _time("last_seen"), "silent_for", "events")
+
+
+T5_ALERTS = f"""
+WITH e AS (SELECT user_id, ts, count(*) AS events FROM events GROUP BY user_id, ts),
+ g AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS following FROM e)
+SELECT user_id, strftime(ts, '{_STAMP}') AS last_seen, level AS silent_for, events FROM g, (VALUES (1), (2), (4)) AS v(level)
+WHERE ts + level * INTERVAL 6 HOUR <= {CLOSED} AND (following IS NULL OR following > ts + level * INTERVAL 6 HOUR)"""
+
+
 def t6(s, d):
     events = live.read_events(s, d).select(
         "event_id", "ts", F.when(F.col("event_id") % 6 != 0, F.col("value")).alias("value"),
@@ -92,5 +104,5 @@ T6 = """SELECT * FROM (SELECT 'missing::value' AS code, 'medium' AS severity, co
 
 QUERIES = {
     "T1_success_rate": (t1, T1), "T2_live_counts": (t2, T2), "T3_rate_limit": (t3, T3), "T3_rate_limit_tumbling": (t3_tumbling, T3_TUMBLING),
-    "T4_deduplicate": (t4, "SELECT event_id, user_id, event_type FROM events"), "T5_quiet_sessions": (t5, T5), "T6_watch_quality": (t6, T6),
+    "T4_deduplicate": (t4, "SELECT event_id, user_id, event_type FROM events"), "T5_quiet_sessions": (t5, T5), "T5_silence_alerts": (t5_alerts, T5_ALERTS), "T6_watch_quality": (t6, T6),
 }

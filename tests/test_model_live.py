@@ -140,3 +140,25 @@ def test_folds_learn_their_own_preprocessing_and_score_the_metric(spark, classes
     rows = {r["model"]: r for r in out.comparison}
     assert all(0.5 < r["cv_mean"] <= 1 for r in rows.values())
     assert abs(rows["Logistic Regression"]["cv_mean"] - rows["Logistic Regression"]["roc_auc"]) < 0.2
+
+
+def test_silence_alerts_do_not_depend_on_batches(spark, tmp_path):
+    """Shuffled within the allowed lateness, one file a trigger: same alerts as from the whole table."""
+    rng = np.random.default_rng(3)
+    seconds = np.sort(rng.integers(0, 6 * 86_400, 120))
+    pdf = pd.DataFrame({"event_id": range(120), "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(seconds, unit="s"), "user_id": rng.integers(0, 6, 120),
+                        "event_type": "x", "value": 1.0})
+    pdf.loc[len(pdf)] = [999, pd.Timestamp("2024-01-09"), 99, "x", 1.0]
+    closed, gap = pdf.ts.max() - pd.Timedelta(hours=1), pd.Timedelta(hours=6)
+    wanted = []
+    for user, times in pdf.groupby("user_id").ts:
+        times = sorted(times)
+        for t, following in zip(times, [*times[1:], pd.Timestamp("2100-01-01")]):
+            wanted += [(user, t, level) for level in (1, 2, 4) if t + level * gap <= closed and following > t + level * gap]
+    part = ((seconds.tolist() + [8 * 86_400]) + rng.uniform(0, 3000, 121)) // 86_400
+    for n in sorted(set(part)):
+        spark.createDataFrame(pdf[part == n]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"{int(n):02d}.parquet"))
+    schema = spark.read.parquet(str(tmp_path / "in" / "*")).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    out = live.run(live.silence_alerts(stream), "alerts")
+    assert sorted((r.user_id, pd.Timestamp(r.last_seen), r.silent_for) for r in out.collect()) == sorted(wanted)
