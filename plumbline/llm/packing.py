@@ -17,10 +17,12 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.llm import common
@@ -28,11 +30,11 @@ from plumbline.llm import common
 CAPACITY = 2048
 UNIT = 8
 END_ID = 1
-# Documents whose words are looked up together, and words a task remembers.
-_TOGETHER, _REMEMBERED = 256, 1_000_000
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-# A word of plain letters with punctuation behind: its ids are those of the lower-cased letters, then of the marks.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|]*)")
+# Words a task remembers, twice.
+_REMEMBERED = 600_000
+# A word of plain letters with punctuation behind: its ids are those of the lower-cased letters, then of the marks. Any
+# other word is taken whole.
+_LINE = re.compile(r"(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|]*)|([^\n]+))\n")
 _tokenizers: dict = {}
 
 
@@ -59,33 +61,60 @@ class WordTokenizer:
         self.full = Tokenizer.from_file(path)
         self.merge = self.full.model.tokenize
         self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}
+        # Remembered words and parts, and those of the time before: when the new ones are full they become the old ones.
+        self.words: dict[bytes, bytes] = {b"": b""}
+        self.old_words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
 
     def _part(self, part: str) -> bytes:
         """Ids of one run of letters or of marks: what the merges make of its bytes."""
-        if part not in self.parts:
+        found = self.parts.get(part)
+        if found is None:
             text = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
-            self.parts[part] = np.array([t.id for t in self.merge(text)], "<u4").tobytes()
-        return self.parts[part]
+            found = self.parts[part] = array("I", [t.id for t in self.merge(text)]).tobytes()
+        return found
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        """Remember the ids of words not seen before."""
+        words, rest = self.words, []
+        lines = _LINE.findall(b"\n".join([*fresh, b""]).decode())
+        for word, (letters, marks, other) in zip(fresh, lines):
+            if other:
+                rest.append(word)
+            else:
+                words[word] = self._part(letters.lower()) + self._part(marks)
+        for word, found in zip(rest, self.full.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
+            words[word] = array("I", found.ids).tobytes()
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        split = [_WORD.findall(t) for t in texts]
+    def _ids(self, distinct: list[bytes]) -> list[bytes]:
         if len(self.words) > _REMEMBERED:
-            self.words.clear()
+            self.words, self.old_words = {b"": b""}, self.words
         if len(self.parts) > _REMEMBERED:
             self.parts = {"": b""}
-        rest = []
-        for word in set().union(*split) - self.words.keys():
-            plain = _PLAIN.fullmatch(word)
-            if plain:
-                self.words[word] = self._part(plain[1].lower()) + self._part(plain[2])
-            else:
-                rest.append(word)
-        for word, found in zip(rest, self.full.encode_batch_fast(rest, add_special_tokens=False)):
-            self.words[word] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+        words, fresh = self.words, []
+        for word in distinct:
+            if word not in words:
+                ids = self.old_words.get(word)
+                if ids is None:
+                    fresh.append(word)
+                else:
+                    words[word] = ids
+        self._learn(fresh)
+        return list(map(words.__getitem__, distinct))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and where each text begins and ends."""
+        split = pc.ascii_split_whitespace(texts.cast(pa.string()).fill_null(""))
+        words = split.flatten().dictionary_encode()
+        found = self._ids(words.dictionary.cast(pa.binary()).to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, begins = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        at = words.indices.to_numpy()
+        lengths = sizes[at]
+        ends = np.cumsum(lengths)
+        ids = flat[np.repeat(begins[at] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        counts = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        return ids, np.append(0, ends)[np.cumsum(np.append(0, counts))]
 
 
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None,
@@ -98,21 +127,18 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenize
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _tokenizers:
             _tokenizers[path] = WordTokenizer(path)
-        encode, width = _tokenizers[path], 4 * capacity
-        for batch in batches:
-            for at in range(0, batch.num_rows, _TOGETHER):
-                part = batch.slice(at, _TOGETHER)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                rows = []
-                for owner, found in zip(part.column("doc_id").to_pylist(), encode(texts)):
-                    found += end
-                    for start in range(0, len(found), width):
-                        one = found[start : start + width]
-                        row = (owner, start // 4, len(one) // 4, zlib.crc32(one), len(found) // 4)
-                        rows.append((*row, one) if ids else row)
-                kinds = [pa.int64()] * 5 + [pa.binary()] * ids
-                names = [x.split()[0] for x in schema.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+        encode, names = _tokenizers[path], [x.split()[0] for x in schema.split(", ")]
+        for _, part in common.chunks(batches):
+            found, ends = encode(part.column("text").combine_chunks())
+            rows = []
+            for owner, a, b in zip(part.column("doc_id").to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                whole = found[a:b].tobytes() + end
+                for start in range(0, len(whole), 4 * capacity):
+                    one = whole[start : start + 4 * capacity]
+                    row = (owner, start // 4, len(one) // 4, zlib.crc32(one), len(whole) // 4)
+                    rows.append((*row, one) if ids else row)
+            kinds = [pa.int64()] * 5 + [pa.binary()] * ids
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, schema)
 
