@@ -3,10 +3,13 @@
 Plain patterns find e-mail addresses, IP addresses, card and phone numbers. Three transducers then rewrite a text while
 they keep, per character written, the source characters it stands for: look-alike letters and digits of other scripts
 become ASCII and invisible characters vanish; at/dot disguises (``[at]``, ``(dot)``, ``name at host dot org``, in any
-mix) become ``@`` and ``.``; runs of spelled digits become digits. The same patterns run on the rewritten text, and what they find
+mix) become ``@`` and ``.``, ``192 dot 168 dot 0 dot 1`` as well; spelled digits, and the letters O, I and l inside a number, become
+digits. The same patterns run on the rewritten text, and what they find
 is mapped back to source offsets. A span found this way is added if rewriting touched it and no plain span of its kind
 covers it wholly: one that reaches beyond a plain span is added beside it. Spans of the plain patterns always stay.
 
+Outside: an address with blanks at a plain ``@`` (``jane @example.com``) is left alone, as people are named that way.
+
 Patterns start only where a match can start, so texts of any length cost time in proportion to their length.
 
 Cases: a null or empty text has no span. Repeated rows give equal rows; a null id stays null. An empty table gives no
@@ -55,7 +58,11 @@ _DIGIT_RUN = re.compile(
     rf"(?<![A-Za-z0-9])(?:plus[ -]+)?(?:{_WORD}|[0-9]+)(?:(?:[ ,-]+|[ ]+(?:dot|point)[ ]+|\.)(?:{_WORD}|[0-9]+))+(?![A-Za-z0-9])", re.I)
 _TWO_SPELLED = re.compile(rf"(?:{_WORD})[ ,.-]+(?:dot +|point +)?(?:{_WORD}|[0-9])", re.I)
 _DIGIT_PART = re.compile(rf"plus|dot|point|{_WORD}|[0-9]+|[ ,.-]+", re.I)
-_BRACKET = re.compile(r"\s*[\[({<]\s*(at|@|dot|\.|punkt|punto|point)\s*[\])}>]\s*", re.I)
+_BRACKET = re.compile(r"[\[({<]\s*+(at|@|dot|\.|punkt|punto|point)\s*+[\])}>]\s*+", re.I)
+# Letters that stand for digits inside a number, and addresses whose dots are spoken.
+_LETTER_DIGITS = re.compile(r"(?<![A-Za-z0-9])(?=[OoIl]*+[0-9])(?=[0-9]++[OoIl]|[OoIl])[0-9OoIl]++(?![A-Za-z0-9])")
+_AS_DIGIT = str.maketrans("OoIl", "0011")
+_SAID_IP = re.compile(r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:(?:\.| ++dot ++)[0-9]{1,3}){3}(?![A-Za-z0-9]|\.[0-9])", re.I)
 _AT = re.compile(r"@|(?<=\s)at(?=\s)", re.I)
 _LABELS = r"[A-Za-z0-9-]+(?:(?:\.|\s+dot\s+)[A-Za-z0-9-]+)*"
 _HOST_AT = re.compile(rf"\s*({_LABELS}(?:\.|\s+dot\s+)[A-Za-z0-9-]+)", re.I)
@@ -150,9 +157,11 @@ def undisguise(text: str) -> Tape | None:
     """The text after the three transducers, or None if there is nothing to rewrite."""
     tape = Tape(text)
     tape.rewrite([(m.start(), m.end(), out) for m in _FOREIGN.finditer(text) if (out := _look_alike(m[0])) != m[0]])
+    tape.rewrite([(m.start() + n, m.start() + n + 1, c.translate(_AS_DIGIT)) for m in _LETTER_DIGITS.finditer(tape.text) for n, c in enumerate(m[0]) if c in "OoIl"])
     hint = _HINT.search(tape.text)
     if hint:
-        tape.rewrite([(m.start(), m.end(), "@" if m[1].lower() in ("at", "@") else ".") for m in _BRACKET.finditer(tape.text)])
+        tape.rewrite(_bracket_edits(tape.text))
+        tape.rewrite([(d.start(), d.end(), ".") for m in _SAID_IP.finditer(tape.text) for d in _SAID_DOT.finditer(tape.text, m.start(), m.end())])
     if hint or 1 in tape.new:
         tape.rewrite(_said_edits(tape))
     if _TWO_SPELLED.search(tape.text):
@@ -171,6 +180,15 @@ def _blanks(text: str, low: int, end: int) -> int:
     return end
 
 
+def _bracket_edits(text: str) -> list[tuple[int, int, str]]:
+    """Bracketed signs with the white space around them; a run of it is looked at once from each side."""
+    edits, done = [], 0
+    for m in _BRACKET.finditer(text):
+        edits.append((_blanks(text, done, m.start()), m.end(), "@" if m[1].lower() in ("at", "@") else "."))
+        done = m.end()
+    return edits
+
+
 def _local_part(text: str, low: int, end: int) -> tuple[int, list[tuple[int, int, str]]]:
     """Start of the local part that ends at ``end``, not before ``low``, and the edits for its spoken dots."""
     edits, start = [], end

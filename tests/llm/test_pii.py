@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -85,6 +86,28 @@ def test_long_texts_of_marks_take_time_in_proportion():
         pii.spans(piece * 20_000 + "а")
 
 
+def test_long_runs_of_blanks_take_time_in_proportion():
+    for blank in (" ", "\n", "\t \x0b"):
+        for text in ("a [at] b " + blank * 400_000, blank * 400_000 + "[at]", "a at" + blank * 400_000 + "b dot c", "[" + blank * 400_000 + "at",
+                     "one dot two" + blank * 400_000, "l0" + blank * 400_000 + "+1"):
+            began = time.process_time()
+            pii.spans(text)
+            assert time.process_time() - began < 5
+
+
+@pytest.mark.parametrize("text, span", [
+    ("host 192 dot 168 dot 0 dot 1.", (5, 1, 28)), ("host 192 dot 168.0 DOT 1", (5, 1, 24)), ("host l92.l68.0.1", (5, 1, 16)),
+    ("call +1 2O2 555 O173 now", (5, 3, 20)), ("card 4lll 1111 1111 1111", (5, 2, 24)), ("host l92[.]168 dot O0 dot 1", (5, 1, 27))])
+def test_letters_for_digits_and_spoken_dots_of_numbers(text, span):
+    base, added = pii.spans(text)
+    assert base == plain(text) and span in added
+
+
+@pytest.mark.parametrize("text", ["version 1 dot 2", "Ol l0 IO 10 1O", "300 dot 1 dot 1 dot 1", "jane @example.com", "O1l Io 0"])
+def test_numbers_that_are_nothing_stay_nothing(text):
+    assert pii.spans(text) == ([], [])
+
+
 def test_a_span_inside_a_plain_one_is_not_added():
     text = "card 4111 1111 1111 1111​"
     assert pii.spans(text) == ([(5, 2, 24)], [])
