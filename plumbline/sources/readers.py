@@ -71,19 +71,22 @@ def read_tsv(spark: SparkSession, path: str, **more) -> DataFrame:
     return read_csv(spark, path, "\t", **more)
 
 
-def read_xlsx(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """First sheets of workbooks, one file per task; needs openpyxl on the executors."""
-    def sheets(batches):
-        import io
+def read_xlsx(spark: SparkSession, path: str | None = None, content: str | None = None, sheet: str | None = None, dates: bool = True) -> DataFrame:
+    """A workbook from a path or from base64 content: all its sheets, or the one named, a task per sheet.
 
-        import pandas as pd
-
-        for batch in batches:
-            for content in batch["content"]:
-                yield pd.read_excel(io.BytesIO(content), dtype=str)[columns]
-
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(sheets, schema)
+    A workbook is an upload: its packed content travels to every task that reads one of its sheets.
+    """
+    from plumbline.sources.workbook import WorkbookSource
+
+    if content is None:
+        found = spark.read.format("binaryFile").load(path).select(F.base64("content")).collect()
+        if len(found) != 1:
+            raise BadUpload("one workbook at a time")
+        content = found[0][0]
+    spark.dataSource.register(WorkbookSource)
+    reader = spark.read.format("workbook").option("content", content)
+    df = tidy_header((reader.option("sheet", sheet) if sheet else reader).load())
+    return coerce_dates(df) if dates else df
 
 
 def from_table(spark: SparkSession, table: str, schema: str | None = None, rows: int | None = None,

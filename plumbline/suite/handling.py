@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from plumbline.functions import values as V
+from plumbline.functions import order, values as V
 from plumbline.operators import explore as E, profile as P, quality as Q, report as R
 from plumbline.session import checkpoint_dir
-from plumbline.sources import readers, writers
+from plumbline.sources import readers, workbook, writers
 from plumbline.suite.tables import dirty_customer, table
 
 
@@ -36,6 +38,30 @@ def _read(sep, name, reader=None):
 READ = """SELECT c_mktsegment AS segment, '2024-0' || (1 + c_custkey % 9) AS month, count(*) AS n, round(sum(c_acctbal), 2) AS balance, max(c_custkey) AS key FROM customer GROUP BY 1, 2"""
 
 
+def s4(s, d):
+    """Nations as a workbook of two sheets, written, read back from its file and joined to the table."""
+    nations = table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    half = lambda keep: (nations.columns, (tuple(r) for r in nations.where(keep).toLocalIterator()))
+    content = workbook.workbook_bytes({"low": half("n_regionkey < 2"), "high": half("n_regionkey >= 2")})
+    path = f"{_path(s, 'workbooks')}/{uuid.uuid4().hex}"
+    s.createDataFrame([(bytearray(content),)], "value binary").select(F.base64("value").alias("value")).coalesce(1).write.text(path)
+    back = readers.read_xlsx(s, content=s.read.text(path, wholetext=True).first()[0].strip())
+    return back.join(table(s, d, "customer"), back["n_nationkey"] == F.col("c_nationkey")).groupBy("n_name").agg(
+        F.count("*").alias("customers"), F.max("n_regionkey").alias("region"))
+
+
+S4 = "SELECT n_name, count(*) AS customers, max(n_regionkey) AS region FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY n_name"
+
+
+def pages(s, d):
+    """Page 500 of the lines by price."""
+    lines = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return order.Pages(lines, [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")]).page(500, 40)
+
+
+PAGES = "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 40 OFFSET 19960"
+
+
 def s1(s, d):
     rows = table(s, d, "nation").orderBy("n_nationkey").collect()
     return readers.from_records(s, ["n_nationkey", "n_name"], [r.asDict() for r in rows])
@@ -107,6 +133,7 @@ def r1(s, d):
 
 QUERIES = {
     "S1_from_records": (s1, 'SELECT n_nationkey - (SELECT min(n_nationkey) FROM nation) AS _row_id, n_nationkey, n_name FROM nation'),
+    "S4_read_xlsx": (s4, S4), "G30_deep_page": (pages, PAGES),
     "S2_read_csv": (_read(";", "customers_semicolon"), READ), "S3_read_tsv": (_read("\t", "customers_tab", readers.read_tsv), READ),
     "S5_tidy_header": (s5, "SELECT c_custkey AS id, c_name AS name FROM customer"),
     "S6_from_table": (s6, "SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 30000"),

@@ -179,13 +179,31 @@ def m18(s, d):
     return out.importance
 
 
+_ROWS = "o_orderkey AS _key, CAST(o_custkey AS DOUBLE) AS a, CAST(o_orderkey % 7 AS DOUBLE) AS b, CAST(o_custkey AS DOUBLE) * 3 + o_orderkey % 7 AS y"
+
+
 def m18_permutation(s, d):
-    rows = table(s, d, "orders").selectExpr("o_orderkey AS _key", "CAST(o_custkey AS DOUBLE) AS a", "CAST(o_orderkey % 7 AS DOUBLE) AS b", "CAST(o_custkey AS DOUBLE) * 3 AS y")
+    """How much a fixed rule for ``y`` loses when one of its two inputs is dealt anew."""
+    def r2(df, keys):
+        gap = F.col("y") - (F.col("a") * 3 + F.col("b"))
+        return df.groupBy(*keys).agg((1 - F.avg(gap * gap) / F.var_pop("y")).alias("score"))
+
+    return M.permutation_importance(table(s, d, "orders").selectExpr(*_ROWS.split(", ")), ["a", "b"], r2, repeats=2)
+
+
+def _dealt_sql(feature: int, name: str, repeat: int) -> str:
+    first, second, shift = M.multipliers(feature, repeat)
+    other = "b" if name == "a" else "a"
+    return f"""SELECT '{name}' AS feature, avg((j.y - (3 * v.a + v.b)) ^ 2) / var_pop(j.y) AS loss
+    FROM t s JOIN t j ON j.i = (s.i::HUGEINT * (CASE WHEN s.n % {first} <> 0 THEN {first} ELSE {second} END % s.n) + {shift} % s.n) % s.n,
+    LATERAL (SELECT s.{name} AS {name}, j.{other} AS {other}) AS v"""
 
-    def r2(df):
-        return M.regression_metrics(df.withColumn("p", F.col("a") * 3), "y", "p").first()["r2"]
 
-    return M.permutation_importance(rows, ["a", "b"], r2, repeats=2)
+M18_PERMUTATION = f"""
+WITH t AS (SELECT {_ROWS}, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders),
+ l AS ({" UNION ALL ".join(_dealt_sql(j, c, r) for j, c in enumerate("ab") for r in range(2))}),
+ m AS (SELECT feature, avg(loss) AS raw FROM l GROUP BY feature)
+SELECT feature, round(raw, 6) AS raw, round(raw / sum(abs(raw)) OVER (), 4) AS importance, 'permutation' AS method FROM m"""
 
 
 def m19(s, d):
@@ -229,5 +247,5 @@ QUERIES = {
     "M9_M13_M17_compare_numbers": (_train_number("Linear Regression", "Ridge", "Lasso", "Decision Tree", cross_validation=False), None),
     "M14_confusion": (m14_confusion, f"SELECT l_returnflag AS label, {_RULE} AS predicted, count(*) AS n FROM lineitem GROUP BY 1, 2"),
     "M14_class_metrics": (m14, M14), "M14_roc_auc": (m14_auc, M14_AUC), "M15_regression_metrics": (m15, M15), "M16_stratified_folds": (m16, M16),
-    "M18_importance": (m18, None), "M18_permutation": (m18_permutation, None), "M19_feature_schema": (m19, M19), "M20_example_row": (m20, M20), "M21_predict": (m21, None),
+    "M18_importance": (m18, None), "M18_permutation": (m18_permutation, M18_PERMUTATION), "M19_feature_schema": (m19, M19), "M20_example_row": (m20, M20), "M21_predict": (m21, None),
 }

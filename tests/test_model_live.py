@@ -162,3 +162,27 @@ def test_silence_alerts_do_not_depend_on_batches(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
     out = live.run(live.silence_alerts(stream), "alerts")
     assert sorted((r.user_id, pd.Timestamp(r.last_seen), r.silent_for) for r in out.collect()) == sorted(wanted)
+
+
+def test_permuted_deals_every_column_anew_in_one_shuffle(spark):
+    df = spark.range(101).selectExpr("id AS _key", "CAST(id AS STRING) AS a", "IF(id % 5 = 0, NULL, id * 1.5) AS b", "id AS y")
+    out = M.permuted(df, ["a", "b"], 3).collect()
+    rows = df.collect()
+    groups = {}
+    for r in out:
+        groups.setdefault((r._feature, r._repeat), []).append((r._key, r.a, r.b, r.y))
+    assert len(groups) == 7 and sorted(groups[None, 0]) == sorted(tuple(r) for r in rows)
+    for (feature, repeat), got in groups.items():
+        assert sorted((r[0], r[3]) for r in got) == [(r._key, r.y) for r in rows]
+        assert sorted((r[1] for r in got)) == sorted(r.a for r in rows) and sorted((r[2] for r in got), key=str) == sorted((r.b for r in rows), key=str)
+        if feature:
+            a, b = M.steps(101, "ab".index(feature), repeat)
+            held = {r[0]: r for r in got}
+            other, own = (2, 1) if feature == "a" else (1, 2)
+            assert all(held[(a * i + b) % 101][own] == rows[i][own] and held[i][other] == rows[i][other] for i in range(101))
+    plan = M.permuted(df, ["a", "b"], 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2  # numbering, then the one that deals
+    for n in (1, 2, 1_000_003, 999):
+        a, b = M.steps(n, 3, 1)
+        assert len({(a * i + b) % n for i in range(min(n, 5000))}) == min(n, 5000)
+    assert M.permuted(df.limit(0), ["a"], 2).count() == 0
