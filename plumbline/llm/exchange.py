@@ -20,20 +20,25 @@ from plumbline.llm import common
 CHUNKS = "chunk long, ids array<long>, sizes binary, body binary"
 
 
-def text_chunks(docs: DataFrame, doc_id: str, text: str, limit: int) -> DataFrame:
-    """``chunk, ids, sizes, body``: texts of about ``limit`` bytes, joined and compressed; null texts are empty."""
+def text_chunks(docs: DataFrame, doc_id: str, text: str, limit: int, extra: Callable | None = None) -> DataFrame:
+    """``chunk, ids, sizes, body``: texts of about ``limit`` bytes, joined and compressed; null texts are empty.
+
+    ``extra(sizes, body)`` makes a blob that is kept beside the chunk in a further column, for later steps to read.
+    """
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+    names = ["chunk", "ids", "sizes", "body", "extra"][: 5 if extra else 4]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, part in common.chunks(batches, limit=limit):
             texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-            body = zstandard.ZstdCompressor(3).compress(b"".join(texts))
-            row = [[number], [part.column("doc_id").to_pylist()], [sizes.tobytes()], [body]]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds)], names=["chunk", "ids", "sizes", "body"])
+            whole = b"".join(texts)
+            row = [[number], [part.column("doc_id").to_pylist()], [sizes.tobytes()], [zstandard.ZstdCompressor(3).compress(whole)]]
+            row += [[extra(sizes, whole)]] if extra else []
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds)], names=names)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return common.stored(rows.mapInArrow(read, CHUNKS))
+    return common.stored(rows.mapInArrow(read, CHUNKS + (", extra binary" if extra else "")))
 
 
 def opened(row: dict) -> tuple[list, np.ndarray, bytes]:

@@ -31,8 +31,28 @@ LENGTH, GRAM = 50, 24
 _LAST = (1 << 63) - 1
 
 
+def anchors(sizes: np.ndarray, body: bytes, length: int) -> bytes:
+    """The anchors of a chunk, packed: how far each is from the one before, and the most and least bytes that a window naming it has before it."""
+    hashes, ends = _gram_hashes(body), np.cumsum(sizes)
+    count = max(0, len(body) - length + 1)
+    at = _leftmost_minimum(hashes, length - GRAM + 1)[:count]
+    inside = np.zeros(count + 1, np.int64)
+    full = sizes >= length
+    np.add.at(inside, (ends - sizes)[full], 1)
+    np.add.at(inside, (ends - length + 1)[full], -1)
+    windows = np.flatnonzero(np.cumsum(inside[:count]) > 0)
+    at = at[windows]
+    new = np.append(True, (at[1:] != at[:-1]) | (np.diff(windows) != 1))[: len(windows)]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(windows)) - 1
+    at = at[first]
+    most, least = at - windows[first], at - windows[last]
+    steps = np.diff(at, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4)
+    return exchange.packed(steps.T, most.astype(np.uint8), least.astype(np.uint8))
+
+
 class Regions:
-    """The anchors of a chunk with the windows that name them."""
+    """The anchors of a chunk, found when it was written, with the windows that name them."""
 
     def __init__(self, row: dict, length: int):
         self.ids, self.sizes, self.body = exchange.opened(row)
@@ -40,22 +60,12 @@ class Regions:
         self.side = length - GRAM
         self.ends = np.cumsum(self.sizes)
         owners = np.array([_LAST if i is None else i for i in self.ids], np.int64)
-        hashes = _gram_hashes(self.body)
-        count = max(0, len(self.text) - length + 1)
-        at = _leftmost_minimum(hashes, self.side + 1)[:count]
-        inside = np.zeros(count + 1, np.int64)
-        full = self.sizes >= length
-        np.add.at(inside, (self.ends - self.sizes)[full], 1)
-        np.add.at(inside, (self.ends - length + 1)[full], -1)
-        windows = np.flatnonzero(np.cumsum(inside[:count]) > 0)
-        at = at[windows]
-        new = np.append(True, (at[1:] != at[:-1]) | (np.diff(windows) != 1))[: len(windows)]
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(windows)) - 1
-        self.at = at[first]
-        self.most, self.least = self.at - windows[first], self.at - windows[last]  # bytes of a window before the anchor
-        self.doc = owners[np.searchsorted(self.ends, self.at, side="right")] if len(first) else owners[:0]
-        small = hashes[self.at]
+        held = np.frombuffer(exchange.unpacked(row["extra"]), np.uint8).reshape(6, -1)
+        self.at = np.cumsum(np.ascontiguousarray(held[:4].T).view("<u4").ravel(), dtype=np.int64)
+        self.most, self.least = held[4].astype(np.int64), held[5].astype(np.int64)  # bytes of a window before the anchor
+        self.doc = owners[np.searchsorted(self.ends, self.at, side="right")] if len(self.at) else owners[:0]
+        gram = self.text[self.at[:, None] + np.arange(GRAM)] if len(self.at) else np.empty((0, GRAM), np.uint8)
+        small = _joined(*np.ascontiguousarray(gram).view("<u8").T)
         self.key = common.mix(small, small, 5000)  # minima crowd at small values; the shards are ranges
 
     def distinct_keys(self):
@@ -94,7 +104,11 @@ def _gram_hashes(body: bytes) -> np.ndarray:
     for off in range(8):
         part = np.frombuffer(body, "<u8", (n - off) // 8, off)
         eight[off::8] = part[: len(eight[off::8])]
-    return common.mix(common.mix(eight[: n - 23], eight[8 : n - 15], 1), eight[16:], 2)
+    return _joined(eight[: n - 23], eight[8 : n - 15], eight[16:])
+
+
+def _joined(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return common.mix(common.mix(a, b, 1), c, 2)
 
 
 def _leftmost_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -189,7 +203,7 @@ def dedupe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
         raise ValueError("length must be 25 to 84 bytes")
     side, width = length - GRAM, 10 + 2 * (length - GRAM)
     shards = common.shards_of(docs.sparkSession)
-    state = exchange.text_chunks(docs, doc_id, text, chunk_bytes)
+    state = exchange.text_chunks(docs, doc_id, text, chunk_bytes, lambda sizes, body: anchors(sizes, body, length))
 
     def keys(row, _):
         found, many, _ = Regions(row, length).distinct_keys()
