@@ -170,3 +170,14 @@ def test_metric_expressions(spark, expression, errors, warnings):
 def test_metric_over_two_tables_needs_a_relationship(spark):
     got = M.check_metric(spark, M.Metric("SUM(a.x * b.y)", ("a", "b")), {"a": ["x"], "b": ["y"]})
     assert got.errors == ["metric_relationship_required"] and got.warnings == ["metric_without_date_policy"]
+
+
+@pytest.mark.parametrize("sql, passes", [
+    ("SELECT max(c_name) OVER (PARTITION BY c_custkey) FROM customer", False), ("SELECT min(c_name) FROM customer GROUP BY c_custkey", False),
+    ("SELECT count(c_name) OVER (PARTITION BY c_custkey) FROM customer", False), ("SELECT median(length(c_name)) FROM customer GROUP BY c_custkey", False),
+    ("SELECT count(max(c_name)) FROM customer", False), ("SELECT sum(length(c_name)) OVER w FROM customer WINDOW w AS (PARTITION BY c_custkey)", False),
+    ("SELECT count(DISTINCT c_name) FROM customer", True), ("SELECT avg(length(c_name)) FROM customer", True),
+    ("SELECT max(c_custkey) OVER (PARTITION BY c_nationkey) FROM customer", True), ("SELECT rank() OVER (ORDER BY c_name) FROM customer", False)])
+def test_a_sensitive_column_needs_an_aggregate_that_hides_it(spark, sql, passes):
+    verdict = guard.check_policy(spark, sql, guard.Policy(sensitive_columns={"customer.c_name"}))
+    assert (verdict is None) == passes, verdict
