@@ -322,6 +322,18 @@ def check_policy(spark: SparkSession, sql: str, policy: Policy) -> str | None:
     return f"* would expose {exposed[0]}" if exposed else None
 
 
+def judged(statements: DataFrame, sql: str, check) -> DataFrame:
+    """The statements with ``verdict``: what ``check(text)`` says, null where it has no objection.
+
+    Spark's parser lives on the driver: distinct texts are read there one partition at a time, and the verdicts are joined back to
+    any number of rows.
+    """
+    spark = statements.sparkSession
+    verdicts = [(text, check(text or "")) for (text,) in statements.select(col(sql)).distinct().toLocalIterator()]
+    found = spark.createDataFrame(verdicts, "_text string, verdict string")
+    return statements.join(found, col(sql).eqNullSafe(F.col("_text"))).drop("_text")
+
+
 def governed(df: DataFrame, restricted: list[str], sensitive: list[str]) -> DataFrame:
     """A view without restricted columns and with sensitive ones hashed: equal values stay
     equal for counting and joining, the content is not shown."""

@@ -260,44 +260,48 @@ def g22(s, d):
 
 G22 = """SELECT o_orderstatus AS k, count(*) AS n, 'refused,unknown_column,refused,refused' AS errors FROM orders WHERE o_totalprice > 1000 GROUP BY 1"""
 
-SCOPED = {
-    "ok": "WITH a AS (SELECT * FROM orders) SELECT * FROM a JOIN customer c ON a.o_custkey = c.c_custkey",
-    "subquery": "SELECT * FROM orders WHERE o_custkey IN (SELECT s_suppkey FROM supplier)",
-    "unknown": "SELECT * FROM secrets", "system": "SELECT * FROM pg_catalog.pg_tables", "broken": "SELECT ( FROM orders",
-}
+# One statement per row of a table, with names and values of that row: ``(statement, verdict)`` as SQL expressions.
+_QUOTED = "chr(39)"
+_SCOPED = [
+    (f"concat('WITH a AS (SELECT * FROM orders) SELECT * FROM a JOIN customer c ON a.o_custkey = c.c_custkey WHERE o_orderstatus = ', {_QUOTED}, o_orderstatus, {_QUOTED})", "'ok'"),
+    ("'SELECT * FROM orders WHERE o_custkey IN (SELECT s_suppkey FROM supplier)'", "'supplier is outside the allowed scope'"),
+    ("concat('SELECT * FROM secrets_', lower(o_orderstatus))", "concat('secrets_', lower(o_orderstatus), ' is unknown')"),
+    ("concat('SELECT tablename AS ', lower(o_orderstatus), ' FROM pg_catalog.pg_tables')", "'pg_catalog.pg_tables is a system object'"),
+    ("concat('SELECT ( FROM orders ', o_orderstatus)", "'the query could not be parsed'"),
+]
+POLICY = guard.Policy({"supplier"}, {"customer.c_acctbal"}, {"customer.c_name"})
+_RAW = "'column customer.c_name is sensitive and must be aggregated'"
+_SEGMENT = f"{_QUOTED}, c_mktsegment, {_QUOTED}"
+_POLICED = [
+    ("'SELECT * FROM supplier'", "'table supplier is hidden'"), ("'SELECT c.c_acctbal FROM customer c'", "'column customer.c_acctbal is restricted'"),
+    (f"concat('SELECT c_name FROM customer WHERE c_mktsegment = ', {_SEGMENT})", _RAW),
+    (f"concat('SELECT count(*) FROM customer WHERE c_name = ', {_SEGMENT})", _RAW),
+    (f"concat('SELECT count(DISTINCT c.c_name) AS n FROM customer AS c WHERE c_mktsegment = ', {_SEGMENT})", "'ok'"),
+    ("'SELECT * FROM customer'", "'* would expose customer.c_acctbal'"), ("'SELECT max(c_name) OVER (PARTITION BY c_custkey) FROM customer'", _RAW),
+    ("concat('SELECT c_mktsegment AS ', lower(c_mktsegment), ' FROM customer')", "'ok'"),
+]
 
 
-def g23(s, d):
-    rows = []
-    for name, sql in SCOPED.items():
-        rows.append((name, guard.check_scope(s, sql, set(NAMES), {"orders", "customer"}) or "ok"))
-    verdicts = s.createDataFrame(rows, "name string, verdict string")
-    joined = runner.statement(s, SCOPED["ok"], {t: table(s, d, t) for t in ("orders", "customer")})
-    return verdicts.withColumn("rows", joined.agg(F.count("*").alias("n")).scalar())
+def _one_of(forms, key: str, part: int) -> str:
+    return f"CASE {key} % {len(forms)} " + " ".join(f"WHEN {n} THEN {f[part]}" for n, f in enumerate(forms)) + " END"
 
 
-G23 = """SELECT name, verdict, (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey) AS rows FROM (VALUES ('ok', 'ok'),
- ('subquery', 'supplier is outside the allowed scope'), ('unknown', 'secrets is unknown'), ('system', 'pg_catalog.pg_tables is a system object'),
- ('broken', 'the query could not be parsed')) AS v(name, verdict)"""
+def g23(s, d):
+    orders = table(s, d, "orders").selectExpr("o_orderkey", f"{_one_of(_SCOPED, 'o_orderkey', 0)} AS statement")
+    found = guard.judged(orders, "statement", lambda sql: guard.check_scope(s, sql, set(NAMES), {"orders", "customer"}))
+    return found.select("o_orderkey", F.coalesce("verdict", F.lit("ok")).alias("verdict"))
 
-POLICY = guard.Policy({"supplier"}, {"customer.c_acctbal"}, {"customer.c_name"})
-POLICED = {
-    "hidden": "SELECT * FROM supplier", "restricted": "SELECT c.c_acctbal FROM customer c", "raw": "SELECT c_name FROM customer",
-    "where": "SELECT count(*) FROM customer WHERE c_name = 'x'", "counted": "SELECT count(DISTINCT c.c_name) AS n FROM customer AS c",
-    "star": "SELECT * FROM customer", "free": "SELECT c_mktsegment FROM customer",
-}
+
+G23 = f"SELECT o_orderkey, {_one_of(_SCOPED, 'o_orderkey', 1)} AS verdict FROM orders"
 
 
 def g24(s, d):
-    rows = [(n, guard.check_policy(s, q, POLICY) or "ok") for n, q in POLICED.items()]
-    verdicts = s.createDataFrame(rows, "name string, verdict string")
-    n = runner.statement(s, POLICED["counted"], {"customer": table(s, d, "customer")}, policy=POLICY).scalar()
-    return verdicts.withColumn("customers", n)
+    customers = table(s, d, "customer").selectExpr("c_custkey", f"{_one_of(_POLICED, 'c_custkey', 0)} AS statement")
+    found = guard.judged(customers, "statement", lambda sql: guard.check_policy(s, sql, POLICY))
+    return found.select("c_custkey", F.coalesce("verdict", F.lit("ok")).alias("verdict"))
 
 
-G24 = """SELECT name, verdict, (SELECT count(DISTINCT c_name) FROM customer) AS customers FROM (VALUES ('hidden', 'table supplier is hidden'),
- ('restricted', 'column customer.c_acctbal is restricted'), ('raw', 'column customer.c_name is sensitive and must be aggregated'),
- ('where', 'column customer.c_name is sensitive and must be aggregated'), ('counted', 'ok'), ('star', '* would expose customer.c_acctbal'), ('free', 'ok')) AS v(name, verdict)"""
+G24 = f"SELECT c_custkey, {_one_of(_POLICED, 'c_custkey', 1)} AS verdict FROM customer"
 
 
 def g24_view(s, d):
