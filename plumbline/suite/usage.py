@@ -152,8 +152,6 @@ def u26(spark, d):
 
 _ORDER = {"last_run": "last_run_at DESC NULLS LAST", "name": "name", "runs": "runs DESC", "newest": "created_at DESC", "oldest": "created_at"}
 
-# Foreign keys of the given tables.
-
 
 def u28(spark, d):
     """How often each part is referred to by lines."""
