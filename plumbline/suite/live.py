@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from plumbline.session import checkpoint_dir
-from plumbline.streaming import live
+from plumbline.streaming import limits, live
 
 _STAMP = "%Y-%m-%d %H:%M:%S"
 CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
@@ -52,6 +52,19 @@ WITH RECURSIVE w AS (SELECT user_id, min(ts) AS start FROM events GROUP BY 1
 SELECT event_id, user_id, strftime(start, '{_STAMP}') AS window_start, hit, hit <= 5 AS allowed FROM h JOIN events USING (event_id, user_id) WHERE ts <= {CLOSED}"""
 
 
+# Every third event belongs to one user, whose time is cut into blocks.
+HOT = "CASE WHEN event_id % 3 = 0 THEN 1 ELSE user_id END"
+
+
+def t3_hot(s, d):
+    events = live.read_events(s, d).withColumn("user_id", F.expr(HOT))
+    out = limits.run_rate_limit(events, group_rows=1000)
+    return out.select("event_id", "user_id", _time("window_start"), "hit", "allowed")
+
+
+T3_HOT = T3.replace("WITH RECURSIVE ", f"WITH RECURSIVE events AS (SELECT * REPLACE ({HOT} AS user_id) FROM main.events), ").replace(CLOSED, "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
+
+
 def t3_tumbling(s, d):
     out = live.run(live.approximate_rate_limit(live.read_events(s, d), 2), "rate_limit_tumbling")
     return out.select("user_id", _time("start"), "hits", "rejected")
@@ -103,6 +116,7 @@ def t6(s, d):
 T6 = """SELECT * FROM (SELECT 'missing::value' AS code, 'medium' AS severity, count(*) AS rows FROM events UNION ALL SELECT 'category::inconsistent::event_type', 'medium', count(*) FROM events)"""
 
 QUERIES = {
-    "T1_success_rate": (t1, T1), "T2_live_counts": (t2, T2), "T3_rate_limit": (t3, T3), "T3_rate_limit_tumbling": (t3_tumbling, T3_TUMBLING),
+    "T1_success_rate": (t1, T1), "T2_live_counts": (t2, T2), "T3_rate_limit": (t3, T3), "T3_rate_limit_hot_user": (t3_hot, T3_HOT),
+    "T3_rate_limit_tumbling": (t3_tumbling, T3_TUMBLING),
     "T4_deduplicate": (t4, "SELECT event_id, user_id, event_type FROM events"), "T5_quiet_sessions": (t5, T5), "T5_silence_alerts": (t5_alerts, T5_ALERTS), "T6_watch_quality": (t6, T6),
 }
