@@ -138,11 +138,16 @@ def type_issues(facts: DataFrame) -> DataFrame:
 
 
 def label_groups(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Per column: raw levels, canonical levels, colliding groups (five examples) and untrimmed levels (ten examples).
+    """``grouped_levels`` of the columns of a table."""
+    return grouped_levels(C.value_counts(df, columns))
+
+
+def grouped_levels(counts: DataFrame) -> DataFrame:
+    """Per column of a value-count frame: raw levels, canonical levels, colliding groups (five examples) and untrimmed levels (ten examples).
 
     Examples are chosen by rank, which Spark cuts before the shuffle, so a column may have any number of levels.
     """
-    levels = C.value_counts(df, columns).select("column", F.col("txt").alias("label"))
+    levels = counts.select("column", F.col("txt").alias("label"))
     levels = levels.withColumn("canon", X.canonical(F.col("label")))
     groups = levels.groupBy("column", "canon").agg(F.count("*").alias("raw"))
     counted = groups.groupBy("column").agg(
@@ -169,7 +174,12 @@ def label_issues(df: DataFrame, facts: DataFrame) -> DataFrame:
     columns = label_columns(facts)
     if not columns:
         return df.sparkSession.createDataFrame([], ISSUE_SCHEMA)
-    found = label_groups(df, columns).join(facts.select("column", "ordinal"), "column")
+    return level_issues(label_groups(df, columns), facts)
+
+
+def level_issues(groups: DataFrame, facts: DataFrame) -> DataFrame:
+    """From the frame of ``grouped_levels``."""
+    found = groups.join(facts.select("column", "ordinal"), "column")
     examples = F.to_json(F.transform("examples", lambda e: e["labels"]))
     mixed = _issue(
         found.filter(F.col("collisions") > 0), 5, "categorical_consistency",

@@ -10,8 +10,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from plumbline.operators import quality as Q
 from plumbline.session import checkpoint_dir
-from plumbline.streaming import limits, live
+from plumbline.streaming import limits, live, watch
 
 _STAMP = "%Y-%m-%d %H:%M:%S"
 CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
@@ -115,8 +116,36 @@ def t6(s, d):
 
 T6 = """SELECT * FROM (SELECT 'missing::value' AS code, 'medium' AS severity, count(*) AS rows FROM events UNION ALL SELECT 'category::inconsistent::event_type', 'medium', count(*) FROM events)"""
 
+# Events with planted defects, the same for both engines.
+_DEFECTS = {
+    "value": "CASE WHEN event_id % 6 <> 0 THEN value END", "event_type": "CASE WHEN event_id % 4 = 0 THEN upper(event_type) ELSE event_type END",
+    "amount": "CASE WHEN event_id % 11 = 0 THEN 'n/a' ELSE CAST(event_id % 1000 AS VARCHAR(9)) END", "day": "CAST(CAST(ts AS DATE) AS VARCHAR(10))",
+    "padded": "CASE WHEN event_id % 4 = 0 THEN concat(event_type, '  ') ELSE concat(event_type, '_') END",
+}
+
+
+def t6_running(s, d):
+    """The events arrive in five files, one a batch; the issues after the last one are those of the whole table."""
+    base = f"{checkpoint_dir(s)}/streams/profile-{uuid.uuid4().hex}"
+    events = s.read.parquet(f"{d}/events.parquet").selectExpr("user_id % 5 AS file", *[f"CAST({e} AS STRING) AS {n}" if n in ("amount", "day") else f"{e} AS {n}" for n, e in _DEFECTS.items()])
+    events.repartition("file").write.partitionBy("file").parquet(f"{base}/in")
+    stream = s.readStream.schema(events.drop("file").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*")
+    watch.watch(stream, f"{base}/out", f"{base}/state").awaitTermination()
+    found = watch.latest(s, f"{base}/out", "issues", Q.ISSUE_SCHEMA)
+    evidence = [F.col("evidence")[k] for k in ("missing", "numeric_like_pct", "date_like_pct", "raw_level_count")]
+    return found.select("code", "severity", F.round(F.coalesce(*evidence, F.lit("0")).cast("double"), 2).alias("figure"))
+
+
+_PLANTED = "(SELECT " + ", ".join(f"{e} AS {n}" for n, e in _DEFECTS.items()) + " FROM events)"
+T6_RUNNING = f"""SELECT 'missing::value' AS code, CASE WHEN 100.0 * count_if(value IS NULL) / count(*) >= 40 THEN 'high' ELSE 'medium' END AS severity, count_if(value IS NULL)::DOUBLE AS figure FROM {_PLANTED}
+UNION ALL SELECT 'dtype::numeric_string::amount', 'medium', round(100.0 * count_if(amount <> 'n/a') / count(*), 2) FROM {_PLANTED} HAVING avg((amount <> 'n/a')::INT) >= 0.9
+UNION ALL SELECT 'dtype::date_string::day', 'low', 100.0 FROM {_PLANTED} WHERE regexp_full_match(day, '\d{{4}}-\d\d-\d\d') HAVING count(*) > 0
+UNION ALL SELECT 'category::inconsistent::event_type', 'medium', count(DISTINCT event_type)::DOUBLE FROM {_PLANTED} HAVING count(DISTINCT event_type) > count(DISTINCT lower(event_type))
+UNION ALL SELECT 'category::whitespace::padded', 'low', 0.0 FROM {_PLANTED} WHERE padded <> trim(padded) HAVING count(*) > 0"""
+
 QUERIES = {
     "T1_success_rate": (t1, T1), "T2_live_counts": (t2, T2), "T3_rate_limit": (t3, T3), "T3_rate_limit_hot_user": (t3_hot, T3_HOT),
     "T3_rate_limit_tumbling": (t3_tumbling, T3_TUMBLING),
     "T4_deduplicate": (t4, "SELECT event_id, user_id, event_type FROM events"), "T5_quiet_sessions": (t5, T5), "T5_silence_alerts": (t5_alerts, T5_ALERTS), "T6_watch_quality": (t6, T6),
+    "T6_running_quality": (t6_running, T6_RUNNING),
 }
