@@ -226,6 +226,28 @@ def check_chart(df: DataFrame, kind: str, x: str, y: list[str], meanings: dict[s
     return problems
 
 
+def check_charts(df: DataFrame, specs: DataFrame, meanings: dict[str, str] | None = None) -> DataFrame:
+    """``check_chart`` for any number of specifications ``type, x, y`` (y an array of names) as rows: adds ``problems``, an array of texts.
+
+    The result is looked at once, for its measures and whether it has more than seven rows; specifications are then judged as columns.
+    """
+    meanings = meanings or {}
+    measures, many = measure_columns(df, meanings), df.limit(8).count() > 7
+    axes = [c for c in df.columns if meanings.get(c, "").lower() == "numeric" or is_time_name(c, meanings.get(c))]
+    within = lambda c, names: F.coalesce(c.isin(names), F.lit(False))
+    said = lambda c, end: F.concat(F.lit("'"), F.coalesce(c, F.lit("")), F.lit(f"'{end}"))
+    none = F.expr("cast(array() as array<string>)")
+    only = lambda rule, text: F.when(rule, F.array(text)).otherwise(none)
+    x, y, kind = F.col("x"), F.coalesce("y", none), F.col("type")
+    unknown = F.transform(F.filter(F.concat(F.array(x), y), lambda c: ~within(c, df.columns)), lambda c: F.concat(F.lit("no column "), said(c, "")))
+    first = F.concat(unknown, only((F.coalesce(x, F.lit("")) == "") | (F.size(y) == 0), F.lit("x and y are required")))
+    rest = F.concat(
+        F.transform(F.filter(y, lambda c: ~within(c, measures)), lambda c: said(c, " is not numeric")),
+        only((kind == "pie") & F.lit(many), F.lit("too many slices")),
+        only(kind.isin("line", "area") & ~within(x, axes), said(x, " is neither time nor number")))
+    return specs.withColumn("problems", F.when(F.size(first) > 0, first).otherwise(rest))
+
+
 def refresh_widget(df: DataFrame, filters: dict, path: str, order_by: list[str], rows: int = WIDGET_ROWS, **where) -> DataFrame:
     """Filter a result, store its first rows as a table and read them back."""
     shown = global_filters(df, {k: v for k, v in filters.items() if k != "limit"}, **where)

@@ -185,6 +185,23 @@ def value_fits(condition: Condition, dtype: str) -> bool:
     return all(isinstance(v, (str, int, float, bool)) for v in values)
 
 
+_NUMBER = r"(?i)^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity|nan)\s*$"
+_MOMENT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?(Z|[+-][0-9]{2}:[0-9]{2})?)?$"
+
+
+def values_fit(values: Column, dtype: Column, operator: Column) -> Column:
+    """``value_fits`` for conditions kept as rows: ``values`` is an array of texts; a condition without values, or with a null among
+    them, fits only where its operator needs none."""
+    kind = F.lower(dtype)
+    each = lambda rule: (F.size(values) > 0) & F.forall(values, lambda v: F.coalesce(rule(v), F.lit(False)))
+    return F.coalesce(
+        F.when(operator.isin("is_null", "is_not_null"), True)
+        .when(kind.rlike("int|numeric|decimal|float|double|real|money"), each(lambda v: v.rlike(_NUMBER)))
+        .when(kind.contains("bool"), each(lambda v: F.lower(F.trim(v)).isin("true", "false", "1", "0")))
+        .when(kind.rlike("date|time"), each(lambda v: v.rlike(_MOMENT) & v.try_cast("timestamp").isNotNull()))
+        .otherwise(each(lambda v: v.isNotNull())), F.lit(False))
+
+
 def metric_source(tables: dict[str, DataFrame], metric: Metric) -> DataFrame:
     """The declared joins and filters; filters on one table go to its scan."""
     df = tables[metric.tables[0]].alias(metric.tables[0])

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, ParseException, PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.functions import values as V
 from plumbline.plans import guard
@@ -51,6 +51,11 @@ def statement(spark: SparkSession, sql: str, views: dict[str, DataFrame], args:
     return spark.sql(text, args=args) if args else spark.sql(text)
 
 
+def capped(df: DataFrame, rows: int) -> DataFrame:
+    """The first ``rows`` rows, with ``truncated``: whether the result goes on. Lazy; whether it does is a subquery that stops at one row."""
+    return df.limit(rows).withColumn("truncated", df.offset(rows).limit(1).agg(F.count("*") > 0).scalar())
+
+
 def fetch(df: DataFrame, rows: int, timeout: float = TIMEOUT_SECONDS) -> Result:
     """At most ``rows`` rows; one more is read to know whether the result goes on."""
     context, tag = df.sparkSession.sparkContext, f"q{uuid.uuid4().hex}"

@@ -144,17 +144,21 @@ INFER_SQL = """SELECT * FROM (VALUES ('line', 'Revenue by Month', 'month', 'reve
  ('bar', 'Total by Status', 'status', 'total', false)) AS v(type, title, x, y, grouped) WHERE (SELECT count(*) FROM orders) > 3"""
 
 
+# One chart specification per part.
+_SPEC = ("CASE p_partkey % 4 WHEN 0 THEN 'line' WHEN 1 THEN 'pie' WHEN 2 THEN 'bar' ELSE 'area' END",
+         "CASE p_size % 3 WHEN 0 THEN 'month' WHEN 1 THEN 'orders' ELSE lower(p_type) END",
+         "CASE WHEN p_size % 2 = 0 THEN 'revenue' ELSE 'month' END")
+
+
 def check_chart(spark, d):
-    monthly = _monthly(spark, d)
-    cases = [("line", "month", ["revenue"]), ("pie", "month", ["orders"]), ("bar", "month", ["profit"]), ("area", "orders", ["revenue"])]
-    rows = [(k, x, y[0], ";".join(H.check_chart(monthly, k, x, y))) for k, x, y in cases]
-    verdicts = spark.createDataFrame(rows, "type string, x string, y string, problems string")
-    return verdicts.withColumn("rows", monthly.agg(F.count("*").alias("rows")).scalar())
+    specs = table(spark, d, "part").selectExpr("p_partkey", f"{_SPEC[0]} AS type", f"{_SPEC[1]} AS x", f"array({_SPEC[2]}, 'orders') AS y")
+    return H.check_charts(_monthly(spark, d), specs).select("p_partkey", F.array_join("problems", ";").alias("problems"))
 
 
-CHECK_SQL = f"""SELECT v.*, (SELECT count(*) FROM ({_MONTHLY})) AS rows FROM (VALUES ('line', 'month', 'revenue', ''),
- ('pie', 'month', 'orders', 'too many slices'), ('bar', 'month', 'profit', 'no column ''profit'''),
- ('area', 'orders', 'revenue', '''orders'' is neither time nor number')) AS v(type, x, y, problems)"""
+CHECK_SQL = f"""WITH c AS (SELECT p_partkey, {_SPEC[0]} AS type, {_SPEC[1]} AS x, {_SPEC[2]} AS y, chr(39) AS q FROM part)
+SELECT p_partkey, CASE WHEN x NOT IN ('month', 'orders') THEN concat('no column ', q, x, q) ELSE concat_ws(';', CASE WHEN y = 'month' THEN concat(q, y, q, ' is not numeric') END,
+ CASE WHEN type = 'pie' AND (SELECT count(*) FROM ({_MONTHLY})) > 7 THEN 'too many slices' END,
+ CASE WHEN type IN ('line', 'area') AND x = 'orders' THEN concat(q, x, q, ' is neither time nor number') END) END AS problems FROM c"""
 
 
 def refresh_widget(spark, d):

@@ -161,8 +161,24 @@ SELECT question_id, name, CASE WHEN contains(ql, ' ' || name || ' ') THEN 'phras
 WHERE contains(ql, ' ' || name || ' ') OR list_has_any(tk, words)"""
 
 
+# A catalog with a table per part: names and types of its columns, in order, as expressions of the part.
+_PART_COLUMNS = [
+    ("'id'", "'bigint'"), ("concat('x_', CAST(p_size AS STRING))", "CASE WHEN p_partkey % 5 = 0 THEN 'string' ELSE 'date' END"),
+    ("CASE p_size % 3 WHEN 0 THEN 'created_on' WHEN 1 THEN 'placed_at' ELSE 'updated_on' END", "'timestamp'"),
+    ("CASE WHEN p_partkey % 2 = 0 THEN 'Order_Date' ELSE 'note' END", "'string'"),
+]
+
+
 def g10(s, d):
-    return G.default_date_column(annotated(s, d)).withColumn("orders", table(s, d, "orders").agg(F.count("*").alias("n")).scalar())
+    cells = ", ".join(f"struct({n} AS ordinal, {c} AS `column`, {t} AS dtype)" for n, (c, t) in enumerate(_PART_COLUMNS))
+    made = table(s, d, "part").selectExpr("concat('part_', CAST(p_partkey AS STRING)) AS `table`", f"inline(array({cells}))")
+    both = made.unionByName(annotated(s, d).select("table", "ordinal", "column", "dtype"))
+    return G.default_date_column(both.withColumn("semantic_type", G.semantic_type()))
+
+
+G10 = f"""SELECT 'part_' || p_partkey AS "table", CASE WHEN p_size % 3 < 2 THEN {_PART_COLUMNS[2][0]} WHEN p_partkey % 2 = 0 THEN 'Order_Date'
+ WHEN p_partkey % 5 <> 0 THEN 'x_' || p_size ELSE 'updated_on' END AS date_column FROM part
+UNION ALL SELECT * FROM (VALUES ('orders', 'o_orderdate'), ('lineitem', 'l_shipdate'), ('events', 'ts')) AS v(t, c)"""
 
 
 def g11(s, d):
@@ -204,10 +220,22 @@ def g15_describe(s, d):
     return G.describe(annotated(s, d), "orders").withColumn("rows", table(s, d, "orders").agg(F.count("*").alias("n")).scalar())
 
 
+# References as table rows: every line of an order points at one of 50 part groups, every part group at an order.
+_LINKS = """SELECT concat('order_', CAST(l_orderkey AS STRING)) AS source, concat('line_', CAST(l_linenumber AS STRING)) AS source_column,
+ concat('group_', CAST(l_partkey % 50 AS STRING)) AS target FROM lineitem
+UNION ALL SELECT concat('group_', CAST(p_partkey % 50 AS STRING)), concat('part_', CAST(p_partkey AS STRING)), concat('order_', CAST(p_size AS STRING)) FROM part"""
+
+
 def g16(s, d):
-    out = G.relationships(annotated(s, d), "orders")
-    rows = table(s, d, "orders").agg(F.count("*").alias("n")).scalar()
-    return out.withColumn("rows", rows)
+    made = runner.statement(s, _LINKS, {t: table(s, d, t) for t in ("lineitem", "part")}).select(
+        F.col("source").alias("table"), F.col("source_column").alias("column"), F.col("target").alias("ref_table"), F.lit("id").alias("ref_column"))
+    both = made.unionByName(annotated(s, d).select("table", "column", "ref_table", "ref_column"))
+    return G.relationships(both, "group_7").unionByName(G.relationships(both, "orders"))
+
+
+G16 = f"""WITH e AS (SELECT source, source_column, target, 'id' AS target_column FROM ({_LINKS})
+ UNION ALL SELECT "table", "column", ref_table, ref_column FROM {CATALOG} WHERE ref_table IS NOT NULL)
+SELECT 'outbound' AS direction, * FROM e WHERE source IN ('group_7', 'orders') UNION ALL SELECT 'inbound', * FROM e WHERE target IN ('group_7', 'orders')"""
 
 
 def g17(s, d):
@@ -237,11 +265,13 @@ def g19(s, d):
 
 
 def g20(s, d):
-    rows = []
-    for cap in (4, 5, 6):
-        got = runner.run_on_tables(s, "SELECT r_name FROM region", {"region": table(s, d, "region")}, rows=cap)
-        rows.append((cap, got.row_count, got.truncated))
-    return s.createDataFrame(rows, "cap int, rows int, truncated boolean")
+    short = runner.statement(s, "SELECT r_regionkey AS k FROM region ORDER BY r_regionkey", {"region": table(s, d, "region")})
+    long = runner.statement(s, "SELECT l_orderkey * 10 + l_linenumber AS k FROM lineitem ORDER BY k", {"lineitem": table(s, d, "lineitem")})
+    return runner.capped(short, 5).withColumn("asked", F.lit("region")).unionByName(runner.capped(long, 500).withColumn("asked", F.lit("lineitem")))
+
+
+G20 = """(SELECT r_regionkey AS k, (SELECT count(*) FROM region) > 5 AS truncated, 'region' AS asked FROM region ORDER BY k LIMIT 5)
+UNION ALL (SELECT l_orderkey * 10 + l_linenumber, (SELECT count(*) FROM lineitem) > 500, 'lineitem' FROM lineitem ORDER BY 1 LIMIT 500)"""
 
 
 def g21(s, d):
@@ -426,7 +456,7 @@ QUERIES = {
     "G3_enum_samples": (g3, G3),
     "G4_G5_semantic_types": (g4, f'SELECT "table", "column", meaning AS semantic_type, sensitive AS is_sensitive, rows FROM {META}'),
     "G6_importance": (g6, G6), "G7_schema_hash": (g7, G7), "G8_search_schema": (g8, g8_sql()), "G9_ground": (g9, g9_sql()),
-    "G10_default_date": (g10, """SELECT t AS "table", c AS date_column, (SELECT count(*) FROM orders) AS orders FROM (VALUES ('orders', 'o_orderdate'), ('lineitem', 'l_shipdate'), ('events', 'ts')) AS v(t, c)"""),
+    "G10_default_date": (g10, G10),
     "G11_preview": (g11, """SELECT c_custkey, c_nationkey, c_acctbal, 'c_custkey,c_nationkey,c_acctbal' AS columns FROM customer ORDER BY c_custkey LIMIT 5"""),
     "G12_sample_values": (g12, """SELECT DISTINCT 'priority' AS kind, o_orderpriority AS value FROM orders
  UNION ALL SELECT DISTINCT 'source', source FROM documents WHERE (SELECT count(DISTINCT source) FROM documents) <= 15"""),
@@ -435,11 +465,10 @@ QUERIES = {
  UNION ALL SELECT 'or', count(*) FROM part WHERE p_type = 'ECONOMY' OR p_retailprice < 950"""),
     "G15_ranked_tables": (g15, f'SELECT row_number() OVER (ORDER BY is_internal, importance DESC, "table") - 1 AS position, "table", importance FROM ({G6})'),
     "G15_describe": (g15_describe, f"""SELECT ordinal, "column", dtype, is_key, ref_table, meaning AS semantic_type, rows FROM {META} WHERE "table" = 'orders'"""),
-    "G16_relationships": (g16, f"""SELECT CASE WHEN "table" = 'orders' THEN 'outbound' ELSE 'inbound' END AS direction, "table" AS source, "column" AS source_column,
- ref_table AS target, ref_column AS target_column, (SELECT count(*) FROM orders) AS rows FROM {CATALOG} WHERE ref_table = 'orders' OR ("table" = 'orders' AND ref_table IS NOT NULL)"""),
+    "G16_relationships": (g16, G16),
     "G17_explain": (g17, None), "G18_read_only": (g18, G18),
     "G19_dataset_sql": (g19, "SELECT p_partkey % 8 IN (0, 4, 5) AS allowed, count(*) AS n FROM part GROUP BY 1"),
-    "G20_row_cap": (g20, "SELECT cap, least(cap, n)::INTEGER AS rows, n > cap AS truncated FROM (SELECT count(*) AS n FROM region), (VALUES (4), (5), (6)) AS v(cap)"),
+    "G20_row_cap": (g20, G20),
     "G21_run_on_dataset": (g21, "SELECT c_mktsegment AS segment, count(*) AS n, 'unknown_column' AS other_error FROM customer GROUP BY 1"),
     "G22_run_on_tables": (g22, G22), "G23_scope": (g23, G23), "G24_column_policy": (g24, G24),
     "G24_governed_view": (g24_view, "SELECT c_custkey, sha256(c_name) AS c_name, c_nationkey, c_mktsegment FROM customer"),

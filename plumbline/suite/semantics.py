@@ -87,18 +87,29 @@ def k3(s, d):
 K3 = union_all(f"SELECT '{op}' AS operator, count(*) AS n FROM {_CUST} WHERE {sql}" for op, (_, _, sql) in _RULES.items())
 
 
+# One condition per order: ``(column, value)`` as SQL expressions of its row.
+_CONDITIONS = [
+    ("'o_totalprice'", "CAST(o_totalprice AS STRING)"), ("'o_totalprice'", "concat(o_orderstatus, CAST(o_orderkey AS STRING))"),
+    ("'o_orderdate'", "CAST(CAST(o_orderdate AS DATE) AS STRING)"), ("'o_orderdate'", "concat('1996-13-', CAST(10 + o_orderkey % 20 AS STRING))"),
+    ("'o_orderstatus'", "o_orderstatus"), ("'o_orderdate'", "o_orderpriority"), ("'o_custkey'", "concat(' ', CAST(o_custkey AS STRING))"),
+]
+
+
+def _condition(part: int) -> str:
+    return f"CASE o_orderkey % {len(_CONDITIONS)} " + " ".join(f"WHEN {n} THEN {c[part]}" for n, c in enumerate(_CONDITIONS)) + " END"
+
+
 def k4(s, d):
     orders = table(s, d, "orders")
-    cases = [("o_totalprice", "gt", "12.5"), ("o_totalprice", "gt", "much"), ("o_orderdate", "gte", "1996-01-31"), ("o_orderdate", "lt", "soon"), ("o_orderstatus", "eq", "F")]
-    rows = [(c, v, M.value_fits(M.Condition(c, o, v), orders.schema[c].dataType.simpleString())) for c, o, v in cases]
-    fits = s.createDataFrame(rows, "column string, value string, fits boolean")
-    good = [M.Condition(c, o, v) for (c, o, v), (_, _, ok) in zip(cases, rows) if ok]
-    n = orders.filter(M.filter_column(M.Filter("orders", tuple(good)))).agg(F.count("*").alias("n")).scalar()
-    return fits.withColumn("kept", n)
+    asked = orders.selectExpr("o_orderkey", f"{_condition(0)} AS `column`", f"{_condition(1)} AS value")
+    kinds = F.create_map(*[F.lit(x) for f in orders.schema for x in (f.name, f.dataType.simpleString())])
+    fits = M.values_fit(F.array("value"), F.element_at(kinds, F.col("column")), F.lit("eq"))
+    return asked.select("o_orderkey", "column", fits.alias("fits"))
 
 
-K4 = """SELECT v.*, (SELECT count(*) FROM orders WHERE o_totalprice > 12.5 AND o_orderdate >= DATE '1996-01-31' AND o_orderstatus = 'F') AS kept
-FROM (VALUES ('o_totalprice', '12.5', true), ('o_totalprice', 'much', false), ('o_orderdate', '1996-01-31', true), ('o_orderdate', 'soon', false), ('o_orderstatus', 'F', true)) AS v("column", value, fits)"""
+K4 = f"""WITH c AS (SELECT o_orderkey, {_condition(0)} AS "column", {_condition(1)} AS value FROM orders)
+SELECT o_orderkey, "column", CASE WHEN "column" IN ('o_totalprice', 'o_custkey') THEN try_cast(value AS DOUBLE) IS NOT NULL
+ WHEN "column" = 'o_orderdate' THEN try_cast(value AS DATE) IS NOT NULL ELSE true END AS fits FROM c"""
 
 
 def k5(s, d):

@@ -181,3 +181,34 @@ def test_metric_over_two_tables_needs_a_relationship(spark):
 def test_a_sensitive_column_needs_an_aggregate_that_hides_it(spark, sql, passes):
     verdict = guard.check_policy(spark, sql, guard.Policy(sensitive_columns={"customer.c_name"}))
     assert (verdict is None) == passes, verdict
+
+
+def test_conditions_as_rows_are_judged_like_single_ones(spark):
+    cases = [("bigint", "12"), ("double", " -1.5e3 "), ("double", "much"), ("decimal(10,2)", ".5"), ("double", "NaN"), ("int", ""), ("int", None), ("boolean", "TRUE"),
+             ("boolean", "yes"), ("date", "1996-01-31"), ("date", "1996-13-01"), ("timestamp", "2024-01-31T10:00:00Z"), ("timestamp", "2024-01-31 10:00"),
+             ("timestamp", "soon"), ("string", "x"), ("string", None), ("date", "5")]
+    rows = spark.createDataFrame([(n, k, v) for n, (k, v) in enumerate(cases)], "n int, kind string, v string")
+    judged = rows.select("n", M.values_fit(F.array("v"), F.col("kind"), F.lit("eq")).alias("fits")).orderBy("n").collect()
+    assert [r.fits for r in judged] == [M.value_fits(M.Condition("a", "eq", v), k) for k, v in cases]
+    several = rows.limit(1).select(
+        M.values_fit(F.array(F.lit("1"), F.lit("x")), F.lit("int"), F.lit("in")).alias("mixed"), M.values_fit(F.array(F.lit("1"), F.lit("2")), F.lit("int"), F.lit("in")).alias("both"),
+        M.values_fit(F.expr("cast(array() as array<string>)"), F.lit("int"), F.lit("is_null")).alias("none")).first()
+    assert (several.mixed, several.both, several.none) == (False, True, True)
+
+
+def test_a_capped_result_tells_whether_it_goes_on(spark):
+    df = spark.range(10).orderBy("id")
+    for cap, more in ((9, True), (10, False), (11, False)):
+        rows = runner.capped(df, cap).collect()
+        assert [r.id for r in rows] == list(range(min(cap, 10))) and {r.truncated for r in rows} == {more}
+
+
+def test_chart_specifications_as_rows_are_judged_like_single_ones(spark):
+    from plumbline.operators import charts as H
+
+    df = spark.createDataFrame([(f"2024-{n:02d}", n * 1.5, n, "a") for n in range(1, 10)], "month string, revenue double, orders int, name string")
+    specs = [("line", "month", ["revenue"]), ("pie", "name", ["orders"]), ("bar", "month", ["profit", "name"]), ("area", "orders", ["revenue"]),
+             ("bar", "", ["orders"]), ("bar", "month", []), ("line", "name", ["name", "orders"])]
+    rows = spark.createDataFrame([(n, *x) for n, x in enumerate(specs)], "n int, type string, x string, y array<string>")
+    got = [r.problems for r in H.check_charts(df, rows).orderBy("n").collect()]
+    assert got == [H.check_chart(df, *x) for x in specs]
