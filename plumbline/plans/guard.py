@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from plumbline.functions.tables import TABLE_FUNCTIONS
 from plumbline.session import col
 
 # Words that never occur in a read-only statement, words that reach outside one frame, first words that may open a statement.
@@ -139,6 +140,8 @@ class _Reader:
     def plan(self, node, ctes: frozenset, listed: bool) -> None:
         """``listed``: a list of columns stands between this node and whatever gives its columns out."""
         kind, found = _name(node), self.found
+        if kind == "UnresolvedTableValuedFunction":
+            return self.table_function(node, ctes)
         if kind not in PLAN_NODES:
             raise Unsupported(kind)
         if kind == "ExplainCommand":
@@ -181,6 +184,15 @@ class _Reader:
             self.plan(child, ctes, listed)
         return None
 
+    def table_function(self, node, ctes: frozenset) -> None:
+        """Only our own table functions, called by their plain name. What a table argument hands over counts as given out."""
+        name = ".".join(_items(node.name())).lower()
+        if name not in TABLE_FUNCTIONS:
+            raise Unsupported(f"table function {name}")
+        self.found.functions.add(name)
+        for expr in _items(node.functionArgs()):
+            self.expr(expr, (), ctes)
+
     def table(self, parts: list[str], alias: str, listed: bool) -> None:
         name = ".".join(parts)
         self.found.tables.add(name)
@@ -211,6 +223,9 @@ class _Reader:
                 self.scopes.append(set())
                 self.plan(expr.plan(), ctes, kind == "Exists")
                 inner = self.scopes.pop()
+                if kind == "FunctionTableSubqueryArgumentExpression":
+                    for by in _items(expr.partitionByExpressions()) + _items(expr.orderByExpressions()):
+                        self.expr(by, above, ctes)
                 if kind == "LateralSubquery":
                     self.scopes[-1] |= inner
         elif "Plan" in kind or "Identifier" in kind:

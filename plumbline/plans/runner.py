@@ -11,7 +11,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, ParseException, PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.functions import values as V
+from plumbline.functions import tables, values as V
 from plumbline.plans import guard
 
 DATASET_ROWS, TABLE_ROWS, TIMEOUT_SECONDS = 1000, 500, 30
@@ -46,6 +46,8 @@ def statement(spark: SparkSession, sql: str, views: dict[str, DataFrame], args:
     problem = problem or (guard.check_policy(spark, text, policy) if policy else None)
     if problem:
         raise Refused(problem)
+    if guard.references(spark, text).functions & {*tables.TABLE_FUNCTIONS, *tables.STATE_FUNCTIONS}:
+        tables.register(spark)
     for name, df in views.items():
         df.createOrReplaceTempView(name)
     return spark.sql(text, args=args) if args else spark.sql(text)

@@ -43,3 +43,17 @@ def _query(names, sql):
 
 
 QUERIES = {name: (_query(names, sql), sql) for name, (names, sql) in SQL.items()}
+
+# Statements that call functions registered by ``functions.tables``, with what they mean in plain SQL.
+_SESSIONS = """SELECT user_id, date_format(first_seen, 'yyyy-MM-dd HH:mm:ss') AS first_seen, date_format(last_seen, 'yyyy-MM-dd HH:mm:ss') AS last_seen, events
+ FROM sessions(TABLE(SELECT user_id, ts FROM events), 21600)"""
+_SESSIONS_SQL = """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+ s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen, count(*) AS events FROM s GROUP BY user_id, n"""
+_STATES = """WITH parts AS (SELECT event_type, user_id, moments_of(count(value), avg(value), var_pop(value)) AS state FROM events GROUP BY event_type, user_id),
+ merged AS (SELECT event_type, merge_moments(collect_list(state)) AS state FROM parts GROUP BY event_type)
+SELECT event_type, state.n AS n, round(state.mean, 6) AS mean, round(moments_std(state), 6) AS std FROM merged"""
+_STATES_SQL = "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM events GROUP BY event_type"
+
+QUERIES["L11_table_function"] = (_query(["events"], _SESSIONS), _SESSIONS_SQL)
+QUERIES["L11_mergeable_states"] = (_query(["events"], _STATES), _STATES_SQL)
