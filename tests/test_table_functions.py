@@ -54,7 +54,7 @@ def test_the_guard_reads_table_arguments(spark):
     check = lambda sql: guard.check_policy(spark, sql, policy)
     assert check("SELECT * FROM sessions(TABLE(SELECT c_nationkey, c_at FROM customer), 5)") is None
     assert "must be aggregated" in check("SELECT n FROM sessions(TABLE(SELECT c_name, c_at FROM customer), 5)")
-    assert "is restricted" in check("SELECT 1 FROM sessions(TABLE(SELECT c_at FROM customer) PARTITION BY c_acctbal, 5)")
+    assert "is restricted" in check("SELECT 1 FROM sessions(TABLE(SELECT c_at FROM customer) PARTITION BY (c_acctbal), 5)")
     assert "would expose" in check("SELECT events FROM sessions(TABLE(customer), 5)")
     assert "is hidden" in check("SELECT * FROM sessions(TABLE(SELECT a, b FROM supplier), 5)")
     assert tables.TABLE_FUNCTIONS.keys() == {"sessions"}
