@@ -43,9 +43,10 @@ M1 = " UNION ALL ".join([_task_sql(DOCS, "toxic", True), _task_sql(DOCS, "lang",
 
 
 def m2(s, d):
-    rows, features = M.prepare(labelled(s, d).withColumn("paid", F.col("doc_id") + 1), "quality", "doc_id")
-    names = s.createDataFrame([(c,) for c in features.dropped], "column string")
-    return names.withColumn("rows", rows.agg(F.count("*").alias("n")).scalar())
+    df = labelled(s, d).withColumn("paid", F.col("doc_id") + 1)
+    facts = P.column_facts(df)
+    _, features = M.prepare(df, "quality", "doc_id", facts=facts)
+    return facts.where(F.col("column").isin(features.dropped)).select("column", "count", "unique")
 
 
 def m3(s, d):
@@ -238,7 +239,7 @@ def m21(s, d):
 
 QUERIES = {
     "M1_detect_task": (m1, M1),
-    "M2_identifiers": (m2, f"SELECT c AS \"column\", (SELECT count(*) FROM labels) AS rows FROM (VALUES ('paid')) AS v(c)"),
+    "M2_identifiers": (m2, "SELECT 'paid' AS \"column\", count(doc_id + 1) AS count, count(DISTINCT doc_id + 1) AS \"unique\" FROM labels"),
     "M3_features": (m3, M3), "M4_class_guard": (m4, M4), "M5_split": (m5, M5), "M6_numeric_scaling": (m6, M6), "M7_label_levels": (m7, M7),
     "M8_M9_M16_M17_compare_classes": (_train_class("Logistic Regression", "Decision Tree"), None),
     "M10_random_forest": (_train_class("Random Forest", cross_validation=False), None),

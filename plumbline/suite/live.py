@@ -139,7 +139,7 @@ def t6_running(s, d):
 _PLANTED = "(SELECT " + ", ".join(f"{e} AS {n}" for n, e in _DEFECTS.items()) + " FROM events)"
 T6_RUNNING = f"""SELECT 'missing::value' AS code, CASE WHEN 100.0 * count_if(value IS NULL) / count(*) >= 40 THEN 'high' ELSE 'medium' END AS severity, count_if(value IS NULL)::DOUBLE AS figure FROM {_PLANTED}
 UNION ALL SELECT 'dtype::numeric_string::amount', 'medium', round(100.0 * count_if(amount <> 'n/a') / count(*), 2) FROM {_PLANTED} HAVING avg((amount <> 'n/a')::INT) >= 0.9
-UNION ALL SELECT 'dtype::date_string::day', 'low', 100.0 FROM {_PLANTED} WHERE regexp_full_match(day, '\d{{4}}-\d\d-\d\d') HAVING count(*) > 0
+UNION ALL SELECT 'dtype::date_string::day', 'low', 100.0 FROM {_PLANTED} WHERE regexp_full_match(day, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') HAVING count(*) > 0
 UNION ALL SELECT 'category::inconsistent::event_type', 'medium', count(DISTINCT event_type)::DOUBLE FROM {_PLANTED} HAVING count(DISTINCT event_type) > count(DISTINCT lower(event_type))
 UNION ALL SELECT 'category::whitespace::padded', 'low', 0.0 FROM {_PLANTED} WHERE padded <> trim(padded) HAVING count(*) > 0"""
 
