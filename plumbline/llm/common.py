@@ -83,6 +83,12 @@ def text_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def shuffled(side: DataFrame) -> DataFrame:
+    """A join side that grows with the table: it meets the other side in a shuffle, whatever ``autoBroadcastJoinThreshold``
+    allows, as a broadcast is first collected by the driver and many of them are alive at a time."""
+    return side.hint("merge")
+
+
 # --- linked groups ---------------------------------------------------------------------------------------------------
 
 
@@ -101,12 +107,12 @@ def components(edges: DataFrame) -> DataFrame:
     while now != before and now[0]:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.join(shuffled(least), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         own = F.struct(F.col("a"), F.col("m").alias("b"))
         found = F.struct(F.col("b").alias("a"), F.col("m").alias("b"))
-        pairs = stored(large.join(least, "a").select(F.inline(F.array(found, own))).where("a <> b").distinct())
+        pairs = stored(large.join(shuffled(least), "a").select(F.inline(F.array(found, own))).where("a <> b").distinct())
         before, now = now, _digest(pairs)
     star = pairs.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return star.unionByName(star.select(F.col("component").alias("id"), "component").distinct())
@@ -130,7 +136,7 @@ def in_blocks(rows: DataFrame, key: str, row_id: str, block: int) -> DataFrame:
     so that all rows of the key still meet in pairs while no block holds more than about ``2 * block`` rows.
     """
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = rows.join(sizes, key)
+    met = rows.join(shuffled(sizes), key)
     parts = F.ceil(F.col("n") / block).cast("int")
     met = met.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64(F.col(row_id), F.lit(7)), F.col("parts")).cast("int"))
     other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))

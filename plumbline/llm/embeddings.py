@@ -182,11 +182,11 @@ def near_duplicates(
     found = common.stored(found)
     joined = common.components(found.where("b IS NOT NULL").select("a", "b"))
     counts = found.where("n IS NOT NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
-    entry = classes.join(counts, "id", "left").join(joined, "id", "left")
+    entry = classes.join(common.shuffled(counts), "id", "left").join(common.shuffled(joined), "id", "left")
     entry = entry.withColumn("group", F.coalesce("component", "id"))
     least = entry.groupBy("group").agg(F.min("least").alias("component_id"))
-    entry = entry.join(least, "group").select("v", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "component_id")
-    linked = rows.where("sound").join(entry, "v").select("vec_id", "n_links", "component_id")
+    entry = entry.join(common.shuffled(least), "group").select("v", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "component_id")
+    linked = rows.where("sound").join(common.shuffled(entry), "v").select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

@@ -164,10 +164,10 @@ def groups(marked: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> D
     """``fp, group, component_id`` for the fingerprints of ``marked`` (``doc_id, fp``): which are linked, directly or not."""
     firsts = common.stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     joined = common.components(links(firsts.select(F.col("fp").alias("id"), "fp"), distance, block))
-    named = firsts.join(joined.withColumnRenamed("id", "fp"), "fp", "left")
+    named = firsts.join(common.shuffled(joined.withColumnRenamed("id", "fp")), "fp", "left")
     named = named.withColumn("group", F.coalesce("component", "fp"))
     least = named.groupBy("group").agg(F.min("first").alias("component_id"))
-    return named.select("fp", "group").join(least, "group")
+    return named.select("fp", "group").join(common.shuffled(least), "group")
 
 
 def near_duplicates(
@@ -179,7 +179,7 @@ def near_duplicates(
     ``component_id`` is the smallest id reachable through links of at most ``distance`` bits; ``kept`` marks it.
     """
     marked = common.stored(fingerprints(docs, doc_id, text, shingle))
-    return marked.join(groups(marked, distance, block), "fp", "left").select(
+    return marked.join(common.shuffled(groups(marked, distance, block)), "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"),
     )
@@ -196,8 +196,8 @@ def keep_one(
     rows = common.stored(rows.withColumn("nth", F.monotonically_increasing_id()))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "h", "nth")
     marked = rows.select("doc_id", "fp", "h", "nth")
-    best = marked.join(groups(marked, distance, block), "fp").groupBy("group").agg(F.min_by("nth", order).alias("nth"))
-    return rows.join(best.select("nth"), "nth", "left_semi").select("row.*")
+    best = marked.join(common.shuffled(groups(marked, distance, block)), "fp").groupBy("group").agg(F.min_by("nth", order).alias("nth"))
+    return rows.join(common.shuffled(best.select("nth")), "nth", "left_semi").select("row.*")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

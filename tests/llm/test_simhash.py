@@ -1,7 +1,8 @@
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from plumbline.llm import simhash
+from plumbline.llm import common, simhash
 
 
 def plain_fingerprint(text, k=4):
@@ -88,3 +89,14 @@ def test_null_ids_and_empty_table(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     kept = simhash.keep_one(docs.selectExpr("doc_id", "text", "1 AS fp", "2 AS nth"))
     assert sorted(map(str, (tuple(r) for r in kept.collect()))) == ["(3, 'a b', 1, 2)", "(None, 'z', 1, 2)"]
+
+
+def test_no_side_of_a_join_comes_to_the_driver(spark):
+    """Broadcasts are collected by the driver: over 0.5 GB of documents its memory was too small for those of ``groups``."""
+    docs = spark.createDataFrame(make(), "doc_id long, text string")
+    marked = common.stored(simhash.fingerprints(docs))
+    pairs = simhash.links(marked.select(F.col("fp").alias("id"), "fp").distinct())
+    plans = [simhash.near_duplicates(docs), simhash.keep_one(docs), simhash.groups(marked), pairs, common.components(pairs)]
+    for made in plans:
+        made.collect()
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
