@@ -7,9 +7,9 @@ serve alike; timestamps and dates are compared in microseconds.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DateType, DecimalType, IntegralType, NumericType, TimestampNTZType, TimestampType
 
-from plumbline.session import col
+from plumbline.session import col, cut_lineage
 
 # Rows of one key that are sorted together; a key with more is cut into buckets of time.
 BUCKET_ROWS = 1_000_000
@@ -149,13 +149,18 @@ def _named(found: DataFrame, left: DataFrame, right: DataFrame, added: list[tupl
 
 
 def range_join(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str, by=(), half_open: bool = False,
-               suffix: str = "_right") -> DataFrame:
+               suffix: str = "_right", totals: dict[str, str | None] | None = None) -> DataFrame:
     """Pairs of a point and an interval that holds it, ``low <= at <= high`` (``at < high`` if ``half_open``).
 
     A point looks into one bin of each level that occurs; an interval lies in the one or two bins of its own level
     that it touches. So every pair meets in one bin only. The result is as long as there are such pairs.
+
+    ``totals`` asks for figures over the pairs of each point instead: by name, the sum of a column of the intervals, or with
+    ``None`` their number. The result is then one row per point that lies in an interval, and no pair is made.
     """
     pairs = _keys(points, intervals, by)
+    if totals is not None:
+        return _range_totals(points, intervals, at, low, high, pairs, half_open, totals)
     names = [f"_k{n}" for n in range(len(pairs))]
     spans = _span(intervals, low, high, [(k, b) for k, (_, b) in zip(names, pairs)])
     base = _base(spans)
@@ -172,6 +177,70 @@ def range_join(points: DataFrame, intervals: DataFrame, at: str, low: str, high:
     return _named(found, points, intervals, _beside(points, intervals, [], suffix))
 
 
+def _range_totals(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str, pairs: list[tuple[str, str]], half_open: bool,
+                  totals: dict[str, str | None]) -> DataFrame:
+    """Running sums over points and ends of intervals in one order: an interval is added at its beginning and taken off behind its end.
+
+    Rows are range-partitioned and written once; each partition is summed on its own and begins with what the partitions before
+    it left open under its first key. Sums are taken off again, so they must be of whole numbers or decimals.
+    """
+    for name, c in totals.items():
+        if name in points.columns:
+            raise ValueError(f"two columns would be called {name!r}")
+        if c is not None and not isinstance(intervals.schema[c].dataType, (IntegralType, DecimalType)):
+            raise TypeError(f"{c!r} is neither a whole number nor a decimal")
+    names = [f"_k{n}" for n in range(len(pairs))]
+    spans = _span(intervals, low, high, [(k, b) for k, (_, b) in zip(names, pairs)])
+    # Per total the sum and how many values are in it, after the number of intervals.
+    steps = {"_n": F.lit(1).cast("long")}
+    for n, c in enumerate(c for c in totals.values() if c is not None):
+        value = F.col("_row").getField(c)
+        value = value if isinstance(intervals.schema[c].dataType, DecimalType) else value.cast("long")
+        steps |= {f"_v{n}": F.coalesce(value, F.lit(0)), f"_c{n}": value.isNotNull().cast("long")}
+    mixed = F.xxhash64("_low", "_high", *steps.values())
+    whole = [c for c, kind in points.dtypes if "map<" not in kind and "variant" not in kind]
+    marks = [
+        points.select(*[col(a).alias(k) for k, (a, _) in zip(names, pairs)], axis(points, at).alias("_at"), F.lit(1).alias("_kind"),
+                      F.xxhash64(*[col(c) for c in whole]).alias("_mixed"), F.struct(*[col(c) for c in points.columns]).alias("_row")),
+        spans.select(*names, F.col("_low").alias("_at"), F.lit(0).alias("_kind"), mixed.alias("_mixed"), *[v.alias(s) for s, v in steps.items()]),
+        spans.select(*names, F.col("_high").alias("_at"), F.lit(0 if half_open else 2).alias("_kind"), mixed.alias("_mixed"),
+                     *[(-v).alias(s) for s, v in steps.items()]),
+    ]
+    rows = marks[1].unionByName(marks[2]).unionByName(marks[0], allowMissingColumns=True)
+    known = F.col("_at").isNotNull()
+    for k in names:
+        known = known & F.col(k).isNotNull()
+    # Rows of one time and kind may lie in several partitions: between points nothing is added or taken off.
+    order = [F.col("_at"), F.col("_kind"), F.col("_mixed")]
+    rows = cut_lineage(rows.where(known).repartitionByRange(*[F.col(k) for k in names], *order).withColumn("_part", F.spark_partition_id()))
+    group = ["_part", *names]
+    ends = rows.groupBy(*group).agg(*[F.sum(s).alias(s) for s in steps])
+    # Only a key that goes on from the partition before has a row: at most one per partition.
+    if names:
+        places = Window.partitionBy(*names).orderBy("_part")
+        before = [F.sum(s).over(places.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_before{s}") for s in steps]
+        carried = ends.select(*group, *before, F.row_number().over(places).alias("_place")).where("_place > 1").drop("_place")
+    else:
+        shifts, seen = [], [0] * len(steps)
+        for r in ends.orderBy("_part").collect():
+            shifts.append((r["_part"], *seen))
+            seen = [a + (r[s] or 0) for a, s in zip(seen, steps)]
+        kinds = ["_part int", *[f"_before{s} {kind}" for s, kind in ends.dtypes[1:]]]
+        carried = points.sparkSession.createDataFrame(shifts, ", ".join(kinds))
+    within = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = rows.withColumns({f"_sum{s}": F.sum(s).over(within) for s in steps}).where("_kind = 1")
+    found = summed.join(F.broadcast(carried), group, "left")
+    upto = {s: F.coalesce(f"_sum{s}", F.lit(0)) + F.coalesce(f"_before{s}", F.lit(0)) for s in steps}
+    out, n = [], 0
+    for name, c in totals.items():
+        if c is None:
+            out.append(upto["_n"].alias(name))
+        else:
+            out.append(F.when(upto[f"_c{n}"] > 0, upto[f"_v{n}"]).alias(name))
+            n += 1
+    return found.where(upto["_n"] > 0).select(*[F.col("_row").getField(c).alias(c) for c in points.columns], *out)
+
+
 def overlap_join(left: DataFrame, right: DataFrame, left_bounds: tuple[str, str], right_bounds: tuple[str, str], by=(), half_open: bool = False,
                  suffix: str = "_right") -> DataFrame:
     """Pairs of intervals with a common point (with a common stretch if ``half_open``).

@@ -57,8 +57,8 @@ _OPEN_ORDERS = f"(SELECT o_orderkey, o_custkey, o_orderdate AS since, {_OPEN_SQL
 
 def ranges(spark, d):
     """Orders that were open at each event, whoever placed them: their number and the sum of their keys."""
-    found = temporal.range_join(_events(spark, d), _open_orders(spark, d), "moment", "since", "until")
-    return found.groupBy("event_id").agg(F.count(F.lit(1)).alias("open_orders"), F.sum("o_orderkey").alias("keys"))
+    found = temporal.range_join(_events(spark, d), _open_orders(spark, d), "moment", "since", "until", totals={"open_orders": None, "keys": "o_orderkey"})
+    return found.groupBy("event_id").agg(F.sum("open_orders").alias("open_orders"), F.sum("keys").alias("keys"))
 
 
 RANGES = f"""SELECT event_id, count(*) AS open_orders, sum(o_orderkey)::BIGINT AS keys FROM {_EVENTS} e

@@ -107,3 +107,24 @@ def test_an_interval_is_dealt_to_two_bins_at_most(spark):
     base = temporal._base(held)
     dealt = temporal._dealt(held.withColumn("_level", temporal._level(F.col("_len"), base)), F.array("_level"), base)
     assert dealt.count() <= 4000 and bisect.bisect(temporal._levels(held.withColumn("_level", temporal._level(F.col("_len"), base))), 40) <= 40
+
+
+@pytest.mark.parametrize("half_open", [False, True])
+@pytest.mark.parametrize("by", [(), ["k"]])
+def test_totals_of_a_range_join_are_those_of_its_pairs_without_making_them(spark, half_open, by):
+    random.seed(4)
+    points = [(n, random.choice(["hot", "hot", "b", None]), random.choice([None, 7, *range(60)])) for n in range(300)]
+    spans = [(random.choice([None, n]), random.choice(["hot", "b", "c"]), low, low + random.choice([-1, 0, 0, 1, 5, 40])) for n in range(200) for low in [random.randrange(60)]]
+    p = spark.createDataFrame(points, "id int, k string, t int")
+    i = spark.createDataFrame(spans, "v int, kk string, low int, high int")
+    keys = [("k", "kk")] if by else ()
+    pairs = temporal.range_join(p, i, "t", "low", "high", keys, half_open).groupBy("id", "k", "t").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"))
+    found = temporal.range_join(p, i, "t", "low", "high", keys, half_open, totals={"n": None, "s": "v"})
+    assert found.columns == pairs.columns and found.dtypes[3:] == pairs.dtypes[3:]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, pairs.collect()), key=str)
+    # A hundred thousand points in as many intervals: ten billion pairs are not made.
+    many = spark.range(100_000).selectExpr("id", "id AS low", "id + 1000000 AS high")
+    all_in = temporal.range_join(many.selectExpr("id", "id + 100000 AS t"), many.drop("id"), "t", "low", "high", totals={"n": None, "s": "low"})
+    assert all_in.where("n = 100000 AND s = 4999950000").count() == 100_000
+    with pytest.raises(TypeError):
+        temporal.range_join(p, i, "t", "low", "high", totals={"s": "kk"})
