@@ -64,69 +64,70 @@ ALERTS = "user_id long, last_seen timestamp, silent_for int, events long"
 
 
 class _Silence(StatefulProcessor):
-    """Per user the times that an alert may still hang on, with the level that each waits for and one timer for it."""
+    """Per user the times that an alert may still hang on, with the level that each waits for, and one timer for the earliest of them."""
 
     def __init__(self, gap_ms: int, levels: tuple[int, ...]):
-        self.gap, self.levels = gap_ms, sorted(levels)
+        self.gap, self.levels = gap_ms, np.array(sorted(levels), np.int64)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.times = handle.getValueState("times", "us array<long>, n array<long>, level array<int>")
+        self.times = handle.getValueState("times", "us binary, n binary, level binary, timer long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held, passed = self._held(), timerValues.getCurrentWatermarkInMs()
-        fresh = set()
-        for part in rows:
-            for us in part["ts"].to_numpy("datetime64[us]").astype(np.int64).tolist():
-                if us not in held:
-                    held[us] = [0, 0]
-                    fresh.add(us)
-                held[us][0] += 1
-        times = np.array(sorted(held), np.int64)
-        due = {self._due(us, 0) for us in fresh if self._silent(times, us, 0)}  # others are followed soon enough already
-        for at in sorted(due):
-            if at > passed:
-                self.handle.registerTimer(at)
-        self._keep(held, -1)  # timers of this batch are still to come
-        yield self._alerts([])
+        us, n, level, timer = self._held()
+        heard = [part["ts"].to_numpy("datetime64[us]").astype(np.int64) for part in rows]
+        times, place = np.unique(np.concatenate([us, *heard]), return_inverse=True)
+        counts, reached = np.zeros(len(times), np.int64), np.zeros(len(times), np.int64)
+        np.add.at(counts, place, np.concatenate([n, np.ones(len(place) - len(us), np.int64)]))
+        reached[place[: len(us)]] = level
+        self._keep(times, counts, reached, timer)
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held, found = self._held(), []
-        now, passed = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
-        times = np.array(sorted(held), np.int64)
-        for us, (n, level) in sorted(held.items()):
-            while level < len(self.levels) and self._due(us, 0) <= now and self._due(us, level) <= passed:
-                if not self._silent(times, us, level):
-                    level = len(self.levels)
-                    break
-                found.append((key[0], us, self.levels[level], n))
-                level += 1
-                if level < len(self.levels) and self._due(us, level) > passed:
-                    self.handle.registerTimer(self._due(us, level))
-            held[us][1] = level
-        self._keep(held, now)
-        yield self._alerts(found)
-
-    def _due(self, us: int, level: int) -> int:
+        us, n, level, _ = self._held()
+        passed, found = timerValues.getCurrentWatermarkInMs(), []
+        # Nothing that the watermark has passed can change: whatever is due by now is settled at once, not timer by timer.
+        for at in range(len(self.levels)):
+            due = np.flatnonzero((level == at) & (self._due(us, at) <= passed))
+            silent = due[self._silent(us, due, at)]
+            found.append((us[silent], np.full(len(silent), self.levels[at]), n[silent]))
+            level[due] = len(self.levels)
+            level[silent] = at + 1
+        rest = self._due(us, -1) > passed
+        self._keep(us[rest], n[rest], level[rest], None)
+        times, levels, events = (np.concatenate(x) for x in zip(*found))
+        if len(times):
+            order = np.lexsort((levels, times))
+            yield pd.DataFrame({"user_id": np.full(len(times), key[0], np.int64), "last_seen": times[order].astype("datetime64[us]"),
+                                "silent_for": levels[order].astype(np.int32), "events": events[order]})
+
+    def _due(self, us: np.ndarray, level) -> np.ndarray:
         """The first millisecond at which the watermark has passed the level's gaps after ``us``."""
         return -(-us // 1000) + self.levels[level] * self.gap
 
-    def _silent(self, times: np.ndarray, us: int, level: int) -> bool:
-        return np.searchsorted(times, us + self.levels[level] * self.gap * 1000, "right") == np.searchsorted(times, us, "right")
-
-    @staticmethod
-    def _alerts(found: list[tuple]) -> pd.DataFrame:
-        users, times, levels, events = (np.array([r[n] for r in found], np.int64) for n in range(4))
-        return pd.DataFrame({"user_id": users, "last_seen": times.astype("datetime64[us]"), "silent_for": levels.astype(np.int32), "events": events})
-
-    def _held(self) -> dict[int, list[int]]:
-        return {us: [n, level] for us, n, level in zip(*self.times.get())} if self.times.exists() else {}
-
-    def _keep(self, held: dict[int, list[int]], passed: int) -> None:
-        """State without the times whose last level has passed."""
-        rest = sorted(us for us in held if self._due(us, -1) > passed)
-        if rest:
-            self.times.update((rest, [held[us][0] for us in rest], [held[us][1] for us in rest]))
+    def _silent(self, us: np.ndarray, which, level) -> np.ndarray:
+        """Whether nothing was heard for the level's gaps after the times ``which``; ``us`` is ascending."""
+        following = np.append(us[1:], np.iinfo(np.int64).max)[which]
+        return following > us[which] + self.levels[level] * self.gap * 1000
+
+    def _held(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int | None]:
+        if not self.times.exists():
+            return *(np.empty(0, np.int64) for _ in range(3)), None
+        *held, timer = self.times.get()
+        return *(np.frombuffer(bytes(x), np.int64).copy() for x in held), None if timer < 0 else timer
+
+    def _keep(self, us: np.ndarray, n: np.ndarray, level: np.ndarray, timer: int | None) -> None:
+        """State, and the user's timer at the earliest time at which an alert may be due; without either if nothing is left."""
+        open_ = np.flatnonzero(level < len(self.levels))
+        open_ = open_[self._silent(us, open_, level[open_])]
+        first = int(self._due(us[open_], level[open_]).min()) if len(open_) else None
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
+        if len(us) and first is not None:
+            self.times.update((us.tobytes(), n.tobytes(), level.tobytes(), first))
         elif self.times.exists():
             self.times.clear()
 

@@ -186,3 +186,53 @@ def test_permuted_deals_every_column_anew_in_one_shuffle(spark):
         a, b = M.steps(n, 3, 1)
         assert len({(a * i + b) % n for i in range(min(n, 5000))}) == min(n, 5000)
     assert M.permuted(df.limit(0), ["a"], 2).count() == 0
+
+
+def test_a_user_is_woken_once_a_batch_however_many_silences_are_due():
+    """One timer per user: 2,000 silences of one user were as many timers, each of which read and wrote all of its state."""
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+        def clear(self):
+            self.held = None
+
+    class Handle:
+        timers = set()
+
+        def getValueState(self, *_):  # noqa: N802
+            return Value()
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.add(at)
+
+        def deleteTimer(self, at):  # noqa: N802
+            self.timers.remove(at)
+
+    class Clock:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.ms
+
+    one, handle, hour = live._Silence(3_600_000, (1, 2)), Handle(), 3600
+    one.init(handle)
+    times = pd.to_datetime(np.arange(2000) * 3 * hour + 1, unit="s")
+    list(one.handleInputRows((7,), iter([pd.DataFrame({"ts": times})]), Clock(0)))
+    assert handle.timers == {3_601_000}
+    woken, rows = 0, 0
+    now = Clock(2000 * 3 * hour * 1000)
+    while handle.timers and min(handle.timers) <= now.ms:
+        at = handle.timers.pop()
+        rows += sum(len(x) for x in one.handleExpiredTimer((7,), now, None))
+        woken += 1
+    assert woken == 1 and rows == 4000 and not handle.timers and not one.times.exists()
