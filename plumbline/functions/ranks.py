@@ -74,7 +74,8 @@ def _narrow(long: DataFrame, want: DataFrame, keys: list[str]) -> tuple[DataFram
                 F.count_if((F.col("v") > lo) & (F.col("v") < hi)).alias("between"),
             )
         )
-    counted = tagged.groupBy(*keys).agg(F.array(*tallies).alias("tally"), F.any_value("cells").alias("cells"))
+    # Only counts are aggregated: with the cells as a further aggregate, every row would be sorted with its copy of them.
+    counted = lookup_join(tagged.groupBy(*keys).agg(F.array(*tallies).alias("tally")), per_key, keys, "inner")
     placed = cut_lineage(
         counted.select(*keys, F.inline(F.arrays_zip("cells", "tally"))).select(*keys, "cells.*", "tally.*")
     )
