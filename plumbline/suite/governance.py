@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions import text as T
 from plumbline.operators import catalog as G, match as X, sketches
@@ -429,22 +430,26 @@ def g13_sketches(s, d):
     store.put(lines.where(~late), month)
     store.put(lines.where(late), month)
     found = store.profile(s).collect()  # one row per column
-    cells = []
+    parts = []
     for r in found:
-        c, exact = F.col(r["column"]), F.count_distinct(r["column"])
-        ranks = [(F.count_if(c < q) / F.count(c) - sketches.RANK_ERROR <= p) & (F.count_if(c <= q) / F.count(c) + sketches.RANK_ERROR >= p)
+        # Everything exact comes from how often each value occurs: one shuffle of distinct values a column.
+        c, n = F.col("value"), F.col("n")
+        counted = lines.groupBy(F.col(r["column"]).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        rows_where = lambda keep: F.coalesce(F.sum(F.when(keep, n)), F.lit(0))  # noqa: B023, E731
+        exact, total = F.count(c), rows_where(c.isNotNull())
+        ranks = [(rows_where(c < q) / total - sketches.RANK_ERROR <= p) & (rows_where(c <= q) / total + sketches.RANK_ERROR >= p)
                  for p, q in zip(sketches.PROBABILITIES, r["quantiles"] or [])]
         within = F.lit(True)
         for rank in ranks:
             within = within & rank
         most = F.lit(True)
         for item in r["top"]:
-            missed = F.count_if(c.cast("string") == item["item"]) - item["count"]
-            most = most & (missed >= 0) & (missed <= F.count(c) / (0.75 * sketches.TRACKED))
-        cells.append(F.struct(F.lit(r["column"]).alias("column"), F.lit(r["rows"]).alias("rows"), F.lit(r["count"]).alias("count"),
-                              (F.abs(F.lit(r["distinct"]) - exact) <= sketches.DISTINCT_ERROR * exact + 1).alias("distinct_within"),
-                              within.alias("quantiles_within"), most.alias("top_within")))
-    return lines.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+            missed = rows_where(c.cast("string") == item["item"]) - item["count"]
+            most = most & (missed >= 0) & (missed <= total / (0.75 * sketches.TRACKED))
+        parts.append(counted.agg(F.lit(r["column"]).alias("column"), F.lit(r["rows"]).alias("rows"), F.lit(r["count"]).alias("count"),
+                                 (F.abs(F.lit(r["distinct"]) - exact) <= sketches.DISTINCT_ERROR * exact + 1).alias("distinct_within"),
+                                 within.alias("quantiles_within"), most.alias("top_within")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 G13_SKETCHES = union_all(

@@ -41,3 +41,13 @@ def test_merged_parts_stay_within_bounds_and_parts_are_replaced(spark, tmp_path)
     check(spark, changed.where("part in (3, 5)"), store.profile(spark, parts=F.col("kept").isin("3", "5")))
     none = {r["column"]: r for r in store.profile(spark).collect()}["none"]
     assert (none["count"], none["distinct"], none["low"], none["quantiles"], none["top"]) == (0, 0, None, None, [])
+
+
+def test_exact_figures_beside_sketches_come_from_value_counts(spark):
+    """Seven distinct counts in one aggregate made eight copies of every row."""
+    import __spark_entry__ as entry
+
+    out = entry.queries()["G13_from_sketches"](spark, "/root/testdata/sf0.01")
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = out.collect()
+    assert len(rows) == 7 and all(r.distinct_within and r.quantiles_within and r.top_within for r in rows)
