@@ -236,3 +236,18 @@ def test_a_user_is_woken_once_a_batch_however_many_silences_are_due():
         rows += sum(len(x) for x in one.handleExpiredTimer((7,), now, None))
         woken += 1
     assert woken == 1 and rows == 4000 and not handle.timers and not one.times.exists()
+
+
+def test_candidates_share_their_preprocessing_and_parts_of_bounded_size(spark, monkeypatch):
+    """Each candidate learnt medians and scales of the same rows again, and a persisted part was as large as its file."""
+    df = spark.range(4000).selectExpr("id AS key", "CAST(id % 97 AS DOUBLE) AS a", "CAST(id % 13 AS DOUBLE) AS b", "3 * (id % 97) + id % 13 + id % 7 / 10.0D AS y").coalesce(1)
+    calls, real = [], M.preprocessing
+    monkeypatch.setattr(M, "preprocessing", lambda *a: calls.append(1) or real(*a))
+    wanted = M.train_and_compare(df, "y", "key", models=["Linear Regression", "Ridge"], cross_validation=False)
+    assert len(calls) == 1 and wanted.train.rdd.getNumPartitions() == 1
+    monkeypatch.setattr(M, "PART_ROWS", 200)
+    found = M.train_and_compare(df, "y", "key", models=["Linear Regression", "Ridge"], cross_validation=False)
+    sizes = found.train.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert sizes.max() <= 200 and sizes.sum() == wanted.train.count()
+    for a, b in zip(wanted.comparison, found.comparison):
+        assert a["model"] == b["model"] and a["r2"] == pytest.approx(b["r2"]) and a["rmse"] == pytest.approx(b["rmse"])
