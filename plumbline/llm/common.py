@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from plumbline.session import checkpoint_dir
 
@@ -23,6 +23,13 @@ SPACE = " \t\n\x0b\x0c\r"
 # Text bytes that a task holds at a time where documents are worked on together.
 CHUNK_BYTES = 6_000_000
 
+# Most keys that chunks may ask of one shard, each counted once per chunk.
+SHARD_KEYS = 1 << 20
+
+# Parquet looks at the size of a page or row group only after 100 rows, and its reader takes a whole row group at a time:
+# where a row holds megabytes, a task would hold all chunks of its split. With these a page is a row, a row group a few.
+_BLOBS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1"}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,10 +38,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder of ``spark.checkpoint.dir`` and go on from the files.
 
-    Unlike ``checkpoint()``, which computes the last stage a second time for its copy, this runs it once.
+    Unlike ``checkpoint()``, which computes the last stage a second time for its copy, this runs it once. Rows with
+    blobs are written and read back a few at a time, however many a task has.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    blobs = any(isinstance(f.dataType, T.BinaryType) for f in df.schema)
+    df.write.options(compression="zstd", **(_BLOBS if blobs else {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -219,6 +228,18 @@ def shards_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def shards_for(spark: SparkSession, keys: int) -> int:
+    """Shards for so many asked keys: more than shuffle partitions if a shard would get more than ``SHARD_KEYS``."""
+    return max(shards_of(spark), -(-keys // SHARD_KEYS))
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows of several megabytes, one at a time."""
+    for batch in batches:
+        for n in range(batch.num_rows):
+            yield batch.slice(n, 1).to_pylist()[0]
+
+
 def shard_cuts(keys: np.ndarray, shards: int) -> np.ndarray:
     """Where the shards begin and end in sorted ``keys``; shards are equal ranges of the hash."""
     edges = (np.arange(1, shards, dtype=np.uint64) * np.uint64((1 << 64) // shards)).astype(np.uint64)

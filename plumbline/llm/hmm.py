@@ -34,7 +34,7 @@ STATES, PASSES, FREQUENT = 8, 3, 2000
 ENDINGS, BANDS = 64, 6
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))  # no word holds a line break
 _PRIOR = 2.0  # pseudo-counts spread over a state's symbols
-_STATE = "chunk long, ids array<long>, held array<boolean>, sizes binary, words binary, endings binary, seen binary, tokens binary"
+_STATE = "chunk long, ids array<long>, held array<boolean>, sizes binary, words binary, endings binary, seen binary, tokens binary, n long"
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -69,8 +69,8 @@ def _chunked(docs: DataFrame) -> DataFrame:
             sizes = np.array(sizes, np.int64)
             seen = np.bincount(tokens[np.repeat(~held, sizes)], minlength=len(unique))
             row = [[number], [part.column("doc_id").to_pylist()], [held.tolist()], [sizes.tobytes()], [unique.tobytes()],
-                   [ends[first].tobytes()], [seen.astype(np.int64).tobytes()], [tokens.astype(np.uint32).tobytes()]]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_())] + [pa.binary()] * 5
+                   [ends[first].tobytes()], [seen.astype(np.int64).tobytes()], [tokens.astype(np.uint32).tobytes()], [len(unique)]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_())] + [pa.binary()] * 5 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds)], names=[x.split()[0] for x in _STATE.split(", ")])
 
     return docs.mapInArrow(read, _STATE)
@@ -80,18 +80,17 @@ def _asked(state: DataFrame, shards: int) -> DataFrame:
     """One request per chunk and shard: distinct words, endings and training counts in the shard's range."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys, seen = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["seen"], np.int64)
-                cuts = common.shard_cuts(keys, shards)
-                full = np.flatnonzero(np.diff(cuts))
-                parts = [(cuts[s], cuts[s + 1]) for s in full]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(full, pa.int32()), pa.array([row["chunk"]] * len(full), pa.int64()),
-                     pa.array([keys[a:b].tobytes() for a, b in parts], pa.binary()),
-                     pa.array([row["endings"][a:b] for a, b in parts], pa.binary()),
-                     pa.array([seen[a:b].tobytes() for a, b in parts], pa.binary())],
-                    names=["shard", "chunk", "words", "endings", "seen"])
+        for row in common.rows_of(batches):
+            keys, seen = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["seen"], np.int64)
+            cuts = common.shard_cuts(keys, shards)
+            full = np.flatnonzero(np.diff(cuts))
+            parts = [(cuts[s], cuts[s + 1]) for s in full]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(full, pa.int32()), pa.array([row["chunk"]] * len(full), pa.int64()),
+                 pa.array([keys[a:b].tobytes() for a, b in parts], pa.binary()),
+                 pa.array([row["endings"][a:b] for a, b in parts], pa.binary()),
+                 pa.array([seen[a:b].tobytes() for a, b in parts], pa.binary())],
+                names=["shard", "chunk", "words", "endings", "seen"])
 
     return state.select("chunk", "words", "endings", "seen").mapInArrow(ask, "shard int, chunk long, words binary, endings binary, seen binary")
 
@@ -281,13 +280,12 @@ def _pass(chunks: DataFrame, model: Model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(k + k * k + s * k + 1)
-        for batch in batches:
-            for row in batch.to_pylist():
-                sizes, held = np.frombuffer(row["sizes"], np.int64), np.array(row["held"], bool)
-                symbols = np.frombuffer(row["symbols"], np.uint16)[np.repeat(~held, sizes)]
-                if not held.all():
-                    starts, moves, emits, like = model.expected(symbols, sizes[~held])
-                    total += np.concatenate([starts, moves.ravel(), emits.ravel(), [like]])
+        for row in common.rows_of(batches):
+            sizes, held = np.frombuffer(row["sizes"], np.int64), np.array(row["held"], bool)
+            symbols = np.frombuffer(row["symbols"], np.uint16)[np.repeat(~held, sizes)]
+            if not held.all():
+                starts, moves, emits, like = model.expected(symbols, sizes[~held])
+                total += np.concatenate([starts, moves.ravel(), emits.ravel(), [like]])
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.float64())], names=["at", "value"])
 
@@ -302,7 +300,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", states: i
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``: one row per input row."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), held_out(doc_id).alias("held"))
     state = common.stored(_chunked(rows))
-    answers = common.stored(_answered(_asked(state, common.shards_of(docs.sparkSession)), frequent))
+    keys = state.agg(F.sum("n")).first()[0] or 0
+    answers = common.stored(_answered(_asked(state, common.shards_for(docs.sparkSession, keys)), frequent))
     about = answers.where("chunk = -1")
     size = BANDS * ENDINGS
     sums = np.zeros(2 * size + 1)
@@ -327,14 +326,13 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", states: i
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                sizes = np.frombuffer(row["sizes"], np.int64)
-                like = model.forward(np.frombuffer(row["symbols"], np.uint16), sizes) / np.log(10)
-                columns = [row["ids"], row["held"], sizes, np.frombuffer(row["known"], np.int64), np.full(len(sizes), total),
-                           np.frombuffer(row["base"]), like + np.frombuffer(row["share"])]
-                kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in schema.split(", ")])
+        for row in common.rows_of(batches):
+            sizes = np.frombuffer(row["sizes"], np.int64)
+            like = model.forward(np.frombuffer(row["symbols"], np.uint16), sizes) / np.log(10)
+            columns = [row["ids"], row["held"], sizes, np.frombuffer(row["known"], np.int64), np.full(len(sizes), total),
+                       np.frombuffer(row["base"]), like + np.frombuffer(row["share"])]
+            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in schema.split(", ")])
 
     return coded.mapInArrow(read, schema)
 
@@ -363,14 +361,13 @@ def _top(about: DataFrame, state: DataFrame, frequent: int):
     words, counts = words[order], counts[order]
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys = np.frombuffer(row["words"], np.uint64)
-                at = np.searchsorted(keys, words)
-                at[at == len(keys)] = 0
-                own = keys[at] == words
-                found = np.frombuffer(row["endings"], np.uint8)[at[own]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(own), pa.int32()), pa.array(found, pa.int32())], names=["at", "ending"])
+        for row in common.rows_of(batches):
+            keys = np.frombuffer(row["words"], np.uint64)
+            at = np.searchsorted(keys, words)
+            at[at == len(keys)] = 0
+            own = keys[at] == words
+            found = np.frombuffer(row["endings"], np.uint8)[at[own]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(own), pa.int32()), pa.array(found, pa.int32())], names=["at", "ending"])
 
     found = np.zeros(len(words), np.int64)
     if len(words):

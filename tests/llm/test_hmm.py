@@ -5,9 +5,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
-from plumbline.llm import hmm
+from plumbline.llm import common, hmm
 
 WS = " \t\n\x0b\x0c\r"
 
@@ -131,3 +133,34 @@ def test_probabilities_with_unseen_words_sum_to_one():
     symbol, share = alphabet.look_up(np.arange(100, 103, dtype=np.uint64), ends[:3], np.ones(3, np.int64))
     once = model.emit[symbol] * 10 ** share[:, None]
     assert (unseen[:3] < once).all() and (unseen > 0).all() and (unseen[3] <= once.min(axis=0)).all()
+
+
+def test_a_task_with_many_chunks_writes_and_reads_back_few_at_a_time(spark):
+    def big(batches):
+        for batch in batches:
+            for n in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([np.random.default_rng(n).bytes(2 << 20)])], names=["id", "body"])
+
+    kept = common.stored(spark.range(0, 40, 1, 1).mapInArrow(big, "id long, body binary"))
+    (path,) = kept.inputFiles()
+    meta = pq.ParquetFile(path.removeprefix("file://")).metadata
+    assert meta.num_rows == 40
+    assert max(meta.row_group(g).total_byte_size for g in range(meta.num_row_groups)) <= 24 << 20
+    assert kept.selectExpr("sum(id)", "sum(length(body))").first() == (780, 40 * (2 << 20))
+
+
+def test_shards_follow_the_words_not_only_the_shuffle_partitions(spark, monkeypatch):
+    rows = [r for r in sample() if r[0] is not None]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    asked, dealt = hmm._asked, []
+
+    def noted(state, shards):
+        dealt.append([r[0] for r in asked(state, shards).selectExpr("shard", "length(words) div 8 n").groupBy("shard").sum("n").select("sum(n)").collect()])
+        return asked(state, shards)
+
+    monkeypatch.setattr(hmm, "_asked", noted)
+    want = sorted(map(tuple, hmm.score(docs, frequent=20).collect()), key=str)
+    monkeypatch.setattr(common, "SHARD_KEYS", 5)
+    got = sorted(map(tuple, hmm.score(docs, frequent=20).collect()), key=str)
+    assert sum(dealt[0]) == sum(dealt[1]) and max(dealt[1]) < max(dealt[0]) / 2
+    assert [g[:5] for g in got] == [w[:5] for w in want] and np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9)
