@@ -38,11 +38,20 @@ SQL = {
 }
 
 
-def _query(names, sql):
-    return lambda spark, d: runner.statement(spark, sql, {n: table(spark, d, n) for n in names})
+# Views whose rows a statement's joins multiply, and the key they are dealt over all cores by: read from one small
+# file they would be one task, and so would all pairs made of them. The statement and the rows stay as they are.
+DEALT = {"L2_joins": {"nation": "n_nationkey"}}
 
 
-QUERIES = {name: (_query(names, sql), sql) for name, (names, sql) in SQL.items()}
+def _query(names, sql, dealt=None):
+    def view(spark, d, name):
+        rows = table(spark, d, name)
+        return rows.repartition(4 * spark.sparkContext.defaultParallelism, dealt[name]) if name in (dealt or {}) else rows
+
+    return lambda spark, d: runner.statement(spark, sql, {n: view(spark, d, n) for n in names})
+
+
+QUERIES = {name: (_query(names, sql, DEALT.get(name)), sql) for name, (names, sql) in SQL.items()}
 
 # Statements that call functions registered by ``functions.tables``, with what they mean in plain SQL.
 _SESSIONS = """SELECT user_id, date_format(first_seen, 'yyyy-MM-dd HH:mm:ss') AS first_seen, date_format(last_seen, 'yyyy-MM-dd HH:mm:ss') AS last_seen, events

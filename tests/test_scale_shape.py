@@ -86,3 +86,14 @@ def test_parquet_scans_read_only_what_is_needed(spark):
 def test_result_does_not_depend_on_partitions(spark, skewed):
     runs = lambda d: sorted(map(tuple, U.latency_percentiles(d.select(F.col("key").alias("source"), F.col("v").alias("latency")), ["source"]).collect()))
     assert runs(skewed) == runs(skewed.coalesce(1)) == runs(skewed.repartition(23, "v"))
+
+
+def test_pairs_of_a_nation_are_made_in_more_than_one_task(spark, con):
+    name = "L2_joins"
+    query = entry.queries()[name](spark, SF)
+    made = query._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [n_nationkey" in made
+    nations = spark.read.parquet(f"{SF}/nation.parquet").select(F.col("n_name").alias("name"))
+    parts = query.sparkSession.table("nation").select(F.spark_partition_id().alias("part")).distinct().count()
+    assert parts > nations.count() / 4
+    assert oracle.compare(spark, con, entry.queries()[name], entry.oracle_sql()[name], SF) is None
