@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.functions import tables, values as V
 from plumbline.plans import guard
+from plumbline.plans.apart import apart
 
 DATASET_ROWS, TABLE_ROWS, TIMEOUT_SECONDS = 1000, 500, 30
 
@@ -50,7 +51,7 @@ def statement(spark: SparkSession, sql: str, views: dict[str, DataFrame], args:
         tables.register(spark)
     for name, df in views.items():
         df.createOrReplaceTempView(name)
-    return spark.sql(text, args=args) if args else spark.sql(text)
+    return apart(spark.sql(text, args=args) if args else spark.sql(text))
 
 
 def capped(df: DataFrame, rows: int) -> DataFrame:
