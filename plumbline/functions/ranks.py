@@ -1,25 +1,30 @@
 """Exact order statistics for groups of any size.
 
 ``percentile`` keeps all distinct values of a group in one aggregation buffer.
-Here a group is sorted in one task only if it is known to be small. A group
-larger than ``GROUP_ROWS`` is narrowed first: a mergeable quantile sketch names
-two neighbouring cut points around each wanted rank, one counting pass proves
-how many rows lie below, on and between them, and only the rows strictly between
-go on. Each round keeps about 1/300 of a group, so the final sort always sees a
-bounded number of rows and the answer is exact.
+Here a group is sorted in one task only if it is known to be small. The span of
+a group larger than ``GROUP_ROWS`` is cut into cells of equal width, one pass
+counts the rows of each cell and notes its smallest and largest value, and only
+the cells that hold a wanted rank between two different values go on. Counts
+combine in each task, so what is merged per group is bounded by the cells. Where
+equal widths do not part the values after some rounds, a mergeable quantile
+sketch names two neighbouring cut points around each wanted rank instead, and one
+counting pass proves how many rows lie below, on and between them. The final sort
+always sees a bounded number of rows and the answer is exact.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions.counts import long_numbers, named
 from plumbline.session import cut_lineage, lookup_join
 
 # Largest group that one ranking task takes.
 GROUP_ROWS = 1_000_000
+# Cells of a group at most, rows of a group per cell at least, and rounds of cells before the sketch.
+SPAN_CELLS, CELL_ROWS, ROUNDS = 4096, 64, 3
 # Cut points asked of the sketch, and its accuracy (rank error 1/20000).
 CELLS = 1000
 ACCURACY = 20_000
@@ -42,8 +47,44 @@ def _rank_inside(long: DataFrame, want: DataFrame, keys: list[str]) -> DataFrame
     return found.select(*keys, F.inline(picked))
 
 
-def _narrow(long: DataFrame, want: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One round: resolved slots, the rows still in question and their new ranks."""
+def _spans(long: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, n, lo, hi)``: the rows of each group and the ends of its finite values."""
+    finite = F.when(F.abs("v") < float("inf"), F.col("v"))
+    return cut_lineage(long.groupBy(*keys).agg(F.count("*").alias("n"), F.min(finite).alias("lo"), F.max(finite).alias("hi")))
+
+
+def _cell() -> Column:
+    """The cell of ``v`` in its group's span: never smaller for a larger value, infinities in cells of their own."""
+    v, lo, hi, cells = F.col("v"), F.col("lo"), F.col("hi"), F.col("cells")
+    share = F.coalesce(F.try_divide(v / 2 - lo / 2, hi / 2 - lo / 2), F.lit(0.0))  # halves: no overflow
+    inside = F.least(F.floor(share * cells), cells - 1)
+    infinite = F.when(v == float("inf"), cells).when(v == float("-inf"), F.lit(-1).cast("long"))
+    return F.coalesce(infinite, inside)
+
+
+def _count_cells(long: DataFrame, want: DataFrame, keys: list[str], spans: DataFrame, limit: int,
+                 part: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """One round of cells: resolved slots, the rows still in question, their new ranks and the spans of their cells."""
+    parted = F.least(F.lit(SPAN_CELLS), F.ceil(F.col("n") / CELL_ROWS))
+    spans = spans.withColumn("cells", F.when(F.col("n") > limit, parted).otherwise(1).cast("long"))
+    tagged = lookup_join(long, spans, keys, "inner").select(*keys, "v", _cell().alias("cell"))
+    tallies = cut_lineage(tagged.groupBy(*keys, "cell").agg(F.count("*").alias("tally"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+    start = F.sum("tally").over(Window.partitionBy(*keys).orderBy("cell")) - F.col("tally")
+    inside = F.col("r") - F.col("start")
+    placed = tallies.withColumn("start", start).join(want, keys).filter((inside >= 0) & (inside < F.col("tally")))
+    placed = cut_lineage(placed.select(*keys, "slot", "cell", inside.alias("r"), "tally", "lo", "hi"))
+    found = (F.col("lo") == F.col("hi")) | (F.col("r") == 0) | (F.col("r") == F.col("tally") - 1)
+    settled = placed.filter(found).select(*keys, "slot", F.when(F.col("r") == 0, F.col("lo")).otherwise(F.col("hi")).alias("v"))
+    left = placed.filter(~found).withColumnRenamed("cell", part)
+    asked = spans.join(left.groupBy(*keys).agg(F.collect_set(part).alias("open")), keys)
+    tagged = lookup_join(long, asked, keys, "inner").select(*keys, "v", "open", _cell().alias(part))
+    rest = tagged.filter(F.array_contains("open", F.col(part))).select(*keys, "v", part)
+    deeper = left.select(*keys, part, F.col("tally").alias("n"), "lo", "hi").distinct()
+    return settled, rest, left.select(*keys, part, "slot", "r"), deeper
+
+
+def _narrow(long: DataFrame, want: DataFrame, keys: list[str], part: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round of cut points: resolved slots, the rows still in question and their new ranks."""
     grid = [i / CELLS for i in range(CELLS + 1)]
     sketch = cut_lineage(
         long.groupBy(*keys).agg(
@@ -87,28 +128,37 @@ def _narrow(long: DataFrame, want: DataFrame, keys: list[str]) -> tuple[DataFram
     ranges = open_cells.groupBy(*keys).agg(F.collect_list(F.struct("slot", "lo", "hi")).alias("cells"))
     inside = lookup_join(long, ranges, keys, "inner")
     hit = F.filter("cells", lambda c: (F.col("v") > c["lo"]) & (F.col("v") < c["hi"]))
-    rest = inside.select(*keys, "v", F.inline(F.transform(hit, lambda c: F.struct(c["slot"].alias("part")))))
-    wanted = open_cells.select(*keys, F.col("slot").alias("part"), F.col("slot"), (F.col("r") - start).alias("r"))
+    rest = inside.select(*keys, "v", F.inline(F.transform(hit, lambda c: F.struct(c["slot"].alias(part)))))
+    wanted = open_cells.select(*keys, F.col("slot").alias(part), F.col("slot"), (F.col("r") - start).alias("r"))
     return settled, rest, wanted
 
 
-def _largest(long: DataFrame, keys: list[str]) -> int:
-    return long.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+def _largest(spans: DataFrame) -> int:
+    return spans.agg(F.max("n")).first()[0] or 0
 
 
 def at_ranks(long: DataFrame, want: DataFrame, keys: list[str], group_rows: int | None = None,
-             largest: int | None = None) -> DataFrame:
+             largest: int | None = None, spans: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
     """``(keys, slot, v)``: the value at zero-based rank ``r`` of each group.
 
     ``long`` holds ``keys`` and a non-missing double ``v``; ``want`` holds
-    ``keys, slot, r``.
+    ``keys, slot, r``. ``largest`` and ``spans`` are given where they are known.
     """
-    limit = _limits(group_rows)
-    if (_largest(long, keys) if largest is None else largest) <= limit:
+    limit, part = _limits(group_rows), f"part{len(keys)}"
+    if largest is None:
+        spans = _spans(long, keys) if spans is None else spans
+        largest = _largest(spans)
+    if largest <= limit:
         return _rank_inside(long, want, keys)
-    settled, rest, wanted = _narrow(long, want, keys)
-    deeper = at_ranks(rest, wanted, [*keys, "part"], group_rows)
-    return settled.unionByName(deeper.select(*keys, "slot", "v"))
+    if rounds:
+        settled, rest, wanted, deeper = _count_cells(long, want, keys, _spans(long, keys) if spans is None else spans, limit, part)
+        if wanted.isEmpty():
+            return settled
+        below = at_ranks(rest, wanted, [*keys, part], group_rows, spans=deeper, rounds=rounds - 1)
+    else:
+        settled, rest, wanted = _narrow(long, want, keys, part)
+        below = at_ranks(rest, wanted, [*keys, part], group_rows)
+    return settled.unionByName(below.select(*keys, "slot", "v"))
 
 
 def grouped_quantiles(df: DataFrame, keys: list[str], value: Column, probabilities: list[float],
@@ -122,15 +172,15 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: Column, probabiliti
     long = df.select(*keys, value.cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
     limit = _limits(group_rows)
     # A table within the limit cannot hold a larger group; only a larger one is counted by group.
-    if (df.count() if rows is None else rows) <= limit or (largest := _largest(long, keys)) <= limit:
+    if (df.count() if rows is None else rows) <= limit or (largest := _largest(spans := _spans(long, keys))) <= limit:
         return _small_quantiles(long, keys, probabilities, nearest)
-    sizes = cut_lineage(long.groupBy(*keys).agg(F.count("*").alias("n")))
+    sizes = spans.select(*keys, "n")
     spots = []
     for i, p in enumerate(probabilities):
         for j, end in enumerate(_ends(F.col("n"), p, nearest)):
             spots.append(F.struct(F.lit(2 * i + j).alias("slot"), end.alias("r")))
     want = sizes.select(*keys, F.inline(F.array(*spots)))
-    found = at_ranks(long, want, keys, group_rows, largest)
+    found = at_ranks(long, want, keys, group_rows, largest, spans)
     pairs = found.groupBy(*keys, F.floor(F.col("slot") / 2).cast("int").alias("i")).agg(
         F.min("v").alias("a"), F.max("v").alias("b")
     )

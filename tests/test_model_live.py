@@ -251,3 +251,16 @@ def test_candidates_share_their_preprocessing_and_parts_of_bounded_size(spark, m
     assert sizes.max() <= 200 and sizes.sum() == wanted.train.count()
     for a, b in zip(wanted.comparison, found.comparison):
         assert a["model"] == b["model"] and a["r2"] == pytest.approx(b["r2"]) and a["rmse"] == pytest.approx(b["rmse"])
+
+
+def test_training_on_a_number_counts_only_what_is_asked(spark, monkeypatch):
+    """The key was profiled like a feature, and a number's values were all counted as text for a share that only classes have."""
+    df = spark.range(400).selectExpr("id AS key", "CAST(id % 97 AS DOUBLE) AS a", "id AS unread", "3 * (id % 97) + id % 7 / 10.0D AS y")
+    seen, real = [], M.P.column_facts
+    monkeypatch.setattr(M.P, "column_facts", lambda df: seen.append(df.columns) or real(df))
+    out = M.train_and_compare(df, "y", "key", models=["Linear Regression"], cross_validation=False, drop=["unread"])
+    assert seen == [["a", "y"]] and out.task == "regression" and out.features.names == ["a"]
+    plan = M.detect_task(df, "y")._jdf.queryExecution().optimizedPlan().toString()
+    assert "range" not in plan.lower()
+    row = M.detect_task(df.selectExpr("key % 10 = 0 AS y"), "y").first()
+    assert row["task"] == "classification" and row["is_imbalanced"] and row["primary_metric"] == "f1"
