@@ -39,7 +39,7 @@ SQL = {
 
 
 # Views whose rows a statement's joins multiply, and the key they are dealt over all cores by: read from one small
-# file they would be one task, and so would all pairs made of them. The statement and the rows stay as they are.
+# file they would be one task, and so would all rows that meet them. The statement and the rows stay as they are.
 DEALT = {"L2_joins": {"nation": "n_nationkey"}}
 
 
